@@ -1,0 +1 @@
+"""The workload is batch only: no operator reads a stream, so this folder holds no code."""
