@@ -27,12 +27,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     labels = both.select(F.col("src").alias("id")).distinct().withColumn("component", F.col("id"))
     while True:
         current = labels.select(F.col("id").alias("src"), F.col("component").alias("_near"))
-        heard = skew_join(both, current, "src", "inner").groupBy(F.col("dst").alias("id")).agg(F.min("_near").alias("_near"))
+        heard = skew_join(both, current, "src", "inner", both).groupBy(F.col("dst").alias("id")).agg(F.min("_near").alias("_near"))
         hopped = cut_lineage(
             labels.join(heard, "id").select("id", F.least("component", "_near").alias("component"), F.col("component").alias("_old"))
         )
         roots = hopped.select(F.col("id").alias("component"), F.col("component").alias("_root"))
-        jumped = skew_join(hopped, roots, "component", "inner")
+        jumped = skew_join(hopped, roots, "component", "inner", hopped)
         labels = cut_lineage(jumped.select("id", F.least("component", "_root").alias("component"), "_old"))
         if labels.where(F.col("component") != F.col("_old")).isEmpty():
             return labels.select("id", "component")
@@ -72,6 +72,6 @@ def density_cluster(
     # Clusters, not points: at most one per min_cluster_size points of a group.
     numbering = Window.partitionBy("_by").orderBy(F.desc("_size"), F.asc("component"))
     topics = sizes.select("component", (F.row_number().over(numbering) - 1).cast("int").alias("topic"))
-    assigned = skew_join(components, topics, "component", "inner").select(id, "topic")
+    assigned = skew_join(components, topics, "component", "inner", components).select(id, "topic")
     keys = [*([by] if by else []), id]
     return df.select(*keys).join(assigned, id, "left").select(*keys, F.coalesce("topic", F.lit(OUTLIER)).alias("topic"))

@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pubmeter.session import cut_lineage
+
 
 def distinct_counts(
     df: DataFrame,
@@ -58,7 +60,8 @@ def share_within(df: DataFrame, measure: str, within: Sequence[str], name: str =
 
 
 def share_of_total(df: DataFrame, measure: str, name: str = "p") -> DataFrame:
-    """``measure`` over its grand total."""
+    """``measure`` over its grand total. The aggregate is materialised, so that its input is read once."""
+    df = cut_lineage(df)
     total = df.agg(F.sum(measure).alias("t")).scalar()
     return df.withColumn(name, F.try_divide(F.col(measure), total))
 
@@ -98,17 +101,16 @@ def representation_ratio(
 ) -> DataFrame:
     """Observed over expected share of a flag value per domain and group, minus one.
 
-    Observed: the group's part of the flag value in the domain; expected: all works' part. Group sums and
-    the works of each (flag, domain) come from two aggregates of the base.
+    Observed: the group's part of the flag value in the domain; expected: all works' part. Both come from one
+    table of sums and works per (flag, domain).
     """
-    sums = base.groupBy(flag, domain).agg(*[F.sum(g).alias(g) for g in groups])
-    long = sums.unpivot([flag, domain], list(groups), "gender", "n")
-    observed = share_within(long, "n", [domain, "gender"]).where(F.col(flag) == value)
-    works = distinct_counts(base, [flag, domain], key)
-    expected = share_within(works, "n", [domain], "p_norm").where(F.col(flag) == value)
-    norm = expected.select(F.col(domain).alias("_domain"), "p_norm")
-    joined = observed.join(norm, F.col(domain).eqNullSafe(F.col("_domain")), "left")
-    return joined.select(flag, domain, "gender", "p", "p_norm", (F.try_divide("p", "p_norm") - 1).alias("x"))
+    per_work = base.groupBy(flag, domain, key).agg(*[F.sum(g).alias(g) for g in groups])
+    cells = per_work.groupBy(flag, domain).agg(*[F.sum(g).alias(g) for g in groups], F.count(F.lit(1)).alias("p_norm"))
+    whole = Window.partitionBy(domain)
+    shares = cells.select(flag, domain, *[F.try_divide(F.col(c), F.sum(c).over(whole)).alias(c) for c in (*groups, "p_norm")])
+    chosen = shares.where(F.col(flag) == value)
+    long = chosen.unpivot([flag, domain, "p_norm"], list(groups), "gender", "p")
+    return long.select(flag, domain, "gender", "p", "p_norm", (F.try_divide("p", "p_norm") - 1).alias("x"))
 
 
 def dominant_category(counts: DataFrame, group: str, category: str, n: str, threshold: float, otherwise: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pubmeter.operators.ordering import first_rows
+from pubmeter.session import cut_lineage
 
 TRIPLES = 2_000
 SCALE = 1_000_000
@@ -36,7 +37,7 @@ def language_profile(labelled: DataFrame, text: str, language: str, size: int =
     (languages x size) triples, times the languages.
     """
     triples = labelled.select(F.col(language).alias("language"), F.explode(letter_triples(F.col(text))).alias("triple"))
-    counts = triples.groupBy("language", "triple").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(triples.groupBy("language", "triple").agg(F.count(F.lit(1)).alias("n")))
     frequent = first_rows(counts, ["language"], [F.desc("n"), F.asc("triple")], size)
     features = frequent.select("triple").distinct()
     used = counts.join(F.broadcast(features), "triple")

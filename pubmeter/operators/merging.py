@@ -50,7 +50,6 @@ def merge_topics(
 
 def remap_documents(doc_topic: DataFrame, mapping: DataFrame, part: str = "part", topic: str = "topic") -> DataFrame:
     """Documents with their merged topic number; outliers stay outliers."""
-    joined = skew_join(
-        doc_topic.withColumn(topic, F.col(topic).cast("bigint")), mapping, [part, topic], "left", doc_topic.select(part, F.col(topic).cast("bigint").alias(topic))
-    )
+    numbered = doc_topic.withColumn(topic, F.col(topic).cast("bigint"))
+    joined = skew_join(numbered, mapping, [part, topic], "left", profile=numbered)
     return joined.withColumn(topic, F.coalesce("merged", topic).cast("int")).drop("merged")

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pubmeter.operators.ordering import first_rows
-from pubmeter.operators.skew import skew_join
 
 BLOCK = 1024
 # Distances are rounded so that the order of a sum cannot change which neighbour is nearer.
@@ -127,9 +126,10 @@ def _block_pairs(left: DataFrame, right: DataFrame, id: str, vec: str, by: str |
     counts = blocks_left.join(blocks_right, "_by")
     last = F.col("_nr") - 1
     first = F.col("_lb") if half else F.lit(0)
-    a = skew_join(one, counts, "_by", "inner", profile=one.select("_by"))
+    # one row per group, which the optimizer broadcasts where it is small enough
+    a = one.join(counts, "_by")
     a = a.withColumn("_lb", _block_of("_nl")).withColumn("_rb", F.explode(F.sequence(first, last)))
-    b = skew_join(other, counts, "_by", "inner", profile=other.select("_by"))
+    b = other.join(counts, "_by")
     b = b.withColumn("_rb", _block_of("_nr"))
     b = b.withColumn("_lb", F.explode(F.sequence(F.lit(0), F.col("_rb") if half else F.col("_nl") - 1)))
     cell = ["_by", "_lb", "_rb"]

@@ -12,18 +12,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pubmeter.session import cut_lineage
+
 RANGES = 256
 # Up to this many rows per group Spark limits each map task before the shuffle; beyond it we do.
 MAP_SIDE_LIMIT = 1000
 
 
 def running_total(df: DataFrame, order: str, amount: Column, name: str) -> DataFrame:
-    """Sum of ``amount`` over all rows whose ``order`` is smaller; ``order`` is unique and numeric."""
+    """Sum of ``amount`` over all rows whose ``order`` is smaller; ``order`` is unique and numeric.
+
+    ``df`` is read three times, twice of them only ``order`` and ``amount``: materialise an expensive one first.
+    """
     shares = [i / RANGES for i in range(1, RANGES)]
     cuts = df.agg(F.percentile_approx(order, shares, 10_000).alias("c")).scalar()
-    ranged = df.withColumn("_amount", amount).withColumn(
-        "_range", F.coalesce(F.size(F.filter(cuts, lambda c: c < F.col(order))), F.lit(0))
-    )
+    below = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
+    ranged = df.withColumn("_amount", amount).withColumn("_cuts", cuts).withColumn("_range", below).drop("_cuts")
     totals = ranged.groupBy("_range").agg(F.sum("_amount").alias("_total"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = totals.select("_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_shift"))
@@ -49,9 +53,13 @@ def row_index(df: DataFrame, order: str, name: str = "row_index") -> DataFrame:
     return running_total(df, order, F.lit(1), name)
 
 
-def average_rank(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
-    """One row per distinct value: the value, its count ``n`` and its average rank among all rows."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+def average_rank(df: DataFrame, value: str, name: str = "rank", weight: Column | None = None) -> DataFrame:
+    """One row per distinct value: the value, its count ``n`` and its average rank among all rows.
+
+    With ``weight`` a row stands for that many equal ones.
+    """
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(value).agg(n.alias("n")))
     ranked = running_total(counts, value, F.col("n"), "_before")
     return ranked.select(value, "n", (F.col("_before") + (F.col("n") + 1) / 2).alias(name))
 
@@ -89,10 +97,11 @@ def top_with_ties(df: DataFrame, measure: str, n: int, ascending: bool = False)
     The n-th value is found by a top-n, and all rows are compared with it: ties may be any number of
     rows and never meet in one task.
     """
-    c = F.col(measure)
+    # the last bits of a sum depend on its order, so equal measures are those equal to twelve digits
+    c = F.round(measure, 12) if dict(df.dtypes)[measure] == "double" else F.col(measure)
     order = c.asc_nulls_last() if ascending else c.desc_nulls_last()
     edge = F.max(c) if ascending else F.min(c)
-    nth = df.select(c).orderBy(order).limit(n).agg(F.when(F.max(c.isNull()), None).otherwise(edge).alias("v")).scalar()
+    nth = df.orderBy(order).limit(n).agg(F.when(F.max(c.isNull()), None).otherwise(edge).alias("v")).scalar()
     within = c <= nth if ascending else c >= nth
     return df.where(nth.isNull() | F.coalesce(within, F.lit(False)))
 

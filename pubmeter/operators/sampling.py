@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pubmeter.operators.counting import distinct_counts
 from pubmeter.operators.ordering import first_rows
+from pubmeter.session import cut_lineage
 
 # Fixed value: the seed of every sample of the study.
 SEED = 1234
@@ -37,7 +38,7 @@ def proportional_quota(
     By default the strata with the largest remainders take up what rounding left over or short; ``manual``
     names the corrections instead. A missing stratum gets no quota. One row per stratum: a small table.
     """
-    counts = distinct_counts(df.where(F.col(stratum).isNotNull()), [stratum], key)
+    counts = cut_lineage(distinct_counts(df.where(F.col(stratum).isNotNull()), [stratum], key))
     total = counts.agg(F.sum("n").alias("t")).scalar()
     exact = counts.withColumn("_exact", F.col("n") / total * size).withColumn("quota", F.bround("_exact").cast("bigint"))
     if manual is not None:

@@ -32,24 +32,41 @@ def skew_join(
     on: Sequence[str] | str,
     how: str = "left",
     profile: DataFrame | None = None,
+    null_safe: bool = False,
     salts: int = SALTS,
     share: float = HOT_SHARE,
 ) -> DataFrame:
-    """Equi-join whose left side may have hot or null keys.
+    """Equi-join whose left side may have hot or missing keys.
 
     Left rows of a hot key are spread over ``salts`` sub-keys and the few right rows of that key are
-    repeated once per sub-key; left rows without a key match nothing and are spread too. All other keys
-    join as usual. ``profile`` is a cheaper table with the same key distribution as ``left``, if there is one.
-    Left rows should differ from each other: equal rows share a sub-key, so remove copies first.
+    repeated once per sub-key; left rows without a key are spread too. All other keys join as usual.
+    The hot keys are those of ``profile``: a table that is cheap to read and has the key distribution of
+    ``left``, typically the scan that ``left`` was made from. Without it only missing keys are spread and hot
+    ones are left to adaptive execution, which splits their partitions while the query runs.
+
+    With ``null_safe`` a missing key equals a missing key. Left rows should differ from each other: equal rows
+    share a sub-key, so remove copies first.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    hot = hot_hashes(profile if profile is not None else left, keys, share)
-    is_hot = F.coalesce(F.array_contains(hot, F.xxhash64(*keys)), F.lit(False))
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
-    salted_left = left.withColumn("_salt", F.when(is_hot | ~_all_present(keys), spread).otherwise(0))
-    sub_keys = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_right = right.where(_all_present(keys)).withColumn("_salt", F.explode(sub_keys))
-    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
+    present = _all_present(keys)
+    if profile is None and not null_safe and how in ("inner", "left_semi"):
+        return left.join(right, keys, how)
+    spread_out = ~present
+    if profile is not None:
+        hot = hot_hashes(profile, keys, share)
+        spread_out = spread_out | F.coalesce(F.array_contains(hot, F.xxhash64(*keys)), F.lit(False))
+    sub_key = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+    salted = left.withColumn("_salt", F.when(spread_out, sub_key).otherwise(0))
+    held = right if null_safe else right.where(present)
+    all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
+    repeated = held.withColumn("_salt", F.explode(F.when(spread_out, all_salts).otherwise(F.array(F.lit(0)))))
+    if not null_safe:
+        return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    renamed = repeated.withColumnsRenamed({k: f"_right_{k}" for k in [*keys, "_salt"]})
+    same = F.col("_salt") == F.col("_right__salt")
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_right_{key}"))
+    return salted.join(renamed, same, how).drop("_salt", "_right__salt", *[f"_right_{k}" for k in keys])
 
 
 def _all_present(keys: Sequence[str]) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from pubmeter.operators.counting import weighted_mean
 from pubmeter.operators.ordering import average_rank
-from pubmeter.operators.skew import skew_join
+from pubmeter.session import cut_lineage
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -21,11 +21,11 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     Works on the distinct value pairs and their counts, so repeated values cost nothing.
     """
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("_x"), F.col(y).alias("_y"))
-    cells = pairs.groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_w"))
-    rx = average_rank(pairs, "_x", "_rx").drop("n")
-    ry = average_rank(pairs, "_y", "_ry").drop("n")
-    ranked = skew_join(skew_join(cells, rx, "_x", "inner"), ry, "_y", "inner")
-    middle = (pairs.agg(F.count(F.lit(1)).alias("n")).scalar() + 1) / 2
+    cells = cut_lineage(pairs.groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_w")))
+    rx = average_rank(cells, "_x", "_rx", F.col("_w")).drop("n")
+    ry = average_rank(cells, "_y", "_ry", F.col("_w")).drop("n")
+    ranked = cells.join(rx, "_x").join(ry, "_y")
+    middle = (cells.agg(F.sum("_w").alias("n")).scalar() + 1) / 2
     w, dx, dy = F.col("_w"), F.col("_rx") - middle, F.col("_ry") - middle
     r = F.try_divide(F.sum(w * dx * dy), F.sqrt(F.sum(w * dx * dx) * F.sum(w * dy * dy)))
     return correlation_test(ranked.agg(F.sum(w).alias("n"), r.alias("r")))
@@ -110,7 +110,7 @@ def density_grid(
     if bandwidth is not None:
         sizes = sizes.select(group, "_n", F.lit(bandwidth[0]).alias("_hx"), F.lit(bandwidth[1]).alias("_hy"))
     grid = F.sequence(F.lit(0), F.lit(cells - 1))
-    spread = skew_join(base, sizes, group, "inner").select("*", F.explode(grid).alias("i"))
+    spread = base.join(sizes, group).select("*", F.explode(grid).alias("i"))
     kx = _kernel((F.col("_x") - (x0 + (x1 - x0) * F.col("i") / (cells - 1))) / F.col("_hx"))
     rows = spread.select(group, "i", "_n", "_hx", "_hy", "_y", kx.alias("_kx"), F.explode(grid).alias("j"))
     ky = _kernel((F.col("_y") - (y0 + (y1 - y0) * F.col("j") / (cells - 1))) / F.col("_hy"))

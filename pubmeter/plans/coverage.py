@@ -11,6 +11,7 @@ from pubmeter.functions.nulls import not_in, zero_if_null
 from pubmeter.operators.counting import distinct_counts, dominant_category
 from pubmeter.operators.membership import group_any, with_flag
 from pubmeter.operators.skew import skew_join
+from pubmeter.session import cut_lineage
 
 # Topics left out of the analysis, and the share from which a domain is dominant.
 OUTLIER_TOPICS = (637, 703, 193, 494)
@@ -27,7 +28,7 @@ def drop_topics(df: DataFrame, topics: Sequence[int] = OUTLIER_TOPICS, topic: st
 def attach_match(doc_topic: DataFrame, meta: DataFrame, matches: DataFrame) -> DataFrame:
     """Documents with identifier and match, where they have them."""
     with_doi = doc_topic.join(meta.select("id", "doi"), "id", "left")
-    return skew_join(with_doi, matches, "doi", "left")
+    return skew_join(with_doi, matches, "doi", "left", meta.select("doi"))
 
 
 def coverage_by_topic(doc_topic: DataFrame, meta: DataFrame, matches: DataFrame, matched: str) -> DataFrame:
@@ -80,8 +81,9 @@ def known_authors(corpus: DataFrame, crosswalk: DataFrame) -> DataFrame:
 
 def works_with_known_author(corpus: DataFrame, crosswalk: DataFrame) -> DataFrame:
     """The corpus rows with ``author_known`` and, for the whole work, ``some_known``."""
-    flagged = with_flag(corpus, crosswalk, "author_id", "author_known")
-    return group_any(flagged, "work_id", F.col("author_known"), "some_known")
+    # read twice: for the flag of the work and for the rows
+    flagged = cut_lineage(with_flag(corpus, crosswalk, "author_id", "author_known"))
+    return group_any(flagged, "work_id", F.col("author_known"), "some_known", flagged.select("work_id"))
 
 
 def work_counts(corpus: DataFrame, groups: Sequence[str], key: str = "work_id") -> DataFrame:

@@ -19,7 +19,7 @@ from pubmeter.functions.text import (
     strip_quotes,
     year_from,
 )
-from pubmeter.operators.membership import with_flag
+from pubmeter.operators.membership import non_members, with_flag
 from pubmeter.operators.ordering import first_rows
 from pubmeter.operators.skew import skew_join
 
@@ -59,7 +59,7 @@ def match_by_doi(
     listed = publication_list(pubs, first_year).where(is_filled(F.col("doi"))).select("doi", F.lower("doi").alias("_key")).distinct()
     indexed = works.where(is_filled(F.col("doi"))).select(F.lower("doi").alias("_key"), "work_id").distinct()
     # several works may carry one identifier, so the index is the side that can be hot
-    found = skew_join(indexed, listed, "_key", "inner").select("doi", "work_id")
+    found = skew_join(indexed, listed, "_key", "inner", works.select(F.lower("doi").alias("_key"))).select("doi", "work_id")
     return with_domain(found, primary_topics(work_topics, topics), domains).select("doi", "work_id", "domain").distinct()
 
 
@@ -79,7 +79,7 @@ def match_by_title(
     listed = publication_list(pubs, first_year).select("title", "year").distinct()
     keyed = listed.withColumn("publication_year", safe_int(F.col("year")))
     indexed = works.select("title", F.col("publication_year").cast("bigint").alias("publication_year"), "work_id").distinct()
-    found = skew_join(indexed, keyed, ["title", "publication_year"], "inner").select("title", "year", "work_id")
+    found = skew_join(indexed, keyed, ["title", "publication_year"], "inner", _title_years(works)).select("title", "year", "work_id")
     if primary_only:
         return with_domain(found, primary_topics(work_topics, topics), domains).distinct()
     known = topics.join(domains.select("domain_id", "domain"), "domain_id", "left").select("topic_id", "domain")
@@ -87,6 +87,10 @@ def match_by_title(
     return skew_join(found, pairs, "work_id", "left").select("title", "year", "work_id", "domain").distinct()
 
 
+def _title_years(works: DataFrame) -> DataFrame:
+    return works.select("title", F.col("publication_year").cast("bigint").alias("publication_year"))
+
+
 def national_corpus(
     works: DataFrame,
     work_topics: DataFrame,
@@ -105,17 +109,17 @@ def national_corpus(
     ).select("work_id", "doi", "title", "publication_year")
     home = institutions.where(F.col("country") == country).select("institution_id", "institution_name", "institution_type")
     links = authorships.select("work_id", "author_id", "institution_id")
-    local = skew_join(links, home, "institution_id", "inner").drop("institution_id").distinct()
+    local = skew_join(links, home, "institution_id", "inner", links).drop("institution_id").distinct()
     known = authors.select("author_id", F.col("author_id").alias("_known"), "author_name")
-    named = skew_join(local, known, "author_id", "left").withColumn("author_id", F.col("_known")).drop("_known").distinct()
-    rows = skew_join(named, kept, "work_id", "inner")
+    named = skew_join(local, known, "author_id", "left", links).withColumn("author_id", F.col("_known")).drop("_known").distinct()
+    rows = skew_join(named, kept, "work_id", "inner", links)
     return with_domain(rows, primary_topics(work_topics, topics), domains).distinct()
 
 
 def not_matched(corpus: DataFrame, matches: DataFrame, key: str = "work_id", title: str = "title") -> DataFrame:
     """Rows of the corpus whose work has no match and a title long enough to be one."""
     long = corpus.where(longer_than(F.col(title), WORK_TITLE_LONGER_THAN))
-    return with_flag(long, matches, key, "matched").where("not matched").drop("matched")
+    return non_members(long, matches, key)
 
 
 def flag_matched(corpus: DataFrame, matches: DataFrame, key: str = "work_id") -> DataFrame:
@@ -127,7 +131,7 @@ def match_identifiers(dois: DataFrame, identifiers: DataFrame, articles: DataFra
     """``doi, article_id, specialty, discipline``: listed identifiers found among an index's, of any type."""
     listed = dois.select("doi").distinct().withColumn("identifier", strip_quotes(F.col("doi"))).where(is_filled(F.col("identifier")))
     held = identifiers.select("identifier", "article_id").distinct()
-    found = skew_join(held, listed, "identifier", "inner").select("doi", "article_id")
+    found = skew_join(held, listed, "identifier", "inner", identifiers.select("identifier")).select("doi", "article_id")
     return with_discipline(found, articles, disciplines).select("doi", "article_id", "specialty", "discipline").distinct()
 
 
@@ -136,7 +140,7 @@ def match_article_titles(titles: DataFrame, articles: DataFrame, disciplines: Da
     listed = titles.where(is_filled(F.col("title")) & is_filled(F.col("year"))).select("title", "year").distinct()
     keyed = listed.withColumn("publication_year", safe_int(F.col("year")))
     held = articles.select("title", F.col("publication_year").cast("bigint").alias("publication_year"), "article_id", "discipline_code")
-    found = skew_join(held, keyed, ["title", "publication_year"], "inner")
+    found = skew_join(held, keyed, ["title", "publication_year"], "inner", _title_years(articles))
     named = found.join(disciplines.select("discipline_code", "specialty", "discipline"), "discipline_code", "left")
     return named.select("title", "year", "article_id", "specialty", "discipline").distinct()
 
@@ -177,8 +181,8 @@ def national_articles(
     # reduced before the wide joins: names, address and identifiers per article, without copies
     people = author_names.select("article_id", "author_seq", "first_name", "last_name").distinct()
     located = people.join(placed.drop("address_no"), ["article_id", "author_seq"]).drop("author_seq").distinct()
-    rows = skew_join(located, known, "article_id", "inner")
-    return skew_join(rows, dois, "article_id", "inner").distinct()
+    rows = skew_join(located, known, "article_id", "inner", author_names.select("article_id"))
+    return skew_join(rows, dois, "article_id", "inner", author_names.select("article_id")).distinct()
 
 
 def author_crosswalk(links: DataFrame) -> DataFrame:

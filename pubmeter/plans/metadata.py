@@ -43,7 +43,7 @@ def text_table(pubs: DataFrame) -> DataFrame:
 
 def article_metadata(pubs: DataFrame, texts: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row of ``columns`` per title of the text table; useless identifiers become null."""
-    rows = members(pubs.select("title", *columns).distinct(), texts, "title", "id")
+    rows = members(pubs.select("title", *columns).distinct(), texts, "title", "id", pubs.select("title"))
     fixed = rows.withColumns(
         {
             "doi": null_if_shorter(F.nullif("doi", F.lit("")), DOI_AT_LEAST),
@@ -79,12 +79,12 @@ def gender_fractions(pubs: DataFrame, inference: DataFrame) -> DataFrame:
     """``title, Women, Men``: share of each title's authors with an inferred category."""
     people = pubs.select("title", "author_id").distinct()
     known = inference.select("author_id", named_gender(F.col("gender")).alias("gender")).where(F.col("gender").isin(*BINARY))
-    return fractional_shares(skew_join(people, known, "author_id", "inner"), "title", "author_id", "gender", BINARY)
+    return fractional_shares(skew_join(people, known, "author_id", "inner", pubs.select("author_id")), "title", "author_id", "gender", BINARY)
 
 
 def without_fraction(pubs: DataFrame, fractions: DataFrame) -> DataFrame:
     """Publication rows whose title has no gendered author."""
-    return non_members(pubs, fractions, "title")
+    return non_members(pubs, fractions, "title", profile=pubs.select("title"))
 
 
 def completeness(meta: DataFrame, key: str = "title") -> DataFrame:

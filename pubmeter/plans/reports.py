@@ -26,6 +26,7 @@ from pubmeter.operators.ordering import extremes, level_order
 from pubmeter.operators.skew import skew_join
 from pubmeter.operators.statistics import mean_threshold, quadrant, spearman
 from pubmeter.plans.metadata import BINARY, named_gender
+from pubmeter.session import cut_lineage
 
 # Names and orders of the categories in results.
 DOMAINS = ("Physical Sciences", "Life Sciences", "Health Sciences", "Multidisciplinary", "Social Sciences")
@@ -53,7 +54,7 @@ def analysis_base(
     """
     people = doc_topic.select("id", "topic").join(fractions.select("id", *BINARY), "id").where(F.col("Women").isNotNull())
     spoken = people.join(meta.select("id", "doi"), "id", "left").join(language.select("id", "language"), "id", "left")
-    placed = skew_join(spoken, domain.select("topic", "domain"), "topic", "left", profile=people.select("topic"))
+    placed = skew_join(spoken, domain.select("topic", "domain"), "topic", "left", doc_topic.select("topic"))
     labelled = placed.withColumns(
         {
             "language": if_else(F.col("language") == "en", "English", "Other"),
@@ -62,7 +63,7 @@ def analysis_base(
     )
     flagged = labelled
     for name, matches in (("in_a", matches_a), ("in_b", matches_b)):
-        flagged = with_flag(flagged, matches.where(F.col("doi").isNotNull()), "doi", name)
+        flagged = with_flag(flagged, matches.where(F.col("doi").isNotNull()), "doi", name, profile=meta.select("doi"))
         flagged = flagged.withColumn(name, flag_label(F.col(name), INDEXED, NOT_INDEXED))
     return flagged.drop("doi")
 
@@ -154,6 +155,7 @@ def quadrant_classes(topics: DataFrame, group_share: DataFrame, other_share: Dat
 
     ``group_share`` is (topic, Women, n), ``other_share`` (topic, p, n).
     """
+    group_share, other_share = cut_lineage(group_share), cut_lineage(other_share)
     mid_w = mean_threshold(group_share, "Women", "n")
     mid_p = mean_threshold(other_share, "p", "n")
     labels = (
@@ -169,6 +171,7 @@ def quadrant_classes(topics: DataFrame, group_share: DataFrame, other_share: Dat
 
 def topic_correlations(features: DataFrame, measures: Sequence[str], against: str = "p_en") -> DataFrame:
     """``ind, n, r, s, t, p_value``: rank correlation of each measure with another."""
+    features = cut_lineage(features.select(against, *measures))
     out = None
     for m in measures:
         row = spearman(features, m, against).select(F.lit(m).alias("ind"), "*")
@@ -178,12 +181,12 @@ def topic_correlations(features: DataFrame, measures: Sequence[str], against: st
 
 def extreme_topics(topics: DataFrame, measure: str, n: int = EXTREMES) -> DataFrame:
     """The ``n`` highest and lowest topics by a measure, ties included, with short labels."""
-    return extremes(topics, measure, n).withColumn("label", after_last_dash(F.col("label")))
+    return extremes(cut_lineage(topics), measure, n).withColumn("label", after_last_dash(F.col("label")))
 
 
 def corpus_checks(doc_topic: DataFrame, pubs: DataFrame, inference: DataFrame) -> DataFrame:
     """One row: documents, authors of kept titles, and inferred authors per kept author."""
-    kept = members(pubs.select("title", "author_id").distinct(), doc_topic, "title", "id")
+    kept = members(pubs.select("title", "author_id").distinct(), doc_topic, "title", "id", pubs.select("title"))
     rows = doc_topic.agg(F.count(F.lit(1)).alias("n")).scalar()
     binary = F.coalesce(named_gender(F.col("gender")).isin(*BINARY), F.lit(False))
     inferred = distinct_counts(inference, [], "author_id", {"known": binary}, total=None)

@@ -59,7 +59,7 @@ def author_name_table(t: Tables) -> DataFrame:
     return metadata.author_names(roles.pubs(t), "Brazil")
 
 
-@query(prelude("inference") + "SELECT count(DISTINCT author_id) FILTER (gender IN ('F', 'M')) / count(DISTINCT author_id) AS share FROM inference")
+@query(prelude("inference") + "SELECT count(DISTINCT author_id) FILTER (gender IN ('F', 'M')) / count(DISTINCT author_id) AS share FROM inference", doubles="share")
 def inferred_gender_share(t: Tables) -> DataFrame:
     return metadata.inferred_share(roles.inference(t))
 
@@ -67,7 +67,8 @@ def inferred_gender_share(t: Tables) -> DataFrame:
 @query(
     prelude("pubs", "inference")
     + """SELECT title, count(*) FILTER (gender = 'F') / count(*) AS "Women", count(*) FILTER (gender = 'M') / count(*) AS "Men"
-    FROM (SELECT DISTINCT title, p.author_id, gender FROM pubs p JOIN inference i ON p.author_id = i.author_id WHERE gender IN ('F', 'M')) GROUP BY title"""
+    FROM (SELECT DISTINCT title, p.author_id, gender FROM pubs p JOIN inference i ON p.author_id = i.author_id WHERE gender IN ('F', 'M')) GROUP BY title""",
+    doubles="Women Men",
 )
 def fractional_gender(t: Tables) -> DataFrame:
     return metadata.gender_fractions(roles.pubs(t), roles.inference(t))
@@ -75,7 +76,8 @@ def fractional_gender(t: Tables) -> DataFrame:
 
 @query(
     """SELECT conv_id, count(DISTINCT turn) FILTER (role = 'user') / count(DISTINCT turn) AS "user", count(DISTINCT turn) FILTER (role = 'assistant') / count(DISTINCT turn) AS assistant
-    FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id"""
+    FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id""",
+    doubles="user assistant",
 )
 def fractional_roles(t: Tables) -> DataFrame:
     from pubmeter.operators.counting import fractional_shares
@@ -105,7 +107,8 @@ def metadata_completeness(t: Tables) -> DataFrame:
 @query(
     prelude("pubs").rstrip() + f", {TEXTS}, {META} "
     + """SELECT cat, year, n, n / sum(n) OVER (PARTITION BY year) AS p FROM (SELECT CASE WHEN issn IS NULL THEN 'no ISSN' ELSE 'has ISSN' END || ' & ' ||
-    CASE WHEN journal IS NULL THEN 'no journal name' ELSE 'has journal name' END AS cat, year, count(DISTINCT title) AS n FROM meta_rows GROUP BY ALL)"""
+    CASE WHEN journal IS NULL THEN 'no journal name' ELSE 'has journal name' END AS cat, year, count(DISTINCT title) AS n FROM meta_rows GROUP BY ALL)""",
+    doubles="p",
 )
 def metadata_completeness_by_year(t: Tables) -> DataFrame:
     return metadata.completeness_by_year(article_meta(t))
@@ -116,7 +119,8 @@ def metadata_completeness_by_year(t: Tables) -> DataFrame:
 
 @query(
     """SELECT topic, count(DISTINCT id) FILTER (quality = 1) AS n_covered, count(DISTINCT id) AS n, count(DISTINCT id) FILTER (quality = 1) / count(DISTINCT id) AS p
-    FROM (SELECT d.doc_id AS id, e.label AS topic, l.quality FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id LEFT JOIN labels l ON d.doc_id = l.doc_id) GROUP BY topic"""
+    FROM (SELECT d.doc_id AS id, e.label AS topic, l.quality FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id LEFT JOIN labels l ON d.doc_id = l.doc_id) GROUP BY topic""",
+    doubles="p",
 )
 def coverage_by_topic(t: Tables) -> DataFrame:
     """Documents by topic, and those found in an index."""
@@ -165,22 +169,22 @@ def topic_w(t: Tables) -> DataFrame:
     return coverage.group_share_by_topic(roles.doc_topic(t), roles.fractions(t))
 
 
-@query(with_topics(TOPIC_A) + "SELECT * FROM topic_a")
+@query(with_topics(TOPIC_A) + "SELECT * FROM topic_a", doubles="p")
 def index_a_coverage_by_topic(t: Tables) -> DataFrame:
     return topic_a(t)
 
 
-@query(with_topics(TOPIC_B) + "SELECT * FROM topic_b")
+@query(with_topics(TOPIC_B) + "SELECT * FROM topic_b", doubles="p")
 def index_b_coverage_by_topic(t: Tables) -> DataFrame:
     return topic_b(t)
 
 
-@query(with_topics(TOPIC_L) + "SELECT * FROM topic_l")
+@query(with_topics(TOPIC_L) + "SELECT * FROM topic_l", doubles="p")
 def english_share_by_topic(t: Tables) -> DataFrame:
     return topic_l(t)
 
 
-@query(with_topics(TOPIC_W) + "SELECT * FROM topic_w")
+@query(with_topics(TOPIC_W) + "SELECT * FROM topic_w", doubles="Women")
 def women_share_by_topic(t: Tables) -> DataFrame:
     return topic_w(t)
 
@@ -218,7 +222,7 @@ def features(t: Tables) -> DataFrame:
     return coverage.topic_features(coords(t), roles.topic_domain(t), info(t), topic_a(t), topic_b(t), topic_l(t))
 
 
-@query(with_topics(TOPIC_A, TOPIC_B, TOPIC_L, INFO) + "SELECT * FROM features")
+@query(with_topics(TOPIC_A, TOPIC_B, TOPIC_L, INFO) + "SELECT * FROM features", doubles="x y p_a p_b p_en")
 def topic_feature_table(t: Tables) -> DataFrame:
     return features(t)
 
@@ -228,7 +232,7 @@ def _corr(name: str) -> str:
     rank() OVER (ORDER BY p_en) + (count(*) OVER (PARTITION BY p_en) - 1) / 2 AS ry FROM features)"""
 
 
-@query(with_topics(TOPIC_A, TOPIC_B, TOPIC_L, INFO) + f"SELECT ind, n, r FROM ({_corr('p_a')} UNION ALL {_corr('p_b')})")
+@query(with_topics(TOPIC_A, TOPIC_B, TOPIC_L, INFO) + f"SELECT ind, n, r FROM ({_corr('p_a')} UNION ALL {_corr('p_b')})", doubles="r")
 def indexation_language_correlation(t: Tables) -> DataFrame:
     return reports.topic_correlations(features(t), ["p_a", "p_b"]).select("ind", "n", "r")
 
@@ -247,12 +251,12 @@ def quadrants(t: Tables, other: DataFrame, what: str) -> DataFrame:
     return reports.quadrant_classes(coords(t).select("topic"), topic_w(t), other, what)
 
 
-@query(with_topics(TOPIC_A, TOPIC_B, TOPIC_L, TOPIC_W, INFO) + _quadrants("topic_l", "% English"))
+@query(with_topics(TOPIC_A, TOPIC_B, TOPIC_L, TOPIC_W, INFO) + _quadrants("topic_l", "% English"), doubles="Women p")
 def women_language_quadrants(t: Tables) -> DataFrame:
     return quadrants(t, topic_l(t), "% English")
 
 
-@query(with_topics(TOPIC_A, TOPIC_B, TOPIC_L, TOPIC_W, INFO) + _quadrants("topic_a", "% A indexing"))
+@query(with_topics(TOPIC_A, TOPIC_B, TOPIC_L, TOPIC_W, INFO) + _quadrants("topic_a", "% A indexing"), doubles="Women p")
 def women_index_a_quadrants(t: Tables) -> DataFrame:
     return quadrants(t, topic_a(t), "% A indexing")
 
@@ -268,7 +272,7 @@ def women_index_b_quadrant_counts(t: Tables) -> DataFrame:
 
 
 def _extremes(part: str, measure: str) -> str:
-    ranked = f"SELECT topic, regexp_replace(label, '^.* - ', '') AS label, {measure} AS m, rank() OVER (ORDER BY {measure} {{0}} NULLS LAST) AS r FROM coords JOIN info USING (topic) LEFT JOIN {part} USING (topic)"
+    ranked = f"SELECT topic, regexp_replace(label, '^.* - ', '') AS label, {measure} AS m, rank() OVER (ORDER BY round({measure}, 12) {{0}} NULLS LAST) AS r FROM coords JOIN info USING (topic) LEFT JOIN {part} USING (topic)"
     return " UNION ALL ".join(f"SELECT topic, label, m AS {measure} FROM ({ranked.format(d)}) WHERE r <= 25" for d in ("DESC", "ASC"))
 
 
@@ -277,22 +281,22 @@ def extreme(t: Tables, part: DataFrame, measure: str) -> DataFrame:
     return reports.extreme_topics(described, measure).select("topic", "label", measure)
 
 
-@query(with_topics(TOPIC_A, TOPIC_B, TOPIC_L, INFO) + _extremes("topic_a", "p"))
+@query(with_topics(TOPIC_A, TOPIC_B, TOPIC_L, INFO) + _extremes("topic_a", "p"), doubles="p")
 def extreme_topics_index_a(t: Tables) -> DataFrame:
     return extreme(t, topic_a(t), "p")
 
 
-@query(with_topics(TOPIC_A, TOPIC_B, TOPIC_L, INFO) + _extremes("topic_b", "p"))
+@query(with_topics(TOPIC_A, TOPIC_B, TOPIC_L, INFO) + _extremes("topic_b", "p"), doubles="p")
 def extreme_topics_index_b(t: Tables) -> DataFrame:
     return extreme(t, topic_b(t), "p")
 
 
-@query(with_topics(TOPIC_A, TOPIC_B, TOPIC_L, INFO) + _extremes("topic_l", "p"))
+@query(with_topics(TOPIC_A, TOPIC_B, TOPIC_L, INFO) + _extremes("topic_l", "p"), doubles="p")
 def extreme_topics_language(t: Tables) -> DataFrame:
     return extreme(t, topic_l(t), "p")
 
 
-@query(with_topics(TOPIC_A, TOPIC_B, TOPIC_L, TOPIC_W, INFO) + _extremes("topic_w", '"Women"'))
+@query(with_topics(TOPIC_A, TOPIC_B, TOPIC_L, TOPIC_W, INFO) + _extremes("topic_w", '"Women"'), doubles="Women")
 def extreme_topics_women(t: Tables) -> DataFrame:
     return extreme(t, topic_w(t), "Women")
 
@@ -302,7 +306,7 @@ def extreme_topics_women(t: Tables) -> DataFrame:
 BASE = prelude(*BASE_ROLES)
 
 
-@query(BASE + 'SELECT id, topic, Women AS "Women", Men AS "Men", domain, language, in_a, in_b FROM base')
+@query(BASE + 'SELECT id, topic, Women AS "Women", Men AS "Men", domain, language, in_a, in_b FROM base', doubles="Women Men")
 def analysis_base_table(t: Tables) -> DataFrame:
     return roles.base(t)
 
@@ -317,7 +321,8 @@ def _weighted(gender: str, ind: str, condition: str) -> str:
         _weighted(g, i, c)
         for g in ("Women", "Men")
         for i, c in (("% indexed in A", "in_a = 'Indexed'"), ("% indexed in B", "in_b = 'Indexed'"), ("% written in English", "language = 'English'"))
-    )
+    ),
+    doubles="value",
 )
 def weighted_coverage_by_gender(t: Tables) -> DataFrame:
     return reports.weighted_coverage(roles.base(t))
@@ -327,7 +332,7 @@ SHARES = """shares AS (SELECT indexation, n, n / sum(n) OVER () AS p FROM (SELEC
   WHEN in_a = 'Indexed' AND in_b = 'Indexed' THEN 'A & B' ELSE 'Not indexed' END AS indexation, count(DISTINCT id) AS n FROM base GROUP BY 1))"""
 
 
-@query(BASE.rstrip() + f", {SHARES} SELECT * FROM shares")
+@query(BASE.rstrip() + f", {SHARES} SELECT * FROM shares", doubles="p")
 def indexation_categories(t: Tables) -> DataFrame:
     return reports.indexation_shares(roles.base(t))
 
@@ -337,7 +342,8 @@ def indexation_categories(t: Tables) -> DataFrame:
     + f""", {SHARES}, sizes AS (SELECT CASE c_nationkey % 3 WHEN 2 THEN 'B' ELSE 'A' END AS index, c_nationkey % 3 AS part, count(*) AS size FROM customer GROUP BY ALL),
     extra AS (SELECT index, sum(size * (CASE part WHEN 0 THEN 0.41 WHEN 1 THEN 0.26 ELSE 0.58 END + CASE part WHEN 0 THEN 0.01 WHEN 1 THEN 0.10 ELSE 0.26 END)) AS e FROM sizes GROUP BY 1)
     SELECT index, (CASE index WHEN 'A' THEN (SELECT sum(n) FROM shares WHERE indexation IN ('Only A', 'A & B')) ELSE (SELECT sum(n) FROM shares WHERE indexation IN ('Only B', 'A & B')) END + e)
-      / (SELECT sum(n) FROM shares) AS bound FROM extra"""
+      / (SELECT sum(n) FROM shares) AS bound FROM extra""",
+    doubles="bound",
 )
 def coverage_upper_bounds(t: Tables) -> DataFrame:
     part = F.col("c_nationkey") % 3
@@ -357,7 +363,8 @@ def _english(name: str, condition: str) -> str:
     + " UNION ALL ".join(
         _english(n, c)
         for n, c in (("A", "in_a = 'Indexed'"), ("B", "in_b = 'Indexed'"), ("Not indexed", "in_a <> 'Indexed' AND in_b <> 'Indexed'"))
-    )
+    ),
+    doubles="p",
 )
 def english_share_by_indexation(t: Tables) -> DataFrame:
     return reports.language_by_indexation(roles.base(t))
@@ -371,17 +378,17 @@ def _over_under(flag: str, value: str) -> str:
     ON o.{flag} = n.{flag} AND o.domain IS NOT DISTINCT FROM n.domain WHERE o.{flag} = '{value}'"""
 
 
-@query(BASE + _over_under("in_a", "Indexed"))
+@query(BASE + _over_under("in_a", "Indexed"), doubles="p p_norm x")
 def over_under_index_a(t: Tables) -> DataFrame:
     return reports.over_under(roles.base(t), "in_a", "Indexed")
 
 
-@query(BASE + _over_under("in_b", "Indexed"))
+@query(BASE + _over_under("in_b", "Indexed"), doubles="p p_norm x")
 def over_under_index_b(t: Tables) -> DataFrame:
     return reports.over_under(roles.base(t), "in_b", "Indexed")
 
 
-@query(BASE + _over_under("language", "English"))
+@query(BASE + _over_under("language", "English"), doubles="p p_norm x")
 def over_under_english(t: Tables) -> DataFrame:
     return reports.over_under(roles.base(t), "language", "English")
 
@@ -389,7 +396,8 @@ def over_under_english(t: Tables) -> DataFrame:
 @query(
     BASE
     + """SELECT domain, gender, n, n / sum(n) OVER (PARTITION BY domain) AS p FROM (SELECT domain, 'Men' AS gender, sum(Men) AS n FROM base GROUP BY domain
-    UNION ALL SELECT domain, 'Women', sum(Women) FROM base GROUP BY domain)"""
+    UNION ALL SELECT domain, 'Women', sum(Women) FROM base GROUP BY domain)""",
+    doubles="n p",
 )
 def authorship_share_by_domain(t: Tables) -> DataFrame:
     return reports.authorship_by_domain(roles.base(t))
@@ -408,7 +416,8 @@ def _profile(ind: str, condition: str, place: int) -> str:
             ("% indexed in A", "in_a = 'Indexed'", 2),
             ("% indexed in B", "in_b = 'Indexed'", 3),
         )
-    )
+    ),
+    doubles="value",
 )
 def domain_profiles(t: Tables) -> DataFrame:
     return reports.domain_profile(roles.base(t))
@@ -418,7 +427,8 @@ def domain_profiles(t: Tables) -> DataFrame:
     prelude("pubs", "inference")
     + """SELECT (SELECT count(*) FROM orders) AS documents, count(DISTINCT author_id) AS authors,
     (SELECT count(DISTINCT author_id) FROM inference WHERE gender IN ('F', 'M')) / count(DISTINCT author_id) AS inferred_share
-    FROM pubs WHERE title IN (SELECT 'Study of order ' || o_orderkey FROM orders)"""
+    FROM pubs WHERE title IN (SELECT 'Study of order ' || o_orderkey FROM orders)""",
+    doubles="inferred_share",
 )
 def corpus_size_checks(t: Tables) -> DataFrame:
     documents = t.orders.select(F.concat(F.lit("Study of order "), "o_orderkey").alias("id"))
@@ -426,7 +436,8 @@ def corpus_size_checks(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT in_prev, count(*) AS n, count(*) / sum(count(*)) OVER () AS p FROM (SELECT DISTINCT text, text IN (SELECT text FROM benchmark UNION ALL SELECT text FROM conversations) AS in_prev FROM documents) GROUP BY 1"""
+    """SELECT in_prev, count(*) AS n, count(*) / sum(count(*)) OVER () AS p FROM (SELECT DISTINCT text, text IN (SELECT text FROM benchmark UNION ALL SELECT text FROM conversations) AS in_prev FROM documents) GROUP BY 1""",
+    doubles="p",
 )
 def overlap_with_earlier_corpus(t: Tables) -> DataFrame:
     earlier = t.benchmark.select("text").unionByName(t.conversations.select("text"))

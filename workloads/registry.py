@@ -29,8 +29,11 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a function under its name, with the SQL that gives the same rows."""
+def query(sql: str | None = None, doubles: str = "") -> Callable[[Query], Query]:
+    """Registers a function under its name, with the SQL that gives the same rows.
+
+    ``doubles`` names the columns that the SQL result is rounded in, as :func:`rounded` does for Spark.
+    """
 
     def register(function: Query) -> Query:
         name = function.__name__
@@ -38,7 +41,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"duplicate query {name}")
         _QUERIES[name] = function
         if sql is not None:
-            _SQL[name] = sql
+            replaced = ", ".join(f'round("{c}", {DIGITS}) AS "{c}"' for c in doubles.split())
+            _SQL[name] = f"SELECT * REPLACE ({replaced}) FROM ({sql})" if doubles else sql
         return function
 
     return register

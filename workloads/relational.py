@@ -29,10 +29,11 @@ from workloads.roles import prelude
 
 
 @query(
-    """SELECT p_size % 6 AS domain_id, count(*) AS n, sum(l_quantity) AS score FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1"""
+    """SELECT p_size % 6 AS domain_id, count(*) AS n, sum(l_quantity) AS score FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""",
+    doubles="score",
 )
 def inner_join(t: Tables) -> DataFrame:
-    joined = skew_join(roles.work_topics(t), roles.topics(t).select("topic_id", "domain_id"), "topic_id", "inner")
+    joined = skew_join(roles.work_topics(t), roles.topics(t).select("topic_id", "domain_id"), "topic_id", "inner", roles.work_topics(t))
     return joined.groupBy("domain_id").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score"))
 
 
@@ -104,8 +105,8 @@ def topic_domain_chain(t: Tables) -> DataFrame:
 )
 def authorship_chain(t: Tables) -> DataFrame:
     home = roles.institutions(t).where(F.col("country") == roles.COUNTRY).select("institution_id", "institution_name")
-    local = skew_join(roles.authorships(t), home, "institution_id", "inner").drop("institution_id").distinct()
-    return skew_join(local, roles.authors(t), "author_id", "left")
+    local = skew_join(roles.authorships(t), home, "institution_id", "inner", roles.authorships(t)).drop("institution_id").distinct()
+    return skew_join(local, roles.authors(t), "author_id", "left", roles.authorships(t))
 
 
 @query(
@@ -155,14 +156,16 @@ def same_name_left_join(t: Tables) -> DataFrame:
     + """SELECT DISTINCT l_orderkey AS title, l_suppkey AS list_author, gender FROM lineitem LEFT JOIN inference ON l_suppkey = author_id"""
 )
 def renamed_key_left_join(t: Tables) -> DataFrame:
-    people = t.lineitem.select(F.col("l_orderkey").alias("title"), F.col("l_suppkey").alias("list_author")).distinct()
-    return skew_join(people, roles.inference(t).withColumnRenamed("author_id", "list_author"), "list_author", "left")
+    people = t.lineitem.select(F.col("l_orderkey").alias("title"), F.col("l_suppkey").alias("list_author"))
+    known = roles.inference(t).withColumnRenamed("author_id", "list_author")
+    return skew_join(people.distinct(), known, "list_author", "left", people)
 
 
 @query(
     """SELECT a.event_type, a.user_id, a.total, b.n FROM (SELECT event_type, user_id, sum(value) AS total FROM events GROUP BY ALL) a
     LEFT JOIN (SELECT event_type, user_id, count(*) AS n FROM events WHERE value > 20 GROUP BY ALL) b
-    ON a.event_type = b.event_type AND a.user_id = b.user_id"""
+    ON a.event_type = b.event_type AND a.user_id = b.user_id""",
+    doubles="total",
 )
 def two_key_left_join(t: Tables) -> DataFrame:
     """Both sides are aggregates on the same keys, so the join needs no shuffle of its own."""
@@ -261,7 +264,8 @@ def distinct_with_missing(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_orderkey END) / count(DISTINCT l_orderkey) AS share FROM lineitem"""
+    """SELECT count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_orderkey END) / count(DISTINCT l_orderkey) AS share FROM lineitem""",
+    doubles="share",
 )
 def distinct_ratio(t: Tables) -> DataFrame:
     counts = distinct_counts(t.lineitem, [], "l_orderkey", {"returned": F.col("l_returnflag") == "R"})
@@ -273,19 +277,20 @@ def frequency_table(t: Tables) -> DataFrame:
     return frequency(roles.language(t), "language")
 
 
-@query("SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey")
+@query("SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey", doubles="total")
 def sum_per_group(t: Tables) -> DataFrame:
     return t.orders.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total"))
 
 
 @query(
-    "SELECT l_suppkey, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity END) / sum(l_quantity) AS p FROM lineitem GROUP BY l_suppkey"
+    "SELECT l_suppkey, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity END) / sum(l_quantity) AS p FROM lineitem GROUP BY l_suppkey",
+    doubles="p",
 )
 def conditional_share(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_suppkey").agg(share_where(F.col("l_quantity"), F.col("l_returnflag") == "R").alias("p"))
 
 
-@query(prelude("fractions") + "SELECT o_custkey, avg(Women) AS m, count(*) AS n FROM orders LEFT JOIN fractions f ON o_orderkey = f.id GROUP BY o_custkey")
+@query(prelude("fractions") + "SELECT o_custkey, avg(Women) AS m, count(*) AS n FROM orders LEFT JOIN fractions f ON o_orderkey = f.id GROUP BY o_custkey", doubles="m")
 def mean_of_known(t: Tables) -> DataFrame:
     """Mean over the rows that have a value."""
     joined = t.orders.select(F.col("o_orderkey").alias("id"), "o_custkey").join(roles.fractions(t), "id", "left")
@@ -293,7 +298,8 @@ def mean_of_known(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT l_suppkey, sum(l_discount * l_quantity) / sum(l_quantity) AS m FROM lineitem GROUP BY l_suppkey"""
+    """SELECT l_suppkey, sum(l_discount * l_quantity) / sum(l_quantity) AS m FROM lineitem GROUP BY l_suppkey""",
+    doubles="m",
 )
 def weighted_means(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_suppkey").agg(weighted_mean(F.col("l_discount"), F.col("l_quantity")).alias("m"))
@@ -306,12 +312,13 @@ def weighted_means(t: Tables) -> DataFrame:
 def any_per_group(t: Tables) -> DataFrame:
     """A group's flag on all its rows, without holding a group in one task."""
     rows = t.lineitem.select("l_orderkey", "l_suppkey", "l_quantity").distinct()
-    return group_any(rows, "l_orderkey", F.col("l_quantity") > 48, "some_large").drop("l_quantity")
+    return group_any(rows, "l_orderkey", F.col("l_quantity") > 48, "some_large", t.lineitem).drop("l_quantity")
 
 
 @query(
     """SELECT (sum(CASE WHEN event_type IN ('click', 'view') THEN n ELSE 0 END) + 1000 * 0.42) / sum(n) AS bound
-    FROM (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)"""
+    FROM (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)""",
+    doubles="bound",
 )
 def subset_sum_over_total(t: Tables) -> DataFrame:
     counts = frequency(t.events, "event_type")
@@ -321,7 +328,8 @@ def subset_sum_over_total(t: Tables) -> DataFrame:
 
 @query(
     """SELECT l_orderkey, coalesce(sum(l_quantity) FILTER (l_returnflag = 'A'), 0) AS A, coalesce(sum(l_quantity) FILTER (l_returnflag = 'R'), 0) AS R
-    FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY l_orderkey"""
+    FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY l_orderkey""",
+    doubles="A R",
 )
 def pivot_fixed_values(t: Tables) -> DataFrame:
     kept = t.lineitem.where(F.col("l_returnflag").isin("A", "R"))
@@ -330,7 +338,8 @@ def pivot_fixed_values(t: Tables) -> DataFrame:
 
 @query(
     """SELECT o_custkey, 'total' AS measure, sum(o_totalprice) AS value FROM orders GROUP BY 1
-    UNION ALL SELECT o_custkey, 'largest', max(o_totalprice) FROM orders GROUP BY 1"""
+    UNION ALL SELECT o_custkey, 'largest', max(o_totalprice) FROM orders GROUP BY 1""",
+    doubles="value",
 )
 def unpivot_named(t: Tables) -> DataFrame:
     wide = t.orders.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total"), F.max("o_totalprice").alias("largest"))
@@ -339,7 +348,8 @@ def unpivot_named(t: Tables) -> DataFrame:
 
 @query(
     """SELECT 'quantity' AS measure, avg(l_quantity) AS value FROM lineitem UNION ALL SELECT 'discount', avg(l_discount) FROM lineitem
-    UNION ALL SELECT 'tax', avg(l_tax) FROM lineitem"""
+    UNION ALL SELECT 'tax', avg(l_tax) FROM lineitem""",
+    doubles="value",
 )
 def unpivot_every_column(t: Tables) -> DataFrame:
     wide = t.lineitem.agg(*[F.avg(f"l_{c}").alias(c) for c in ("quantity", "discount", "tax")])
@@ -351,13 +361,14 @@ def unpivot_every_column(t: Tables) -> DataFrame:
 
 @query(
     """SELECT *, n / sum(n) OVER (PARTITION BY l_suppkey) AS p FROM
-    (SELECT l_suppkey, l_returnflag, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY ALL)"""
+    (SELECT l_suppkey, l_returnflag, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY ALL)""",
+    doubles="p",
 )
 def share_in_group(t: Tables) -> DataFrame:
     return share_within(distinct_counts(t.lineitem, ["l_suppkey", "l_returnflag"], "l_orderkey"), "n", ["l_suppkey"])
 
 
-@query("SELECT *, n / sum(n) OVER () AS p FROM (SELECT o_custkey, count(DISTINCT o_orderkey) AS n FROM orders GROUP BY ALL)")
+@query("SELECT *, n / sum(n) OVER () AS p FROM (SELECT o_custkey, count(DISTINCT o_orderkey) AS n FROM orders GROUP BY ALL)", doubles="p")
 def share_of_grand_total(t: Tables) -> DataFrame:
     return share_of_total(distinct_counts(t.orders, ["o_custkey"], "o_orderkey"), "n")
 
@@ -373,7 +384,8 @@ def dominant_value(t: Tables) -> DataFrame:
 
 @query(
     """SELECT l_quantity, count(*) AS n, any_value(r) AS rank FROM (SELECT l_quantity, rank() OVER (ORDER BY l_quantity)
-    + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS r FROM lineitem) GROUP BY l_quantity"""
+    + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS r FROM lineitem) GROUP BY l_quantity""",
+    doubles="l_quantity rank",
 )
 def average_ranks(t: Tables) -> DataFrame:
     return average_rank(t.lineitem, "l_quantity")
@@ -384,13 +396,13 @@ def zero_based_ids(t: Tables) -> DataFrame:
     return sequence_id(t.customer.select("c_custkey"), "c_custkey")
 
 
-@query("SELECT l_orderkey, l_partkey, l_quantity FROM (SELECT *, rank() OVER (ORDER BY l_quantity DESC) AS r FROM lineitem) WHERE r <= 25")
+@query("SELECT l_orderkey, l_partkey, l_quantity FROM (SELECT *, rank() OVER (ORDER BY l_quantity DESC) AS r FROM lineitem) WHERE r <= 25", doubles="l_quantity")
 def top_rows_with_ties(t: Tables) -> DataFrame:
     """Ties of the last value are all kept, however many."""
     return top_with_ties(t.lineitem.select("l_orderkey", "l_partkey", "l_quantity"), "l_quantity", 25)
 
 
-@query("SELECT s_suppkey, s_acctbal FROM (SELECT *, rank() OVER (ORDER BY s_acctbal) AS r FROM supplier) WHERE r <= 25")
+@query("SELECT s_suppkey, s_acctbal FROM (SELECT *, rank() OVER (ORDER BY s_acctbal) AS r FROM supplier) WHERE r <= 25", doubles="s_acctbal")
 def bottom_rows_with_ties(t: Tables) -> DataFrame:
     return top_with_ties(t.supplier.select("s_suppkey", "s_acctbal"), "s_acctbal", 25, ascending=True)
 
@@ -403,7 +415,7 @@ def extreme_rows(t: Tables) -> DataFrame:
     return extremes(frequency(t.orders, "o_custkey"), "n", 10)
 
 
-@query("SELECT event_type, avg(value) AS p FROM events GROUP BY event_type ORDER BY p DESC")
+@query("SELECT event_type, avg(value) AS p FROM events GROUP BY event_type ORDER BY p DESC", doubles="p")
 def ordered_by_measure(t: Tables) -> DataFrame:
     return t.events.groupBy("event_type").agg(F.avg("value").alias("p")).orderBy(F.desc("p"))
 
@@ -424,7 +436,8 @@ def ordered_by_level(t: Tables) -> DataFrame:
 
 @query(
     """SELECT name, kind, balance FROM (SELECT c_name AS name, 'customer' AS kind, c_acctbal AS balance FROM customer
-    UNION ALL SELECT s_name, 'supplier', s_acctbal FROM supplier UNION ALL SELECT n_name, 'nation', NULL FROM nation)"""
+    UNION ALL SELECT s_name, 'supplier', s_acctbal FROM supplier UNION ALL SELECT n_name, 'nation', NULL FROM nation)""",
+    doubles="balance",
 )
 def union_by_name(t: Tables) -> DataFrame:
     """Columns meet by name, absent ones are missing."""
@@ -446,7 +459,8 @@ def difference(t: Tables) -> DataFrame:
 
 @query(
     """SELECT in_prev, count(*) AS n, count(*) / sum(count(*)) OVER () AS p FROM
-    (SELECT DISTINCT o_custkey, o_custkey IN (SELECT s_suppkey FROM supplier) AS in_prev FROM orders) GROUP BY in_prev"""
+    (SELECT DISTINCT o_custkey, o_custkey IN (SELECT s_suppkey FROM supplier) AS in_prev FROM orders) GROUP BY in_prev""",
+    doubles="p",
 )
 def overlap_share(t: Tables) -> DataFrame:
     flagged = with_flag(t.orders.select("o_custkey").distinct(), t.supplier, "o_custkey", "in_prev", "s_suppkey")

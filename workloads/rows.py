@@ -14,7 +14,7 @@ from workloads.registry import Tables, query
 from workloads.roles import prelude
 
 
-@query("SELECT s_suppkey AS author_id, s_name AS author_name, s_acctbal * 2 AS twice, 'Brazil' AS country FROM supplier")
+@query("SELECT s_suppkey AS author_id, s_name AS author_name, s_acctbal * 2 AS twice, 'Brazil' AS country FROM supplier", doubles="twice")
 def column_projection(t: Tables) -> DataFrame:
     """Select, rename, computed and literal columns, dropped columns: only the used ones are scanned."""
     renamed = t.supplier.drop("s_nationkey").withColumnsRenamed({"s_suppkey": "author_id", "s_name": "author_name"})
@@ -33,7 +33,8 @@ def filled_strings(t: Tables) -> DataFrame:
 
 @query(
     """SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem
-    WHERE l_quantity >= 45 AND l_returnflag = 'R' AND NOT (l_discount > 0.05) AND l_linestatus IN ('O', 'X')"""
+    WHERE l_quantity >= 45 AND l_returnflag = 'R' AND NOT (l_discount > 0.05) AND l_linestatus IN ('O', 'X')""",
+    doubles="l_quantity",
 )
 def comparison_filter(t: Tables) -> DataFrame:
     """Equality, comparison, negation and a code set, all pushed to the scan."""
@@ -96,7 +97,8 @@ def binary_choice(t: Tables) -> DataFrame:
 @query(
     """SELECT CASE WHEN quality = 1 AND toxic = 0 THEN 'Only A' WHEN toxic = 1 AND quality = 0 THEN 'Only B'
       WHEN toxic = 1 AND quality = 1 THEN 'A & B' ELSE 'Not indexed' END AS indexation, count(*) AS n, count(*) / (SELECT count(*) FROM labels) AS p
-    FROM labels GROUP BY 1"""
+    FROM labels GROUP BY 1""",
+    doubles="p",
 )
 def multiway_choice(t: Tables) -> DataFrame:
     flag = {n: F.when(F.col(c) == 1, "Indexed").otherwise("Not indexed") for n, c in (("in_a", "quality"), ("in_b", "toxic"))}

@@ -131,7 +131,7 @@ def unmatched_article_check_sample(t: Tables) -> DataFrame:
     return unmatched_article_sample(full, flagged)
 
 
-@query("SELECT quality, toxic, count(DISTINCT doc_id) AS n, count(DISTINCT doc_id) / (SELECT count(DISTINCT doc_id) FROM labels) AS p FROM labels GROUP BY ALL")
+@query("SELECT quality, toxic, count(DISTINCT doc_id) AS n, count(DISTINCT doc_id) / (SELECT count(DISTINCT doc_id) FROM labels) AS p FROM labels GROUP BY ALL", doubles="p")
 def checked_sample_results(t: Tables) -> DataFrame:
     """Annotations compiled: items per outcome and their share."""
     return result_shares(t.labels, ["quality", "toxic"], "doc_id")

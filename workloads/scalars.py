@@ -80,7 +80,8 @@ def rounded_labels(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT l_suppkey, sum(l_quantity) / nullif(sum(l_tax), 0) - 1 AS x FROM lineitem GROUP BY l_suppkey"""
+    """SELECT l_suppkey, sum(l_quantity) / nullif(sum(l_tax), 0) - 1 AS x FROM lineitem GROUP BY l_suppkey""",
+    doubles="x",
 )
 def safe_ratios(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_suppkey").agg((F.try_divide(F.sum("l_quantity"), F.sum("l_tax")) - 1).alias("x"))

@@ -19,7 +19,7 @@ def pairs(t: Tables) -> DataFrame:
     return t.orders.select((F.col("o_custkey") % 50).alias("x"), F.round(F.col("o_totalprice") / 10000).alias("y"))
 
 
-@query(RANKS + " SELECT n, r FROM c")
+@query(RANKS + " SELECT n, r FROM c", doubles="r")
 def spearman_correlation(t: Tables) -> DataFrame:
     return spearman(pairs(t), "x", "y").select("n", "r")
 
@@ -27,7 +27,8 @@ def spearman_correlation(t: Tables) -> DataFrame:
 @query(
     RANKS
     + """ SELECT n, (CAST(n AS DOUBLE) * n * n - n) * (1 - r) / 6 / (CAST(n AS DOUBLE) * n * n) AS s_scaled,
-    r * sqrt((n - 2) / (1 - r * r)) AS t FROM c"""
+    r * sqrt((n - 2) / (1 - r * r)) AS t FROM c""",
+    doubles="s_scaled t",
 )
 def spearman_test(t: Tables) -> DataFrame:
     result = spearman(pairs(t), "x", "y")
@@ -42,7 +43,8 @@ def spearman_test(t: Tables) -> DataFrame:
     grid AS (SELECT i, j FROM range(8) a(i), range(8) b(j))
     SELECT c.g, i, j, any_value(x0 + (x1 - x0) * i / 7) AS x, any_value(y0 + (y1 - y0) * j / 7) AS y,
       sum(w * exp(-pow((c.x - (x0 + (x1 - x0) * i / 7)) / 5.0, 2) / 2) * exp(-pow((c.y - (y0 + (y1 - y0) * j / 7)) / 2.0, 2) / 2)) / (2 * pi() * any_value(n.n) * 10.0) AS density
-    FROM cells c JOIN n ON c.g = n.g, b, grid GROUP BY c.g, i, j"""
+    FROM cells c JOIN n ON c.g = n.g, b, grid GROUP BY c.g, i, j""",
+    doubles="x y density",
 )
 def density_by_class(t: Tables) -> DataFrame:
     points = t.lineitem.select(F.col("l_returnflag").alias("g"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"))

@@ -26,7 +26,7 @@ from workloads.registry import Tables, query
 from workloads.roles import prelude
 
 
-@query("SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag")
+@query("SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag", doubles="quantity")
 def parquet_folder(t: Tables) -> DataFrame:
     """A query exported to a folder of shards and read back in one scan."""
     path = scratch_path(t.spark, "export")
@@ -35,7 +35,7 @@ def parquet_folder(t: Tables) -> DataFrame:
     return back.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
-@query("SELECT o_orderkey % 4 + 1 AS part, count(*) AS n, sum(o_custkey) AS total FROM orders GROUP BY 1")
+@query("SELECT o_orderkey % 4 + 1 AS part, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS total FROM orders GROUP BY 1")
 def numbered_files(t: Tables) -> DataFrame:
     """Numbered partition files read together; the number becomes a column."""
     folder = scratch_path(t.spark, "numbered")

@@ -25,6 +25,7 @@ from pubmeter.operators.tokens import (
     vocabulary,
 )
 from pubmeter.plans.topics import describe_topics, document_info, model_topics
+from pubmeter.session import cut_lineage
 from workloads import roles
 from workloads.registry import Tables, query
 from workloads.roles import SQL, prelude
@@ -67,13 +68,13 @@ def source_sql(*parts: str) -> str:
 
 
 def source_counts(t: Tables) -> DataFrame:
-    return term_counts(by_source(t), "topic", "title", STOP)
+    return cut_lineage(term_counts(by_source(t), "topic", "title", STOP))
 
 
 @query(source_sql() + "SELECT * FROM counts")
 def words_and_pairs(t: Tables) -> DataFrame:
     """Single words and neighbouring pairs of whole texts, without stop words."""
-    return source_counts(t)
+    return term_counts(by_source(t), "topic", "title", STOP)
 
 
 @query(source_sql(weights_sql(MIN_DF, MAX_DF)) + "SELECT * FROM vocab")
@@ -81,12 +82,12 @@ def topic_vocabulary(t: Tables) -> DataFrame:
     return vocabulary(source_counts(t), "topic", MIN_DF, MAX_DF)
 
 
-@query(source_sql(weights_sql(MIN_DF, MAX_DF)) + "SELECT * FROM weights")
+@query(source_sql(weights_sql(MIN_DF, MAX_DF)) + "SELECT * FROM weights", doubles="weight")
 def term_weights(t: Tables) -> DataFrame:
     return class_tfidf(source_counts(t), "topic", MIN_DF, MAX_DF)
 
 
-@query(source_sql(weights_sql(MIN_DF, MAX_DF), top_sql(10)) + "SELECT topic, term, weight, rank FROM top")
+@query(source_sql(weights_sql(MIN_DF, MAX_DF), top_sql(10)) + "SELECT topic, term, weight, rank FROM top", doubles="weight")
 def top_terms_by_topic(t: Tables) -> DataFrame:
     return top_terms(class_tfidf(source_counts(t), "topic", MIN_DF, MAX_DF)).select("topic", "term", "weight", "rank")
 
@@ -141,7 +142,8 @@ def outliers_reassigned(t: Tables) -> DataFrame:
     prelude(*REASSIGNED, "stop").rstrip()
     + ", moved AS (SELECT r.id, r.topic, text AS title FROM reassigned r JOIN documents ON doc_id = r.id), "
     + ", ".join((counts_sql("moved"), weights_sql(0.001, 0.8), top_sql(10)))
-    + " SELECT topic, term, weight, rank FROM top"
+    + " SELECT topic, term, weight, rank FROM top",
+    doubles="weight",
 )
 def terms_after_reassignment(t: Tables) -> DataFrame:
     """The topic terms recomputed for the new assignment."""
@@ -154,7 +156,8 @@ def terms_after_reassignment(t: Tables) -> DataFrame:
     prelude("vectors", "centroids")
     + """SELECT topic, term, similarity, rank FROM (SELECT v.topic, 'v' || v.id AS term, round(list_cosine_similarity(v.vec, c.vec), 9) AS similarity,
     row_number() OVER (PARTITION BY v.topic ORDER BY round(list_cosine_similarity(v.vec, c.vec), 9) DESC, 'v' || v.id) AS rank
-    FROM vectors v JOIN centroids c ON v.topic = c.topic) WHERE rank <= 10"""
+    FROM vectors v JOIN centroids c ON v.topic = c.topic) WHERE rank <= 10""",
+    doubles="similarity",
 )
 def terms_reranked_by_vector(t: Tables) -> DataFrame:
     """Candidate terms by closeness to their topic; the given vectors stand for term vectors."""
@@ -203,7 +206,7 @@ def documents_with_merged_topic(t: Tables) -> DataFrame:
 
 TRIPLES = r"""words AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS w FROM documents),
 word_counts AS (SELECT doc_id, lang, ' ' || w || ' ' AS p, count(*) AS c FROM words GROUP BY ALL),
-tri AS (SELECT doc_id, lang, triple, sum(c) AS c FROM (SELECT doc_id, lang, c, unnest(list_transform(range(1, length(p) - 1), i -> substring(p, i, 3))) AS triple FROM word_counts) GROUP BY ALL),
+tri AS (SELECT doc_id, lang, triple, sum(c) AS c FROM (SELECT doc_id, lang, c, unnest(list_transform(range(1, length(p) - 1), lambda i: substring(p, i, 3))) AS triple FROM word_counts) GROUP BY ALL),
 by_lang AS (SELECT lang, triple, sum(c) AS n FROM tri GROUP BY ALL),
 feats AS (SELECT DISTINCT triple FROM (SELECT triple, row_number() OVER (PARTITION BY lang ORDER BY n DESC, triple) AS rn FROM by_lang) WHERE rn <= 2000),
 totals AS (SELECT lang, sum(n) AS total FROM by_lang JOIN feats USING (triple) GROUP BY lang),
@@ -211,7 +214,7 @@ profile AS (SELECT t.lang AS language, f.triple, CAST(round(ln((coalesce(b.n, 0)
   FROM feats f, totals t LEFT JOIN by_lang b ON b.lang = t.lang AND b.triple = f.triple)"""
 
 
-@query(f"WITH {TRIPLES} SELECT language, triple, logp / 1000000 AS logp FROM profile")
+@query(f"WITH {TRIPLES} SELECT language, triple, logp / 1000000 AS logp FROM profile", doubles="logp")
 def language_profiles(t: Tables) -> DataFrame:
     profile = language_profile(t.documents, "text", "lang")
     return profile.withColumn("logp", F.col("logp") / 1_000_000)
@@ -220,7 +223,8 @@ def language_profiles(t: Tables) -> DataFrame:
 @query(
     f"""WITH {TRIPLES}, scored AS (SELECT doc_id, language, sum(c * logp) AS s FROM tri JOIN profile p USING (triple) GROUP BY ALL),
     best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, language) AS rn FROM scored) WHERE rn = 1)
-    SELECT d.doc_id, b.language, round(b.s / 1000000, 1) AS score FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id"""
+    SELECT d.doc_id, b.language, round(b.s / 1000000, 1) AS score FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id""",
+    doubles="score",
 )
 def identified_language(t: Tables) -> DataFrame:
     """Language of whole texts from profiles learned on the labelled documents."""

@@ -16,14 +16,14 @@ from workloads.registry import Tables, query
 from workloads.roles import prelude
 
 
-@query(prelude("vectors", "centroids") + "SELECT v.id, round(list_cosine_similarity(v.vec, c.vec), 6) AS similarity FROM vectors v JOIN centroids c ON v.topic = c.topic")
+@query(prelude("vectors", "centroids") + "SELECT v.id, round(list_cosine_similarity(v.vec, c.vec), 6) AS similarity FROM vectors v JOIN centroids c ON v.topic = c.topic", doubles="similarity")
 def cosine_to_centroid(t: Tables) -> DataFrame:
     v = roles.vectors(t)
     means = topic_centroids(v).select("topic", F.col("vec").alias("c"))
     return v.join(means, "topic").select("id", cosine(F.col("vec"), F.col("c")).alias("similarity"))
 
 
-@query(prelude("vectors", "centroids") + "SELECT topic, round(vec[1], 6) AS first, round(vec[64], 6) AS last, round(list_sum(vec), 6) AS total FROM centroids")
+@query(prelude("vectors", "centroids") + "SELECT topic, round(vec[1], 6) AS first, round(vec[64], 6) AS last, round(list_sum(vec), 6) AS total FROM centroids", doubles="first last total")
 def centroid_vectors(t: Tables) -> DataFrame:
     means = topic_centroids(roles.vectors(t))
     total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
@@ -32,7 +32,8 @@ def centroid_vectors(t: Tables) -> DataFrame:
 
 @query(
     prelude("vectors")
-    + """SELECT id, round(vec[1] / s, 6) AS first, round(vec[2] / s, 6) AS second FROM vectors, (SELECT stddev_pop(vec[1]) * 10000 AS s FROM vectors)"""
+    + """SELECT id, round(vec[1] / s, 6) AS first, round(vec[2] / s, 6) AS second FROM vectors, (SELECT stddev_pop(vec[1]) * 10000 AS s FROM vectors)""",
+    doubles="first second",
 )
 def rescaled_vectors(t: Tables) -> DataFrame:
     scaled = rescale(roles.vectors(t), "vec")
@@ -44,7 +45,7 @@ NEAR = """near AS (SELECT id, neighbour, distance, rank FROM (SELECT a.id, b.id
   FROM vectors a JOIN vectors b ON a.id <> b.id) WHERE rank <= 10)"""
 
 
-@query(prelude("vectors").rstrip() + f", {NEAR} SELECT id, neighbour, round(distance, 6) AS distance, rank FROM near")
+@query(prelude("vectors").rstrip() + f", {NEAR} SELECT id, neighbour, round(distance, 6) AS distance, rank FROM near", doubles="distance")
 def nearest_neighbours(t: Tables) -> DataFrame:
     """Exact ten nearest by cosine, every block pair in its own task."""
     v = roles.vectors(t)
