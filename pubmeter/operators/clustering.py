@@ -19,8 +19,9 @@ OUTLIER = -1
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``id, component`` for every end of an edge; the component is its smallest id.
 
-    Every round takes the smallest label of all neighbours and then the label of that label, so a chain
-    shrinks geometrically. Labels are checkpointed per round.
+    In every round a node and the root it points to both take the smallest label among the node's neighbours,
+    and then every label is replaced by the label of that label. The number of rounds grows with the logarithm
+    of the longest path. Labels are written out between the steps.
     """
     ends = edges.select(F.col(a).alias("src"), F.col(b).alias("dst"))
     both = cut_lineage(ends.unionByName(ends.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
@@ -28,9 +29,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while True:
         current = labels.select(F.col("id").alias("src"), F.col("component").alias("_near"))
         heard = skew_join(both, current, "src", "inner", both).groupBy(F.col("dst").alias("id")).agg(F.min("_near").alias("_near"))
-        hopped = cut_lineage(
-            labels.join(heard, "id").select("id", F.least("component", "_near").alias("component"), F.col("component").alias("_old"))
-        )
+        told = labels.join(heard, "id")
+        own = told.select("id", F.least("component", "_near").alias("component"), F.col("component").alias("_old"))
+        root = told.select(F.col("component").alias("id"), F.col("_near").alias("component"), F.lit(None).cast(own.schema["_old"].dataType).alias("_old"))
+        hopped = cut_lineage(own.unionByName(root).groupBy("id").agg(F.min("component").alias("component"), F.max("_old").alias("_old")))
         roots = hopped.select(F.col("id").alias("component"), F.col("component").alias("_root"))
         jumped = skew_join(hopped, roots, "component", "inner", hopped)
         labels = cut_lineage(jumped.select("id", F.least("component", "_root").alias("component"), "_old"))

@@ -61,9 +61,12 @@ def identify_language(df: DataFrame, id: str, text: str, profile: DataFrame) ->
 
     A text without any known triple gets no language.
     """
+    languages = sorted(r[0] for r in profile.select("language").distinct().collect())  # a short list of codes
+    wide = profile.groupBy("triple").pivot("language", languages).agg(F.first("logp"))
     triples = df.select(id, F.explode(letter_triples(F.col(text))).alias("triple"))
-    # the profile is bounded by its number of triples, see language_profile
-    scored = triples.join(F.broadcast(profile), "triple").groupBy(id, "language").agg(F.sum("logp").alias("score"))
-    best = first_rows(scored, [id], [F.desc("score"), F.asc("language")])
-    found = best.select(id, "language", (F.col("score") / SCALE).alias("score"))
-    return df.select(id).join(found, id, "left")
+    # one row per triple of the profile, which language_profile bounds
+    scored = triples.join(F.broadcast(wide), "triple").groupBy(id).agg(*[F.sum(f"`{c}`").alias(c) for c in languages])
+    best = F.array_min(F.array(*[F.struct((-F.col(f"`{c}`")).alias("loss"), F.lit(c).alias("language")) for c in languages]))
+    found = scored.select(id, best.alias("_best"))
+    named = found.select(id, F.col("_best.language").alias("language"), (-F.col("_best.loss") / SCALE).alias("score"))
+    return df.select(id).join(named, id, "left")

@@ -31,8 +31,10 @@ def clean_titles(
     articles: DataFrame, title: str = "title", keep: Sequence[str] = (), words: Sequence[str] = BOILERPLATE, min_length: int = TITLE_LONGER_THAN
 ) -> DataFrame:
     """``id`` (the raw title), ``keep`` columns and the cleaned title; short and empty ones are dropped."""
-    cleaned = articles.select(F.col(title).alias("id"), *keep, clean_title(F.col(title), words).alias("title"))
-    return cleaned.where(is_filled(F.col("title")) & longer_than(F.col("title"), min_length))
+    cleaned = clean_title(F.col(title), words)
+    # An array of the one cleaned title, kept or not: a plain filter would clean every title once more per condition.
+    kept = F.filter(F.array(cleaned), lambda c: is_filled(c) & longer_than(c, min_length))
+    return articles.select(F.col(title).alias("id"), *keep, F.explode(kept).alias("title"))
 
 
 def text_table(pubs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ META = """meta_rows AS (SELECT title, year, doi, journal, issn FROM (SELECT *, r
 )
 def cleaned_titles(t: Tables) -> DataFrame:
     """Whole texts as titles, one row per distinct text."""
-    cleaned = metadata.clean_titles(t.documents.select("text").distinct(), "text")
+    cleaned = metadata.clean_titles(t.spread("documents").select("text").distinct(), "text")
     return cleaned.select(F.md5("id").alias("id"), F.md5("title").alias("title"))
 
 

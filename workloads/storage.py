@@ -106,13 +106,13 @@ def report_tables(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT (event_id_row - 1) // 700 + 1 AS part, count(*) AS n, min(event_id) AS first, max(event_id) AS last
+    """SELECT (event_id_row - 1) // 4000 + 1 AS part, count(*) AS n, min(event_id) AS first, max(event_id) AS last
     FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS event_id_row FROM events) GROUP BY 1"""
 )
 def row_partition_files(t: Tables) -> DataFrame:
     """Rows in key order cut into parts of equal size, without a single-task sort."""
     path = scratch_path(t.spark, "parts")
-    write_row_partitions(t.events.select("event_id", "event_type"), path, "event_id", 700)
+    write_row_partitions(t.events.select("event_id", "event_type"), path, "event_id", 4_000)
     back = read_row_partitions(t.spark, path)
     return back.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
 

@@ -37,7 +37,7 @@ MIN_DF, MAX_DF = 0.1, 0.8
 def by_source(t: Tables) -> DataFrame:
     """Whole documents, with the number of their source as topic."""
     number = F.regexp_extract("source", r"(\d+)", 1).cast("int")
-    return t.documents.select(F.col("doc_id").alias("id"), number.alias("topic"), F.col("text").alias("title"))
+    return t.spread("documents").select(F.col("doc_id").alias("id"), number.alias("topic"), F.col("text").alias("title"))
 
 
 SQL["by_source"] = r"SELECT doc_id AS id, CAST(regexp_extract(source, '(\d+)', 1) AS INTEGER) AS topic, text AS title FROM documents"
@@ -216,7 +216,7 @@ profile AS (SELECT t.lang AS language, f.triple, CAST(round(ln((coalesce(b.n, 0)
 
 @query(f"WITH {TRIPLES} SELECT language, triple, logp / 1000000 AS logp FROM profile", doubles="logp")
 def language_profiles(t: Tables) -> DataFrame:
-    profile = language_profile(t.documents, "text", "lang")
+    profile = language_profile(t.spread("documents"), "text", "lang")
     return profile.withColumn("logp", F.col("logp") / 1_000_000)
 
 
@@ -228,8 +228,8 @@ def language_profiles(t: Tables) -> DataFrame:
 )
 def identified_language(t: Tables) -> DataFrame:
     """Language of whole texts from profiles learned on the labelled documents."""
-    profile = language_profile(t.documents, "text", "lang")
-    found = identify_language(t.documents.select("doc_id", "text"), "doc_id", "text", profile)
+    profile = language_profile(t.spread("documents"), "text", "lang")
+    found = identify_language(t.spread("documents").select("doc_id", "text"), "doc_id", "text", profile)
     return found.withColumn("score", F.round("score", 1))
 
 
@@ -260,6 +260,6 @@ def encoder_vectors(t: Tables) -> DataFrame:
 @query()
 def modelled_topics(t: Tables) -> DataFrame:
     """Partition, embed, cluster, reassign, merge and describe in one run; clustering is iterative."""
-    texts = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("title"))
+    texts = t.spread("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title"))
     model = model_topics(texts, 0.35, part_size=2_500, min_samples=3, min_cluster_size=5, stop=STOP)
     return model.info.select("topic", "count", "label")
