@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words removed from titles, in this order, case-sensitive, also inside longer words.
@@ -119,6 +119,14 @@ def percent_text(share: Column, digits: int = 1) -> Column:
     return F.concat(F.when(whole, number.cast("bigint").cast("string")).otherwise(number.cast("string")), F.lit("%"))
 
 
+def each(df: DataFrame, array: Column, name: str, *keep: Column | str) -> DataFrame:
+    """``keep`` columns and one row per element of a costly array; elements are never null.
+
+    A plain explode would have the optimizer compute every array once more, beforehand, to drop the empty ones.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def tokens(c: Column) -> Column:
     """Lower-case words of at least two letters, digits or underscores, in any script."""
     return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))

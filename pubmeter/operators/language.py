@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pubmeter.functions.text import each
 from pubmeter.operators.ordering import first_rows
 from pubmeter.session import cut_lineage
 
@@ -36,7 +37,7 @@ def language_profile(labelled: DataFrame, text: str, language: str, size: int =
     The triples are the union of each language's ``size`` most frequent ones, so the profile has at most
     (languages x size) triples, times the languages.
     """
-    triples = labelled.select(F.col(language).alias("language"), F.explode(letter_triples(F.col(text))).alias("triple"))
+    triples = each(labelled, letter_triples(F.col(text)), "triple", F.col(language).alias("language"))
     counts = cut_lineage(triples.groupBy("language", "triple").agg(F.count(F.lit(1)).alias("n")))
     frequent = first_rows(counts, ["language"], [F.desc("n"), F.asc("triple")], size)
     features = frequent.select("triple").distinct()
@@ -63,7 +64,7 @@ def identify_language(df: DataFrame, id: str, text: str, profile: DataFrame) ->
     """
     languages = sorted(r[0] for r in profile.select("language").distinct().collect())  # a short list of codes
     wide = profile.groupBy("triple").pivot("language", languages).agg(F.first("logp"))
-    triples = df.select(id, F.explode(letter_triples(F.col(text))).alias("triple"))
+    triples = each(df, letter_triples(F.col(text)), "triple", id)
     # one row per triple of the profile, which language_profile bounds
     scored = triples.join(F.broadcast(wide), "triple").groupBy(id).agg(*[F.sum(f"`{c}`").alias(c) for c in languages])
     best = F.array_min(F.array(*[F.struct((-F.col(f"`{c}`")).alias("loss"), F.lit(c).alias("language")) for c in languages]))

@@ -110,11 +110,13 @@ def density_grid(
     if bandwidth is not None:
         sizes = sizes.select(group, "_n", F.lit(bandwidth[0]).alias("_hx"), F.lit(bandwidth[1]).alias("_hy"))
     grid = F.sequence(F.lit(0), F.lit(cells - 1))
-    spread = base.join(sizes, group).select("*", F.explode(grid).alias("i"))
+    # points in one place are one weighted point
+    places = base.groupBy(group, "_x", "_y").agg(F.count(F.lit(1)).alias("_w"))
+    spread = places.join(sizes, group).select("*", F.explode(grid).alias("i"))
     kx = _kernel((F.col("_x") - (x0 + (x1 - x0) * F.col("i") / (cells - 1))) / F.col("_hx"))
-    rows = spread.select(group, "i", "_n", "_hx", "_hy", "_y", kx.alias("_kx"), F.explode(grid).alias("j"))
+    rows = spread.select(group, "i", "_w", "_n", "_hx", "_hy", "_y", kx.alias("_kx"), F.explode(grid).alias("j"))
     ky = _kernel((F.col("_y") - (y0 + (y1 - y0) * F.col("j") / (cells - 1))) / F.col("_hy"))
-    weight = F.col("_kx") * ky / (F.col("_n") * F.col("_hx") * F.col("_hy"))
+    weight = F.col("_w") * F.col("_kx") * ky / (F.col("_n") * F.col("_hx") * F.col("_hy"))
     summed = rows.groupBy(group, "i", "j").agg(F.sum(weight).alias("density"))
     gx = (x0 + (x1 - x0) * F.col("i") / (cells - 1)).alias("x")
     gy = (y0 + (y1 - y0) * F.col("j") / (cells - 1)).alias("y")

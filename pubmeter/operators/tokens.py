@@ -10,7 +10,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pubmeter.functions.text import tokens
+from pubmeter.functions.text import each, tokens
 from pubmeter.functions.vectors import cosine
 from pubmeter.operators.neighbours import nearest
 from pubmeter.operators.ordering import first_rows
@@ -61,8 +61,7 @@ def terms(df: DataFrame, text: str, stop: Sequence[str] | None = None, output: s
 def term_counts(df: DataFrame, topic: str, text: str, stop: Sequence[str] | None = None) -> DataFrame:
     """``topic, term, n``: counts are combined in each map task before the shuffle."""
     listed = terms(df.select(topic, text), text, stop)
-    exploded = listed.select(topic, F.explode("terms").alias("term"))
-    return exploded.groupBy(topic, "term").agg(F.count(F.lit(1)).alias("n"))
+    return each(listed, F.col("terms"), "term", topic).groupBy(topic, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def vocabulary(counts: DataFrame, topic: str = "topic", min_df: float = MIN_DF, max_df: float = MAX_DF) -> DataFrame:

@@ -14,6 +14,7 @@ from pubmeter.functions.text import (
     ISSN_AT_LEAST,
     TITLE_LONGER_THAN,
     clean_title,
+    each,
     longer_than,
     split_name,
 )
@@ -32,9 +33,9 @@ def clean_titles(
 ) -> DataFrame:
     """``id`` (the raw title), ``keep`` columns and the cleaned title; short and empty ones are dropped."""
     cleaned = clean_title(F.col(title), words)
-    # An array of the one cleaned title, kept or not: a plain filter would clean every title once more per condition.
+    # an array of the one cleaned title, if it is kept: a filter would clean every title once more per condition
     kept = F.filter(F.array(cleaned), lambda c: is_filled(c) & longer_than(c, min_length))
-    return articles.select(F.col(title).alias("id"), *keep, F.explode(kept).alias("title"))
+    return each(articles, kept, "title", F.col(title).alias("id"), *keep)
 
 
 def text_table(pubs: DataFrame) -> DataFrame:
