@@ -10,20 +10,29 @@ from pyspark.sql import functions as F
 SALTS = 64
 # A key is hot from this share of all rows on, so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 0.01
-TRACKED = 10_000
+# Keys that a sketch follows: enough to tell one percent, and a few kilobytes per map task.
+TRACKED = 1_000
+# Sketches of very many map tasks are combined by this many tasks before the last one.
+COMBINERS = 64
 
 
 def hot_hashes(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> Column:
-    """Array of the hashes of the hot keys of ``df``: one map-side sketch, at most ``1 / share`` elements.
+    """Array of the hashes of the hot keys of ``df``, at most ``1 / share`` elements, from sketches made in the map tasks.
 
     Only the balance of a join depends on it, never its result.
     """
-    hashes = df.where(_all_present(keys)).select(F.xxhash64(*keys).alias("_h"))
-    sketch = hashes.agg(
+    combiner = F.pmod(F.spark_partition_id(), F.lit(COMBINERS)).alias("_c")
+    hashes = df.where(_all_present(keys)).select(F.xxhash64(*keys).alias("_h"), combiner)
+    sketches = hashes.groupBy("_c").agg(
         F.expr(f"approx_top_k(_h, {int(1 / share)}, {TRACKED})").alias("top"), F.count(F.lit(1)).alias("n")
     )
-    hot = F.transform(F.filter("top", lambda t: t["count"] > F.col("n") * share), lambda t: t["item"])
-    return sketch.select(hot.alias("hot")).scalar()
+    # at most COMBINERS arrays of 1 / share entries, added up within one row
+    frequent = F.filter("top", lambda t: t["count"] > F.col("n") * share)
+    listed = sketches.select(frequent.alias("top"), "n").agg(F.flatten(F.collect_list("top")).alias("top"), F.sum("n").alias("n"))
+    own = lambda item: F.filter("top", lambda t: t["item"] == item)
+    rows = lambda item: F.aggregate(own(item), F.lit(0).cast("bigint"), lambda total, t: total + t["count"])
+    items = F.array_distinct(F.transform("top", lambda t: t["item"]))
+    return listed.select(F.filter(items, lambda item: rows(item) > F.col("n") * share).alias("hot")).scalar()
 
 
 def skew_join(
