@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pubmeter.operators.counting import fractional_shares, frequency
 from pubmeter.plans import coverage, metadata, reports
 from workloads import roles
 from workloads.registry import Tables, query
@@ -80,8 +81,6 @@ def fractional_gender(t: Tables) -> DataFrame:
     doubles="user assistant",
 )
 def fractional_roles(t: Tables) -> DataFrame:
-    from pubmeter.operators.counting import fractional_shares
-
     return fractional_shares(t.conversations, "conv_id", "turn", "role", ["user", "assistant"])
 
 
@@ -266,8 +265,6 @@ def women_index_a_quadrants(t: Tables) -> DataFrame:
     + f"SELECT cluster, count(*) AS n FROM ({_quadrants('topic_b', '% B indexing')}) GROUP BY cluster"
 )
 def women_index_b_quadrant_counts(t: Tables) -> DataFrame:
-    from pubmeter.operators.counting import frequency
-
     return frequency(quadrants(t, topic_b(t), "% B indexing"), "cluster")
 
 

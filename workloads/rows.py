@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pubmeter.functions.nulls import if_else, in_list, is_filled, not_in, null_if_shorter, zero_if_null
 from pubmeter.functions.text import longer_than, year_from
 from pubmeter.operators.counting import distinct_counts, frequency, share_of_total
+from pubmeter.operators.sampling import proportional_quota
 from pubmeter.plans.reports import indexation
 from workloads import roles
 from workloads.registry import Tables, query
@@ -107,14 +108,14 @@ def multiway_choice(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT n_nationkey AS topic, CASE n_nationkey WHEN 3 THEN '3 - Three' WHEN 7 THEN '7 - Seven' WHEN 11 THEN '11 - Eleven'
-      ELSE n_nationkey || ' - ' || n_name END AS label FROM nation"""
+    """SELECT c_custkey AS topic, CASE c_custkey WHEN 3 THEN '3 - Three' WHEN 7 THEN '7 - Seven' WHEN 11 THEN '11 - Eleven'
+      ELSE c_custkey || ' - ' || c_mktsegment END AS label FROM customer"""
 )
 def label_overrides(t: Tables) -> DataFrame:
     """A small table of corrections, joined on; its size is the number of literals."""
     fixed = [(3, "3 - Three"), (7, "7 - Seven"), (11, "11 - Eleven")]
-    overrides = t.spark.createDataFrame(fixed, "topic int, better string")
-    named = t.nation.select(F.col("n_nationkey").alias("topic"), F.concat("n_nationkey", F.lit(" - "), "n_name").alias("label"))
+    overrides = t.spark.createDataFrame(fixed, "topic bigint, better string")
+    named = t.customer.select(F.col("c_custkey").alias("topic"), F.concat("c_custkey", F.lit(" - "), "c_mktsegment").alias("label"))
     joined = named.join(F.broadcast(overrides), "topic", "left")
     return joined.select("topic", F.coalesce("better", "label").alias("label"))
 
@@ -133,6 +134,4 @@ def zero_fill(t: Tables) -> DataFrame:
 )
 def quota_update(t: Tables) -> DataFrame:
     """A share of one hundred per stratum, with one stratum corrected by hand."""
-    from pubmeter.operators.sampling import proportional_quota
-
     return proportional_quota(t.events, "event_type", "event_id", 100, {"click": 1})

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pubmeter.functions import text as X
+from pubmeter.functions.nulls import with_missing
 from pubmeter.operators.statistics import quadrant
+from pubmeter.plans.matching import search_dois, search_titles
 from workloads import roles
 from workloads.registry import Tables, query
 from workloads.roles import prelude
@@ -61,10 +63,10 @@ def name_words(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", X.first_word(F.col("p_name")).alias("first"), X.words_after_first(F.col("p_name")).alias("rest"))
 
 
-@query("SELECT n_nationkey, regexp_replace(n_nationkey || ' - ' || n_name || ' - ' || n_regionkey, '^.* - ', '') AS label FROM nation")
+@query("SELECT p_partkey, regexp_replace(p_partkey || ' - ' || p_name || ' - ' || p_type, '^.* - ', '') AS label FROM part")
 def label_suffix(t: Tables) -> DataFrame:
-    full = F.concat_ws(" - ", "n_nationkey", "n_name", "n_regionkey")
-    return t.nation.select("n_nationkey", X.after_last_dash(full).alias("label"))
+    full = F.concat_ws(" - ", "p_partkey", "p_name", "p_type")
+    return t.part.select("p_partkey", X.after_last_dash(full).alias("label"))
 
 
 @query(
@@ -90,8 +92,6 @@ def safe_ratios(t: Tables) -> DataFrame:
 @query("SELECT p_partkey, trim('  ' || p_name || ' - ' || coalesce(nullif(p_brand, 'Brand#2'), 'NA') || ' ') AS label FROM part")
 def pasted_labels(t: Tables) -> DataFrame:
     """Text joined with a missing part shown as NA, then trimmed."""
-    from pubmeter.functions.nulls import with_missing
-
     brand = with_missing(F.nullif("p_brand", F.lit("Brand#2")))
     return t.part.select("p_partkey", F.trim(F.concat(F.lit("  "), "p_name", F.lit(" - "), brand, F.lit(" "))).alias("label"))
 
@@ -112,8 +112,6 @@ def quadrant_labels(t: Tables) -> DataFrame:
     WHERE length(trim(regexp_replace(title, '[\s\p{Z}]+', ' ', 'g'))) > 10"""
 )
 def search_title_list(t: Tables) -> DataFrame:
-    from pubmeter.plans.matching import search_titles
-
     return search_titles(roles.pubs(t))
 
 
@@ -121,6 +119,4 @@ def search_title_list(t: Tables) -> DataFrame:
     prelude("pubs") + f"SELECT DISTINCT {SQUISH.format(f'''regexp_replace(regexp_replace({SQUISH.format('doi')}, '^doi:', ''), '^DOI:', '')''')} AS doi FROM pubs WHERE doi IS NOT NULL"
 )
 def search_doi_list(t: Tables) -> DataFrame:
-    from pubmeter.plans.matching import search_dois
-
     return search_dois(roles.pubs(t))

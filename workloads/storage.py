@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pubmeter.operators.counting import frequency
+from pubmeter.operators.counting import frequency, unpivot_all
 from pubmeter.plans.matching import first_addresses
 from pubmeter.session import scratch_path
 from pubmeter.sources import (
@@ -124,10 +124,13 @@ def named_minimum(t: Tables) -> DataFrame:
     return t.spark.table("first_address")
 
 
-@query(
-    "SELECT 'doc_id' AS name, 'bigint' AS type UNION ALL SELECT 'lang', 'string' UNION ALL SELECT 'n_chars', 'bigint' UNION ALL SELECT 'source', 'string' UNION ALL SELECT 'text', 'string'"
-)
+LISTED = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS name, '{kind}' AS type, count({name}) AS filled FROM documents" for name, kind in LISTED.items()))
 def schema_listing(t: Tables) -> DataFrame:
-    """Column names and types of the scanned documents, read from the file's own schema."""
-    fields = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(d).alias("type")) for n, d in t.documents.dtypes])
-    return t.documents.limit(1).select(F.inline(fields))
+    """Columns of the scanned documents with their types and numbers of values."""
+    types = dict(t.documents.dtypes)
+    filled = unpivot_all(t.documents.agg(*[F.count(c).alias(c) for c in types]), [], "name", "filled")
+    names = F.create_map(*[F.lit(x) for pair in types.items() for x in pair])
+    return filled.select("name", F.element_at(names, F.col("name")).alias("type"), "filled")
