@@ -1,0 +1,55 @@
+"""The operators applied to the supplied tables, with production parameters."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[function.__name__] = function
+    return function
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from pubmeter.llm.packing import pack
+
+    pieces = pack(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from pubmeter.llm.exact import deduplicate
+
+    return deduplicate(table(spark, folder, "documents"))
+
+
+@query
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    from pubmeter.llm.counts import count_tokens
+
+    return count_tokens(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+SQL["op2_exact_dedup"] = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS x FROM documents),
+g AS (SELECT x, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(x) AS text_sha256 FROM t JOIN g USING (x)
+"""
