@@ -69,3 +69,11 @@ def op8_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
 
     found = remove_repeats(table(spark, folder, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from pubmeter.llm.toxicity import fit, score_toxicity
+
+    docs = table(spark, folder, "documents")
+    return score_toxicity(docs, fit(docs, table(spark, folder, "labels")))
