@@ -77,3 +77,11 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = table(spark, folder, "documents")
     return score_toxicity(docs, fit(docs, table(spark, folder, "labels")))
+
+
+@query
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    from pubmeter.llm.quality import fit, judge
+
+    docs = table(spark, folder, "documents")
+    return judge(docs, fit(docs, table(spark, folder, "labels")))
