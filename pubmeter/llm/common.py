@@ -6,8 +6,9 @@ import sys
 import types
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pubmeter.session import cut_lineage
 
@@ -34,6 +35,17 @@ def worker_state(name: str, make: Callable[[], object]) -> object:
     return kept[name]
 
 
+def keyed(docs: DataFrame, id: str, *columns: Column) -> DataFrame:
+    """``key`` and ``columns``: a long that tells rows apart, the id itself where it does.
+
+    Where ids repeat, are missing or are no integers, the rows are numbered and written out, so the numbers stay.
+    """
+    whole = isinstance(docs.schema[id].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
+    if whole and docs.groupBy(F.col(id).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL").isEmpty():
+        return docs.select(F.col(id).cast("long").alias("key"), *columns)
+    return cut_lineage(docs.select(F.monotonically_increasing_id().alias("key"), *columns))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``id, component`` for each end of an edge; the component is the smallest id that can be reached.
 

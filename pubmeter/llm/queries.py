@@ -85,3 +85,37 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = table(spark, folder, "documents")
     return judge(docs, fit(docs, table(spark, folder, "labels")))
+
+
+@query
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from pubmeter.llm.lines import drop_boilerplate
+
+    found = drop_boilerplate(table(spark, folder, "documents"))
+    return found.select("doc_id", F.col("n_lines_removed").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
+
+
+SQL["op7_line_dedup"] = r"""
+WITH l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+b AS (SELECT line, count(DISTINCT source) AS sites, min(struct_pack(d := doc_id, p := pos)) AS first FROM l
+      WHERE regexp_matches(line, '^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){4}[^\x20\x09-\x0D]') GROUP BY line HAVING count(DISTINCT source) >= 5),
+k AS (SELECT l.doc_id, l.line, l.pos, b.line IS NOT NULL AND (l.doc_id <> b.first.d OR l.pos <> b.first.p) AS gone FROM l LEFT JOIN b ON l.line = b.line),
+r AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS x FROM k GROUP BY doc_id)
+SELECT doc_id, n_removed, sha256(x) AS text_sha256 FROM r
+"""
+
+
+def domains(spark: SparkSession, folder: str) -> DataFrame:
+    """The labelled table of the mixture: quality 1 is the domain ``high``, 0 is ``low``."""
+    return table(spark, folder, "labels").select("doc_id", F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low").alias("domain"))
+
+
+@query
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    from pubmeter.llm.mixing import TARGETS, fit, rates
+
+    docs = table(spark, folder, "documents")
+    model = fit(docs, domains(spark, folder), TARGETS)
+    found = rates(docs, model)
+    probability = [F.round(F.col("posterior")[k], 6).alias(f"p_{d}") for k, d in enumerate(model.domains)]
+    return found.select("doc_id", "tokens", *probability, F.round("rate", 6).alias("rate"), "copies")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pubmeter.llm.common import in_small_batches
+from pubmeter.llm.common import in_small_batches, keyed
 from pubmeter.session import cut_lineage
 
 LENGTH = 200
@@ -130,13 +130,8 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     table gives no rows; other columns are ignored.
     """
     in_small_batches(docs.sparkSession)
-    source = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    kind = source.schema["id"].dataType
-    numbers = isinstance(kind, (T.LongType, T.IntegerType, T.ShortType))
-    if numbers and source.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL").isEmpty():
-        keyed = source.select(F.col("id").cast("long").alias("key"), "id", "text")
-    else:
-        keyed = cut_lineage(source.select(F.monotonically_increasing_id().alias("key"), "id", "text"))
+    kind = docs.schema[id].dataType
+    whole_texts = keyed(docs, id, F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +143,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
                     ["key", "low", "high", "place", "head", "around"],
                 )
 
-    sampled = cut_lineage(keyed.select("key", "text").mapInArrow(sample, "key long, low long, high long, place long, head long, around long"))
+    sampled = cut_lineage(whole_texts.select("key", "text").mapInArrow(sample, "key long, low long, high long, place long, head long, around long"))
     heads = cut_lineage(sampled.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("head"))
     shared = cut_lineage(sampled.join(heads, "head"))
     classes = shared.groupBy("head", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "low")).alias("first"))
@@ -171,7 +166,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
                     ["key", "low", "lead", "head", "n", "kinds", "bytes"],
                 )
 
-    ends = cut_lineage(keyed.select("key", "text").join(per_text, "key").mapInArrow(fetch, "key long, low long, lead long, head long, n long, kinds long, bytes binary"))
+    ends = cut_lineage(whole_texts.select("key", "text").join(per_text, "key").mapInArrow(fetch, "key long, low long, lead long, head long, n long, kinds long, bytes binary"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_heads(batches):
@@ -199,7 +194,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     far = spread.where("n = 1").join(often, "window").select("key", "low", F.col("low").alias("high"))
 
     runs = settled.unionByName(near).unionByName(far).groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
-    joined = keyed.join(runs, "key", "left").select("id", "text", "runs")
+    joined = whole_texts.join(runs, "key", "left").select("id", "text", "runs")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
