@@ -12,12 +12,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def queries():
-    from pubmeter.llm.queries import QUERIES
+    from pubmeter.llm.registered import QUERIES
 
     return dict(QUERIES)
 
 
 def oracle_sql():
-    from pubmeter.llm.queries import SQL
+    from pubmeter.llm.registered import SQL
 
     return dict(SQL)
