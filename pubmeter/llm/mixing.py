@@ -64,33 +64,29 @@ class Mixture:
     residuals: tuple[tuple[float, ...], ...] = ()
     most: float | None = None
 
-    def posterior(self) -> Column:
-        """Array of the domains' probabilities."""
-        scores = []
-        for k in range(len(self.domains)):
-            score = F.lit(self.prior[k])
-            for name in FEATURES:
-                table = self.odds[name]
-                known = F.create_map(*(x for b, v in table.items() if b >= 0 for x in (F.lit(b), F.lit(v[k])))) if len(table) > 1 else None
-                other = F.lit(table[-1][k])
-                score = score + (F.coalesce(known[F.col(name)], other) if known is not None else other)
-            scores.append(score)
-        top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-        weights = [F.exp(s - top) for s in scores]
-        return F.array(*(w / sum(weights[1:], weights[0]) for w in weights))
-
-    def rate(self, posterior: Column) -> Column:
-        """All descent steps of one document: each lowers its rate by its share of the residuals and projects it."""
-        steps = F.array(*(F.array(*(F.lit(float(x)) for x in r)) for r in self.residuals)) if self.residuals else None
-        if steps is None:
-            return F.lit(1.0)
-
-        def step(rate: Column, residual: Column) -> Column:
-            moved = rate - F.aggregate(F.zip_with(posterior, residual, lambda q, x: q * x), F.lit(0.0), lambda a, b: a + b)
-            moved = F.greatest(moved, F.lit(0.0))
-            return F.least(moved, F.lit(float(self.most))) if self.most is not None else moved
-
-        return F.aggregate(steps, F.lit(1.0), step)
+    def posterior(self, made: DataFrame) -> DataFrame:
+        """``made`` and ``q``, the array of the domains' probabilities."""
+        def looked_up(name: str, k: int) -> str:
+            known = ", ".join(f"{b}, {_number(v[k])}" for b, v in self.odds[name].items() if b >= 0)
+            other = _number(self.odds[name][-1][k])
+            return f"coalesce(map({known})[{name}], {other})" if known else other
+
+        scores = [" + ".join([_number(self.prior[k]), *(looked_up(name, k) for name in FEATURES)]) for k in range(len(self.domains))]
+        # each step names the one before twice, so that it is computed once
+        weighed = made.withColumn("q", F.expr(f"array({', '.join(scores)})")).withColumn("q", F.expr("transform(q, s -> exp(s - array_max(q)))"))
+        return weighed.withColumn("q", F.expr("transform(q, w -> w / aggregate(q, 0D, (a, b) -> a + b))"))
+
+    def rate(self) -> Column:
+        """The rate of a document with probabilities ``q``: each step lowers it by the share of the residuals and projects it."""
+        steps = ", ".join(f"array({', '.join(map(_number, r))})" for r in self.residuals)
+        moved = "greatest(r - aggregate(zip_with(q, e, (a, b) -> a * b), 0D, (a, b) -> a + b), 0D)"
+        if self.most is not None:
+            moved = f"least({moved}, {_number(self.most)})"
+        return F.expr(f"CASE WHEN size(q) > 0 THEN aggregate(array({steps}), 1D, (r, e) -> {moved}) END") if steps else F.lit(1.0)
+
+
+def _number(x: float) -> str:
+    return f"{float(x)!r}D"
 
 
 def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id: str = "doc_id", text: str = "text", label: str = "domain", most: float | None = None, steps: int = STEPS) -> Mixture:
@@ -121,11 +117,10 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id: str
         share = lambda d, b, size=len(found) + 1: math.log((seen.get((d, b), 0) + 0.5) / (totals[d] + 0.5 * size))  # noqa: E731, B023
         odds[name] = {b: tuple(share(d, b) for d in domains) for b in found} | {-1: tuple(share(d, -1) for d in domains)}
     model = Mixture(domains, prior, odds, (), most)
-    alike = made.groupBy(*FEATURES).agg(F.sum("tokens").alias("tokens")).withColumn("q", model.posterior())
-    alike = cut_lineage(alike.select("tokens", "q"))
+    alike = cut_lineage(model.posterior(made.groupBy(*FEATURES).agg(F.sum("tokens").alias("tokens"))).select("tokens", "q"))
 
     def expected(residuals: tuple) -> list[float]:
-        rate = Mixture(domains, prior, odds, residuals, most).rate(F.col("q"))
+        rate = Mixture(domains, prior, odds, residuals, most).rate()
         row = alike.select(rate.alias("r"), "tokens", "q").agg(*(F.coalesce(F.sum(F.col("r") * F.col("tokens") * F.col("q")[k]), F.lit(0.0)) for k in range(len(domains)))).first()
         return [float(x) for x in row]
 
@@ -140,7 +135,9 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id: str
         if max(map(abs, gap), default=0.0) < TOLERANCE:
             break
         residuals += (gap,)
-        now = expected(residuals)
+        before, now = now, expected(residuals)
+        if max((abs(x - y) / s for x, y, s in zip(before, now, start) if s > 0), default=0.0) < TOLERANCE / 10:
+            break
     return Mixture(domains, prior, odds, residuals, most)
 
 
@@ -151,9 +148,8 @@ def rates(docs: DataFrame, model: Mixture, id: str = "doc_id", text: str = "text
     tokens and the rate that its features give, a missing id draws with the hash of a missing value, repeated rows draw
     alike. An empty table gives no rows.
     """
-    made = docs.select(F.col(id).alias("id"), *features(docs, text))
-    scored = made.select("id", "tokens", model.posterior().alias("posterior")).withColumn("rate", model.rate(F.col("posterior")))
-    return scored.select(F.col("id").alias(id), "tokens", "posterior", "rate", _drawn(F.col("rate"), F.col("id")).alias("copies"))
+    scored = model.posterior(docs.select(F.col(id).alias("id"), *features(docs, text))).withColumn("rate", model.rate())
+    return scored.select(F.col("id").alias(id), "tokens", F.col("q").alias("posterior"), "rate", _drawn(F.col("rate"), F.col("id")).alias("copies"))
 
 
 def _drawn(rate: Column, id: Column) -> Column:
@@ -165,7 +161,7 @@ def draw(docs: DataFrame, model: Mixture, id: str = "doc_id", text: str = "text"
     """The rows of ``docs``, all columns, each as often as its rate says."""
     names = docs.columns
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(f"`{id}`").alias("id"), *features(docs, text))
-    drawn = held.select("row", _drawn(model.rate(model.posterior()), F.col("id")).alias("copies"))
+    drawn = model.posterior(held).withColumn("rate", model.rate()).select("row", _drawn(F.col("rate"), F.col("id")).alias("copies"))
     if model.most is not None and model.most <= 1:
         repeated = drawn.where("copies > 0")
     else:

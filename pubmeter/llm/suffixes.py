@@ -25,7 +25,9 @@ HEAD = 64
 BLOCK = 1 << 20
 PLACE = 22
 # Different surroundings of one head that a single task compares; beyond it, windows are dealt out by their own hash.
-TOGETHER = 256
+TOGETHER = 4096
+# Windows that are compared in the map task before the rest is dealt out.
+LOCAL = 1 << 18
 GAP = 256
 MIX = np.uint64(0x9E3779B97F4A7C15)
 TWIST = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -122,7 +124,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     3. Where head and surroundings occur twice, all windows of these samples are repeats; copies in any number end here.
     4. What is left are the ends of repeats: samples with the head but not the surroundings of another. Their bytes are
        fetched, sorted by head, and their windows compared within one task, or, beyond ``together`` different surroundings of
-       one head, counted by window over all tasks.
+       one head, window by window: first in each map task, then one row for each of its windows over all tasks.
     5. The repeated windows of each text are merged to spans.
 
     Strings count as equal when their hashes (128 bits of head and window together) are. A missing text counts as empty: no
@@ -183,15 +185,47 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     near = together_rows.mapInArrow(compare, "key long, low long, high long")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _gathered(batches, LOCAL // length):
+            key, low, lead, head, n = (table.column(c).to_numpy() for c in ("key", "low", "lead", "head", "n"))
+            row, window, own = window_hashes(table.column("bytes").to_pylist(), lead, head, length)
+            order = np.argsort(own, kind="stable")
+            new = np.append(True, own[order][1:] != own[order][:-1])
+            size = np.diff(np.append(np.flatnonzero(new), len(own)))
+            twice = np.zeros(len(own), bool)
+            twice[order] = np.repeat(size > 1, size)
+            # what repeats here is settled; of each window one row goes on, with the number of its places
+            yield _dealt(_runs(key, low, row, window, twice & (n[row] == 1)), None, None)
+            first = order[new]
+            at = low[row[first]] + window[first]
+            known = (size > 1) | (n[row[first]] > 1)
+            yield _dealt(pa.RecordBatch.from_arrays([pa.array(key[row[first]]), pa.array(at), pa.array(at)], ["key", "low", "high"]), own[first], known)
+
+    kind_of_row = "key long, low long, high long, window long, known boolean"
+    spread = cut_lineage(ends.where(F.col("kinds") > together).mapInArrow(windows, kind_of_row))
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            if batch.num_rows:
-                key, low, lead, head, n = (batch.column(c).to_numpy() for c in ("key", "low", "lead", "head", "n"))
-                row, window, own = window_hashes(batch.column("bytes").to_pylist(), lead, head, length)
-                yield pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array(low[row] + window), pa.array(own), pa.array(n[row])], ["key", "low", "window", "n"])
-
-    spread = cut_lineage(ends.where(F.col("kinds") > together).mapInArrow(windows, "key long, low long, window long, n long"))
-    often = cut_lineage(spread.groupBy("window").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("window"))
-    far = spread.where("n = 1").join(often, "window").select("key", "low", F.col("low").alias("high"))
+            if not batch.num_rows:
+                continue
+            batch = pa.RecordBatch.from_arrays(batch.columns, batch.schema.names)
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+            own = table.column("window").to_numpy()
+            known = table.column("known").to_numpy(zero_copy_only=False)
+            equal = own[1:] == own[:-1]
+            met = np.append(False, equal) | np.append(equal, False)
+            # the last row waits for its right neighbour, and remembers its left one
+            wanted = met & ~known
+            wanted[-1] = False
+            yield table.select(["key", "low", "high"]).filter(pa.array(wanted))
+            left = bool(equal[-1]) if len(equal) else False
+            held = table.slice(len(own) - 1)
+            if left and not known[-1]:
+                yield held.select(["key", "low", "high"])
+                held = pa.RecordBatch.from_arrays([*held.columns[:4], pa.array([True])], held.schema.names)
+
+    sorted_windows = spread.where("window IS NOT NULL").repartition("window").sortWithinPartitions("window")
+    far = spread.where("window IS NULL").select("key", "low", "high").unionByName(sorted_windows.mapInArrow(neighbours, "key long, low long, high long"))
 
     runs = settled.unionByName(near).unionByName(far).groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
     joined = whole_texts.join(runs, "key", "left").select("id", "text", "runs")
@@ -271,6 +305,25 @@ def _whole_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches in tables of about ``rows`` rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _dealt(runs: pa.RecordBatch, window: np.ndarray | None, known: np.ndarray | None) -> pa.RecordBatch:
+    n = runs.num_rows
+    extra = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())] if window is None else [pa.array(window), pa.array(known)]
+    return pa.RecordBatch.from_arrays([*runs.columns, *extra], ["key", "low", "high", "window", "known"])
+
+
 def _runs(key: np.ndarray, low: np.ndarray, row: np.ndarray, window: np.ndarray, wanted: np.ndarray) -> pa.RecordBatch:
     """Runs of neighbouring wanted windows."""
     row, window = row[wanted], window[wanted]
