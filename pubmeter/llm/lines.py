@@ -67,7 +67,8 @@ def drop_boilerplate(docs: DataFrame, id: str = "doc_id", text: str = "text", si
     found = boilerplate(lines, sites, lg_k).withColumnsRenamed({"key": "first_key", "pos": "first_pos"})
     flagged = lines.join(found, ["h1", "h2"]).where("key <> first_key OR pos <> first_pos")
     dropped = cut_lineage(flagged.groupBy("key").agg(F.sort_array(F.collect_list("pos")).alias("dropped")))
-    joined = rows.join(dropped, "key", "left")
+    # texts and positions meet in a merge join at every size, so the amount that moves is in proportion to the input
+    joined = rows.join(dropped.hint("merge"), "key", "left")
     cleaned = F.when(F.col("dropped").isNull(), value).otherwise(without_lines(value, F.col("dropped")))
     removed = F.coalesce(F.size("dropped"), F.lit(0)).cast("long")
     out = [cleaned.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in names if c != "n_lines_removed"]
