@@ -12,7 +12,7 @@ from pubmeter.session import cut_lineage
 
 TARGETS = {"high": 0.92, "low": 0.08}
 STEPS = 60
-TOLERANCE = 1e-6
+TOLERANCE = 1e-5
 # Upper ends of the bins of each feature.
 RATE_BINS = (0.0, 0.005, 0.02, 0.1, 0.3, 1.0)
 RATIO_BINS = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
@@ -34,23 +34,26 @@ def _taken(text: Column, *marks: str) -> Column:
     return F.octet_length(text) - F.octet_length(left)
 
 
-def features(docs: DataFrame, text: str = "text") -> list[Column]:
-    """``tokens`` (words) of a text and the bins of its dense features, all from built-in functions."""
+def features(docs: DataFrame, text: str, **kept: Column) -> DataFrame:
+    """The columns ``kept``, ``tokens`` (words) of each text and the bins of its dense features, all from built-in functions."""
     value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    # string functions keep bytes; words are parted by blanks and line feeds
-    words = F.filter(F.split(F.translate(value, "\n\t\r", "   "), " "), lambda w: w != "")
-    n = F.size(words)
-    per = lambda c: c / F.greatest(n, F.lit(1))
-    ratio = _bin(per(F.size(F.array_distinct(words))), RATIO_BINS)
-    return [
-        n.cast("long").alias("tokens"),
-        _bin(per(_taken(value, "#", "*", "$", "%", "&", "<", ">")), RATE_BINS).alias("symbols"),
-        _bin(per(_taken(value, "|")), RATE_BINS).alias("bars"),
-        _bin(per(_taken(value, "!!", "??")), RATE_BINS).alias("calls"),
-        # the variety of words falls with length, so both count together
-        (ratio * (len(SIZE_BINS) + 1) + _bin(n.cast("double"), SIZE_BINS)).alias("variety"),
-        _bin(per(F.octet_length(value)), WIDTH_BINS).alias("width"),
-    ]
+    # words are parted by blanks, tabs and line ends
+    words = F.filter(F.split(F.replace(F.replace(F.replace(value, F.lit("\n"), F.lit(" ")), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" ")), " "), lambda w: w != "")
+    # measured once, in a step of its own: the bins name each measure many times
+    measured = docs.select(
+        *(c.alias(name) for name, c in kept.items()),
+        F.size(words).cast("long").alias("tokens"),
+        F.size(F.array_distinct(words)).alias("different"),
+        _taken(value, "#", "*", "$", "%", "&", "<", ">").alias("n_symbols"),
+        _taken(value, "|").alias("n_bars"),
+        _taken(value, "!!", "??").alias("n_calls"),
+        F.octet_length(value).alias("n_bytes"),
+    )
+    per = lambda name: F.col(name) / F.greatest(F.col("tokens"), F.lit(1))
+    # the variety of words falls with length, so both count together
+    variety = _bin(per("different"), RATIO_BINS) * (len(SIZE_BINS) + 1) + _bin(F.col("tokens").cast("double"), SIZE_BINS)
+    bins = [_bin(per("n_symbols"), RATE_BINS).alias("symbols"), _bin(per("n_bars"), RATE_BINS).alias("bars"), _bin(per("n_calls"), RATE_BINS).alias("calls")]
+    return measured.select(*kept, "tokens", *bins, variety.alias("variety"), _bin(per("n_bytes"), WIDTH_BINS).alias("width"))
 
 
 @dataclass(frozen=True)
@@ -100,7 +103,7 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id: str
     is one number per domain. ``most`` bounds the rates from above too.
     """
     domains = tuple(targets)
-    made = cut_lineage(docs.select(F.col(id).alias("id"), *features(docs, text)))
+    made = cut_lineage(features(docs, text, id=F.col(f"`{id}`")))
     known = labelled.select(F.col(id).alias("id"), F.col(label).alias("domain")).where(F.col("domain").isin(*domains) & F.col("id").isNotNull())
     known = known.groupBy("id").agg(F.min("domain").alias("domain"))
     bins = F.explode(F.array(*(F.struct(F.lit(name).alias("feature"), F.col(name).alias("bin")) for name in FEATURES)))
@@ -136,7 +139,7 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id: str
             break
         residuals += (gap,)
         before, now = now, expected(residuals)
-        if max((abs(x - y) / s for x, y, s in zip(before, now, start) if s > 0), default=0.0) < TOLERANCE / 10:
+        if max((abs(x - y) / s for x, y, s in zip(before, now, start) if s > 0), default=0.0) < TOLERANCE:
             break
     return Mixture(domains, prior, odds, residuals, most)
 
@@ -148,7 +151,7 @@ def rates(docs: DataFrame, model: Mixture, id: str = "doc_id", text: str = "text
     tokens and the rate that its features give, a missing id draws with the hash of a missing value, repeated rows draw
     alike. An empty table gives no rows.
     """
-    scored = model.posterior(docs.select(F.col(id).alias("id"), *features(docs, text))).withColumn("rate", model.rate())
+    scored = model.posterior(features(docs, text, id=F.col(f"`{id}`"))).withColumn("rate", model.rate())
     return scored.select(F.col("id").alias(id), "tokens", F.col("q").alias("posterior"), "rate", _drawn(F.col("rate"), F.col("id")).alias("copies"))
 
 
@@ -160,10 +163,10 @@ def _drawn(rate: Column, id: Column) -> Column:
 def draw(docs: DataFrame, model: Mixture, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, each as often as its rate says."""
     names = docs.columns
-    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(f"`{id}`").alias("id"), *features(docs, text))
-    drawn = model.posterior(held).withColumn("rate", model.rate()).select("row", _drawn(F.col("rate"), F.col("id")).alias("copies"))
-    if model.most is not None and model.most <= 1:
-        repeated = drawn.where("copies > 0")
-    else:
-        repeated = drawn.where("copies > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select(*(F.col("row").getField(c).alias(c) for c in names))
+    held = features(docs, text, row=F.struct(*(F.col(f"`{c}`") for c in names)), id=F.col(f"`{id}`"))
+    # the partition's number keeps the optimizer from testing the rate before, and again after, it is computed
+    copies = _drawn(F.col("rate"), F.col("id")) + F.when(F.spark_partition_id() < 0, 1).otherwise(0)
+    drawn = model.posterior(held).withColumn("rate", model.rate()).select("row", copies.cast("int").alias("copies")).where("copies > 0")
+    if model.most is None or model.most > 1:
+        drawn = drawn.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
+    return drawn.select(*(F.col("row").getField(c).alias(c) for c in names))
