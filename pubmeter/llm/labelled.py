@@ -28,3 +28,14 @@ def isotonic(scores: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Calibration of ``score`` against ``label``: points of a rising line, at most two per row of the bounded sample."""
     model = IsotonicRegression(featuresCol="features", labelCol="label").fit(scores.select("label", array_to_vector(F.array("score")).alias("features")))
     return np.array(model.boundaries.toArray()), np.array(model.predictions.toArray())
+
+
+def training_ids_by_text(docs: DataFrame, text: str, label: str, rows: int) -> DataFrame:
+    """``text, label``: at most ``rows`` labelled texts, the first by a hash of text and label.
+
+    The hashes alone are sorted; the texts behind the last one taken are then filtered where they lie.
+    """
+    known = docs.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
+    place = F.xxhash64("text", "label")
+    last = known.select(place.alias("place")).distinct().orderBy("place").limit(rows).agg(F.max("place")).first()[0]
+    return known.where(place <= (last if last is not None else 0)).dropDuplicates(["text", "label"])

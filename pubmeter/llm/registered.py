@@ -119,3 +119,11 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     found = rates(docs, model)
     probability = [F.round(F.col("posterior")[k], 6).alias(f"p_{d}") for k, d in enumerate(model.domains)]
     return found.select("doc_id", "tokens", *probability, F.round("rate", 6).alias("rate"), "copies")
+
+
+@query
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from pubmeter.llm.language import fit, identify
+
+    found = identify(table(spark, folder, "pages"), fit(table(spark, folder, "documents")))
+    return found.withColumn("probability", F.round("probability", 6))
