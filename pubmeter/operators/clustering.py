@@ -10,7 +10,6 @@ from pubmeter.operators.skew import skew_join
 from pubmeter.session import cut_lineage
 
 # Fixed values of the published study.
-NEIGHBOURS = 10
 MIN_SAMPLES = 10
 MIN_CLUSTER_SIZE = 100
 OUTLIER = -1

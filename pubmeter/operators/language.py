@@ -1,9 +1,7 @@
 """Language of a text by its letter triples: profiles are learned with counts and applied with one join.
 
-A profile is a table of a fixed number of triples per language, so it may be broadcast whatever the size of
-the corpus; a text's triples are then scored and summed inside the task that reads it, and only one row per
-text and language is shuffled. Log probabilities are whole numbers of millionths: their sums are exact in
-any order.
+A text's triples are counted inside the task that reads it, so a text meets each of its different triples once. Log
+probabilities are whole numbers of millionths: their sums are exact in any order.
 """
 
 from __future__ import annotations
@@ -12,10 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pubmeter.functions.text import each
-from pubmeter.operators.ordering import first_rows
 from pubmeter.session import cut_lineage
 
-TRIPLES = 2_000
 SCALE = 1_000_000
 
 
@@ -31,23 +27,18 @@ def _word_triples(word: Column) -> Column:
     return F.transform(starts, lambda i: F.substring(padded, i, 3))
 
 
-def language_profile(labelled: DataFrame, text: str, language: str, size: int = TRIPLES) -> DataFrame:
-    """``language, triple, logp``: smoothed log probabilities of the most frequent triples.
-
-    The triples are the union of each language's ``size`` most frequent ones, so the profile has at most
-    (languages x size) triples, times the languages.
-    """
-    triples = each(labelled, letter_triples(F.col(text)), "triple", F.col(language).alias("language"))
+def language_profile(labelled: DataFrame, text: str, language: str) -> DataFrame:
+    """``language, triple, logp``: smoothed log probabilities of every triple in every language. Rows without label teach nothing."""
+    known = labelled.where(F.col(language).isNotNull())
+    triples = each(known, letter_triples(F.col(text)), "triple", F.col(language).alias("language"))
     counts = cut_lineage(triples.groupBy("language", "triple").agg(F.count(F.lit(1)).alias("n")))
-    frequent = first_rows(counts, ["language"], [F.desc("n"), F.asc("triple")], size)
-    features = frequent.select("triple").distinct()
-    used = counts.join(F.broadcast(features), "triple")
+    features = counts.select("triple").distinct()
     number = features.agg(F.count(F.lit(1)).alias("n")).scalar()
-    totals = used.groupBy("language").agg(F.sum("n").alias("total"))
-    # every language gets a value for every feature: one row of all counts per feature, then back to long form
-    per_feature = used.groupBy("triple").agg(F.map_from_entries(F.collect_list(F.struct("language", "n"))).alias("_n"))
+    totals = counts.groupBy("language").agg(F.sum("n").alias("total"))
+    # every language gets a value for every triple: one row of all counts per triple, then back to long form
+    per_triple = counts.groupBy("triple").agg(F.map_from_entries(F.collect_list(F.struct("language", "n"))).alias("_n"))
     languages = totals.agg(F.collect_list(F.struct("language", "total")).alias("_langs")).scalar()
-    long = per_feature.select("triple", "_n", F.explode(languages).alias("_l")).select(
+    long = per_triple.select("triple", "_n", F.explode(languages).alias("_l")).select(
         F.col("_l.language").alias("language"),
         "triple",
         F.coalesce(F.element_at("_n", F.col("_l.language")), F.lit(0)).alias("n"),
@@ -62,12 +53,8 @@ def identify_language(df: DataFrame, id: str, text: str, profile: DataFrame) ->
 
     A text without any known triple gets no language.
     """
-    languages = sorted(r[0] for r in profile.select("language").distinct().collect())  # a short list of codes
-    wide = profile.groupBy("triple").pivot("language", languages).agg(F.first("logp"))
-    triples = each(df, letter_triples(F.col(text)), "triple", id)
-    # one row per triple of the profile, which language_profile bounds
-    scored = triples.join(F.broadcast(wide), "triple").groupBy(id).agg(*[F.sum(f"`{c}`").alias(c) for c in languages])
-    best = F.array_min(F.array(*[F.struct((-F.col(f"`{c}`")).alias("loss"), F.lit(c).alias("language")) for c in languages]))
-    found = scored.select(id, best.alias("_best"))
-    named = found.select(id, F.col("_best.language").alias("language"), (-F.col("_best.loss") / SCALE).alias("score"))
+    counted = each(df, letter_triples(F.col(text)), "triple", F.col(id).alias("_id")).groupBy("_id", "triple").agg(F.count(F.lit(1)).alias("_c"))
+    scored = counted.join(profile, "triple").groupBy("_id", "language").agg(F.sum(F.col("_c") * F.col("logp")).alias("_s"))
+    best = scored.groupBy("_id").agg(F.min(F.struct((-F.col("_s")).alias("loss"), "language")).alias("_best"))
+    named = best.select(F.col("_id").alias(id), F.col("_best.language").alias("language"), (-F.col("_best.loss") / SCALE).alias("score"))
     return df.select(id).join(named, id, "left")

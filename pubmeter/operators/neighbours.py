@@ -35,7 +35,7 @@ def nearest(
 
     Ties go to the smaller id.
     """
-    id_type = dict(left.dtypes)[id]
+    id_type, other_type = dict(left.dtypes)[id], dict(right.dtypes)[id]
     a, b = _block_pairs(left, right, id, vec, by, block, half=False)
 
     def best(key: tuple, one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
@@ -60,7 +60,7 @@ def nearest(
         )
 
     by_type = dict(left.dtypes)[by] if by else "int"
-    schema = f"_by {by_type}, id {id_type}, neighbour {id_type}, distance double"
+    schema = f"_by {by_type}, id {id_type}, neighbour {other_type}, distance double"
     found = a.cogroup(b).applyInPandas(best, schema)
     ranked = first_rows(found, ["_by", "id"], [F.asc("distance"), F.asc("neighbour")], k, "rank")
     return ranked.withColumnRenamed("_by", by) if by else ranked.drop("_by")

@@ -1,8 +1,7 @@
 """Global positions and ranks without a single-task window, and top rows per group.
 
-A position needs the number of rows before each one. Approximate quantiles cut the order into a fixed
-number of ranges; each range is numbered by itself and shifted by the totals of the ranges before it,
-a table of at most ``RANGES + 1`` rows.
+A position needs the number of rows before each one. The rows are range-partitioned by their key, whatever its type, into
+as many ranges as their number asks for; each range is numbered by itself and shifted by the totals of the ranges before it.
 """
 
 from __future__ import annotations
@@ -14,42 +13,30 @@ from pyspark.sql import functions as F
 
 from pubmeter.session import cut_lineage
 
-RANGES = 256
-# Up to this many rows per group Spark limits each map task before the shuffle; beyond it we do.
+# Rows that one task sorts and numbers.
+ROWS_PER_RANGE = 1_000_000
+# Up to this many rows per group Spark limits each map task before the shuffle; beyond it the same is done here.
 MAP_SIDE_LIMIT = 1000
 
 
 def running_total(df: DataFrame, order: str, amount: Column, name: str) -> DataFrame:
-    """Sum of ``amount`` over all rows whose ``order`` is smaller; ``order`` is unique and numeric.
+    """Sum of ``amount`` over all rows whose ``order`` is smaller; ``order`` is unique.
 
-    ``df`` is read three times, twice of them only ``order`` and ``amount``: materialise an expensive one first.
+    ``df`` is read to count it, to sample its keys and to write it by ranges of them.
     """
-    shares = [i / RANGES for i in range(1, RANGES)]
-    cuts = df.agg(F.percentile_approx(order, shares, 10_000).alias("c")).scalar()
-    below = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
-    ranged = df.withColumn("_amount", amount).withColumn("_cuts", cuts).withColumn("_range", below).drop("_cuts")
+    ranges = max(1, -(-df.count() // ROWS_PER_RANGE))
+    ranged = cut_lineage(df.withColumn("_amount", amount).repartitionByRange(ranges, order).withColumn("_range", F.spark_partition_id()))
     totals = ranged.groupBy("_range").agg(F.sum("_amount").alias("_total"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = totals.select("_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_shift"))
     inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     local = F.coalesce(F.sum("_amount").over(inside), F.lit(0))
-    # one row per range: at most RANGES of them
-    return (
-        ranged.join(F.broadcast(shifts), "_range")
-        .withColumn(name, F.col("_shift") + local)
-        .drop("_range", "_amount", "_shift")
-    )
+    # one row per range, so a millionth of the rows
+    return ranged.join(shifts, "_range").withColumn(name, F.col("_shift") + local).drop("_range", "_amount", "_shift")
 
 
 def row_index(df: DataFrame, order: str, name: str = "row_index") -> DataFrame:
-    """Zero-based position of every row in ``order``, which must be unique.
-
-    A text key is positioned by its hash: any total order will do for cutting a table into parts, and
-    hashes, unlike texts, always spread over the ranges.
-    """
-    if dict(df.dtypes)[order] == "string":
-        keyed = df.withColumn("_order", F.xxhash64(order))
-        return running_total(keyed, "_order", F.lit(1), name).drop("_order")
+    """Zero-based position of every row in ``order``, which must be unique."""
     return running_total(df, order, F.lit(1), name)
 
 
@@ -73,7 +60,7 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: i
     """The first ``k`` rows of every group in a total ``order``.
 
     Spark keeps at most ``k`` rows per group and map task before it shuffles, so a huge group costs no
-    more than a small one. For a ``k`` above its limit the same is done here over salted groups.
+    more than a small one. For a ``k`` above its limit the same is done here over salted groups, with the same rows.
     """
     if k > MAP_SIDE_LIMIT:
         salt = F.pmod(F.xxhash64(*df.columns), F.lit(64))

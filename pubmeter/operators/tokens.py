@@ -136,8 +136,8 @@ def reduce_outliers(
     """``id, topic``: outliers move to the most similar topic if its similarity reaches the threshold."""
     keys = [*([by] if by else []), id]
     outliers = doc_topic.where(F.col(topic) == -1).select(*([by] if by else []), F.col(id).alias("_key"), F.col(vec).alias("_vec"))
-    targets = centroids.where(F.col(topic) != -1).select(*([by] if by else []), F.col(topic).cast("bigint").alias("_key"), F.col("vec").alias("_vec"))
-    best = nearest(outliers.withColumn("_key", F.col("_key").cast("bigint")), targets, 1, "_key", "_vec", by)
+    targets = centroids.where(F.col(topic) != -1).select(*([by] if by else []), F.col(topic).alias("_key"), F.col("vec").alias("_vec"))
+    best = nearest(outliers, targets, 1, "_key", "_vec", by)
     moved = best.where(1 - F.col("distance") >= threshold).select(F.col("id").alias("_id"), F.col("neighbour").alias("_new"))
     joined = doc_topic.select(*keys, topic).join(moved, F.col(id) == F.col("_id"), "left")
     return joined.select(*keys, F.coalesce(F.col("_new").cast("int"), F.col(topic)).alias(topic))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -25,18 +25,14 @@ def build_session(app: str = "pubmeter", **settings: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Where the setting is absent a temporary folder serves, but only in local mode: on a cluster the
-    other machines could not read it.
+    Where the setting is absent a fixed folder serves, but only in local mode, where driver and tasks are one process.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="pubmeter-"))
-    return context.getCheckpointDir().rstrip("/")
+        base = LOCAL_CHECKPOINTS
+    return base.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -116,7 +116,8 @@ def test_row_index_is_a_permutation(spark):
     df = spark.createDataFrame([(i, str(i)) for i in ids], "id long, name string").repartition(7)
     by_number = {r["id"]: r["row_index"] for r in ordering.row_index(df, "id").collect()}
     assert [by_number[i] for i in sorted(ids)] == list(range(5000))
-    assert sorted(r["row_index"] for r in ordering.row_index(df, "name").collect()) == list(range(5000))
+    by_text = sorted((r["name"], r["row_index"]) for r in ordering.row_index(df, "name").collect())
+    assert [n for _, n in by_text] == list(range(5000))
 
 
 def test_average_rank(spark, rows):

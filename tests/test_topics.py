@@ -87,6 +87,8 @@ def test_outliers_move_above_the_threshold(spark, rows):
     docs = table(spark, [[1, 0, 0], [*at_cosine(0.09), 0], [*at_cosine(0.11), 0]]).withColumn("topic", F.when(F.col("id") == 0, 4).otherwise(-1))
     centroids = tokens.topic_centroids(docs.where("topic <> -1"))
     assert rows(tokens.reduce_outliers(docs, centroids)) == [(0, 4), (1, -1), (2, 4)]
+    titled = docs.withColumn("id", F.concat(F.lit("Title "), F.col("id").cast("string")))
+    assert rows(tokens.reduce_outliers(titled, centroids)) == [("Title 0", 4), ("Title 1", -1), ("Title 2", 4)]
 
 
 def test_topics_merge_above_the_threshold(spark, rows):
@@ -127,7 +129,7 @@ def test_labels(spark, rows):
 
 
 def test_language(spark):
-    data = [("en", "the house and the garden with the trees"), ("pt", "a casa e o jardim com as árvores não")]
+    data = [("en", "the house and the garden with the trees"), ("pt", "a casa e o jardim com as árvores não"), (None, "das Haus")]
     labelled = spark.createDataFrame(data, "lang string, text string")
     profile = language.language_profile(labelled, "text", "lang")
     texts = spark.createDataFrame([(1, "the tree and the house"), (2, "o jardim não"), (3, "123"), (4, None)], "id int, text string")

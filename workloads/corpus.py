@@ -28,7 +28,7 @@ META = """meta_rows AS (SELECT title, year, doi, journal, issn FROM (SELECT *, r
 )
 def cleaned_titles(t: Tables) -> DataFrame:
     """Whole texts as titles, one row per distinct text."""
-    cleaned = metadata.clean_titles(t.spread("documents").select("text").distinct(), "text")
+    cleaned = metadata.clean_titles(t.documents.select("text").distinct(), "text")
     return cleaned.select(F.md5("id").alias("id"), F.md5("title").alias("title"))
 
 
@@ -201,7 +201,7 @@ def topics_without_outliers(t: Tables) -> DataFrame:
 # The map and the descriptions of the topics, derived from the corpus itself.
 INFO = """
 info AS (SELECT topic, topic || ' - Topic - ' || count(*) AS label, count(*) AS count FROM doc_topic GROUP BY topic),
-coords AS (SELECT topic, CAST(topic % 10 AS DOUBLE) AS x, CAST(topic % 7 AS DOUBLE) AS y FROM (SELECT DISTINCT topic FROM doc_topic WHERE topic <> 96)),
+coords AS (SELECT topic, CAST(topic % 10 AS DOUBLE) AS x, CAST(topic % 7 AS DOUBLE) AS y FROM (SELECT DISTINCT topic FROM doc_topic)),
 features AS (SELECT c.topic, x, y, td.domain, i.label, i.count, coalesce(a.p, 0) AS p_a, coalesce(b.p, 0) AS p_b, coalesce(l.p, 0) AS p_en FROM coords c
   LEFT JOIN topic_domain td ON c.topic = td.topic LEFT JOIN info i ON c.topic = i.topic LEFT JOIN topic_a a ON c.topic = a.topic
   LEFT JOIN topic_b b ON c.topic = b.topic LEFT JOIN topic_l l ON c.topic = l.topic)"""
@@ -214,7 +214,7 @@ def info(t: Tables) -> DataFrame:
 
 def coords(t: Tables) -> DataFrame:
     x, y = ((F.col("topic") % n).cast("double") for n in (10, 7))
-    return roles.doc_topic(t).where("topic <> 96").select("topic").distinct().select("topic", x.alias("x"), y.alias("y"))
+    return roles.doc_topic(t).select("topic").distinct().select("topic", x.alias("x"), y.alias("y"))
 
 
 def features(t: Tables) -> DataFrame:

@@ -23,12 +23,6 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def spread(self, name: str) -> DataFrame:
-        """A table for work that costs far more than a shuffle of it: fewer files than cores are dealt out to all."""
-        df = getattr(self, name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df if len(df.inputFiles()) >= cores else df.repartition(cores)
-
 
 Query = Callable[[Tables], DataFrame]
 _QUERIES: dict[str, Query] = {}

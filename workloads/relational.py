@@ -397,6 +397,13 @@ def zero_based_ids(t: Tables) -> DataFrame:
     return sequence_id(t.customer.select("c_custkey"), "c_custkey")
 
 
+@query("SELECT u.user_id || ':' || u.event_id AS name, row_number() OVER (ORDER BY u.user_id || ':' || u.event_id) - 1 AS topic FROM events u")
+def zero_based_text_ids(t: Tables) -> DataFrame:
+    """Ids by position in the order of a text key."""
+    name = F.concat(F.col("user_id").cast("string"), F.lit(":"), F.col("event_id").cast("string"))
+    return sequence_id(t.events.select(name.alias("name")), "name")
+
+
 @query("SELECT l_orderkey, l_partkey, l_quantity FROM (SELECT *, rank() OVER (ORDER BY l_quantity DESC) AS r FROM lineitem) WHERE r <= 25", doubles="l_quantity")
 def top_rows_with_ties(t: Tables) -> DataFrame:
     """Ties of the last value are all kept, however many."""

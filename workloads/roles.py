@@ -156,12 +156,11 @@ def authors(t: Tables) -> DataFrame:
     return t.customer.select(F.col("c_custkey").alias("author_id"), F.col("c_name").alias("author_name"))
 
 
-SQL["crosswalk"] = "SELECT c_nationkey AS list_author, c_custkey AS author_id FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')"
+SQL["crosswalk"] = "SELECT c_nationkey AS list_author, c_custkey AS author_id FROM customer"
 
 
 def crosswalk(t: Tables) -> DataFrame:
-    kept = t.customer.where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
-    return kept.select(F.col("c_nationkey").alias("list_author"), F.col("c_custkey").alias("author_id"))
+    return t.customer.select(F.col("c_nationkey").alias("list_author"), F.col("c_custkey").alias("author_id"))
 
 
 # --- index B: articles, identifiers, names, addresses -------------------------------------------------

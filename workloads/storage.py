@@ -26,11 +26,11 @@ from workloads.registry import Tables, query
 from workloads.roles import prelude
 
 
-@query("SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag", doubles="quantity")
+@query("SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY l_returnflag", doubles="quantity")
 def parquet_folder(t: Tables) -> DataFrame:
     """A query exported to a folder of shards and read back in one scan."""
     path = scratch_path(t.spark, "export")
-    write_parquet(t.lineitem.where("l_quantity > 10").select("l_returnflag", "l_quantity"), path)
+    write_parquet(t.lineitem.select("l_returnflag", "l_quantity"), path)
     back = read_parquet(t.spark, path)
     return back.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
 

@@ -37,7 +37,7 @@ MIN_DF, MAX_DF = 0.1, 0.8
 def by_source(t: Tables) -> DataFrame:
     """Whole documents, with the number of their source as topic."""
     number = F.regexp_extract("source", r"(\d+)", 1).cast("int")
-    return t.spread("documents").select(F.col("doc_id").alias("id"), number.alias("topic"), F.col("text").alias("title"))
+    return t.documents.select(F.col("doc_id").alias("id"), number.alias("topic"), F.col("text").alias("title"))
 
 
 SQL["by_source"] = r"SELECT doc_id AS id, CAST(regexp_extract(source, '(\d+)', 1) AS INTEGER) AS topic, text AS title FROM documents"
@@ -208,7 +208,7 @@ TRIPLES = r"""words AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(tex
 word_counts AS (SELECT doc_id, lang, ' ' || w || ' ' AS p, count(*) AS c FROM words GROUP BY ALL),
 tri AS (SELECT doc_id, lang, triple, sum(c) AS c FROM (SELECT doc_id, lang, c, unnest(list_transform(range(1, length(p) - 1), lambda i: substring(p, i, 3))) AS triple FROM word_counts) GROUP BY ALL),
 by_lang AS (SELECT lang, triple, sum(c) AS n FROM tri GROUP BY ALL),
-feats AS (SELECT DISTINCT triple FROM (SELECT triple, row_number() OVER (PARTITION BY lang ORDER BY n DESC, triple) AS rn FROM by_lang) WHERE rn <= 2000),
+feats AS (SELECT DISTINCT triple FROM by_lang),
 totals AS (SELECT lang, sum(n) AS total FROM by_lang JOIN feats USING (triple) GROUP BY lang),
 profile AS (SELECT t.lang AS language, f.triple, CAST(round(ln((coalesce(b.n, 0) + 1) / (total + (SELECT count(*) FROM feats))) * 1000000) AS BIGINT) AS logp
   FROM feats f, totals t LEFT JOIN by_lang b ON b.lang = t.lang AND b.triple = f.triple)"""
@@ -216,21 +216,20 @@ profile AS (SELECT t.lang AS language, f.triple, CAST(round(ln((coalesce(b.n, 0)
 
 @query(f"WITH {TRIPLES} SELECT language, triple, logp / 1000000 AS logp FROM profile", doubles="logp")
 def language_profiles(t: Tables) -> DataFrame:
-    profile = language_profile(t.spread("documents"), "text", "lang")
+    profile = language_profile(t.documents, "text", "lang")
     return profile.withColumn("logp", F.col("logp") / 1_000_000)
 
 
 @query(
     f"""WITH {TRIPLES}, scored AS (SELECT doc_id, language, sum(c * logp) AS s FROM tri JOIN profile p USING (triple) GROUP BY ALL),
     best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, language) AS rn FROM scored) WHERE rn = 1)
-    SELECT d.doc_id, b.language, round(b.s / 1000000, 1) AS score FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id""",
+    SELECT d.doc_id, b.language, b.s / 1000000 AS score FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id""",
     doubles="score",
 )
 def identified_language(t: Tables) -> DataFrame:
     """Language of whole texts from profiles learned on the labelled documents."""
-    profile = language_profile(t.spread("documents"), "text", "lang")
-    found = identify_language(t.spread("documents").select("doc_id", "text"), "doc_id", "text", profile)
-    return found.withColumn("score", F.round("score", 1))
+    profile = language_profile(t.documents, "text", "lang")
+    return identify_language(t.documents.select("doc_id", "text"), "doc_id", "text", profile)
 
 
 @query()
@@ -260,6 +259,6 @@ def encoder_vectors(t: Tables) -> DataFrame:
 @query()
 def modelled_topics(t: Tables) -> DataFrame:
     """Partition, embed, cluster, reassign, merge and describe in one run; clustering is iterative."""
-    texts = t.spread("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title"))
+    texts = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("title"))
     model = model_topics(texts, 0.35, part_size=2_500, min_samples=3, min_cluster_size=5, stop=STOP)
     return model.info.select("topic", "count", "label")
