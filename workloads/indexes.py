@@ -22,14 +22,14 @@ from workloads.registry import Tables, query
 from workloads.roles import FIRST_YEAR, MATCH_ROLES, prelude
 
 A_ROLES = ("pubs", "works", "work_topics", "topics", "domains", "primary_topic", "doi_matches")
-CORPUS_ROLES = (*A_ROLES, "authorships", "institutions", "authors", "crosswalk")
+CORPUS_ROLES = (*MATCH_ROLES, "authorships", "institutions", "authors", "crosswalk")
 
 CORPUS = """
 corpus AS (SELECT DISTINCT w.work_id, w.doi, d.domain, w.title, w.publication_year, au.author_id, au.author_name, i.institution_name, i.institution_type
   FROM works w JOIN authorships a ON w.work_id = a.work_id JOIN institutions i ON a.institution_id = i.institution_id
   LEFT JOIN authors au ON a.author_id = au.author_id LEFT JOIN primary_topic pt ON w.work_id = pt.work_id LEFT JOIN domains d ON pt.domain_id = d.domain_id
   WHERE publication_year >= 1997 AND type = 'article' AND doi <> '' AND country = 'NATION_3'),
-missing AS (SELECT * FROM corpus WHERE length(title) > 15 AND work_id NOT IN (SELECT work_id FROM doi_matches)),
+missing AS (SELECT * FROM corpus WHERE length(title) > 15 AND work_id NOT IN (SELECT work_id FROM matches_a)),
 flagged AS (SELECT *, coalesce(author_id IN (SELECT author_id FROM crosswalk), false) AS author_known FROM missing) """
 
 
@@ -93,7 +93,7 @@ def national_index_corpus(t: Tables) -> DataFrame:
 
 
 def missing(t: Tables) -> DataFrame:
-    return not_matched(corpus(t), roles.doi_matches(t))
+    return not_matched(corpus(t), roles.matches_a(t))
 
 
 @query(with_corpus() + "SELECT * FROM missing")
@@ -103,11 +103,11 @@ def national_works_not_matched(t: Tables) -> DataFrame:
 
 @query(
     with_corpus()
-    + """SELECT matched, count(DISTINCT work_id) AS n FROM (SELECT work_id, work_id IN (SELECT work_id FROM doi_matches) AS matched FROM corpus WHERE length(title) > 15) GROUP BY 1"""
+    + """SELECT matched, count(DISTINCT work_id) AS n FROM (SELECT work_id, work_id IN (SELECT work_id FROM matches_a) AS matched FROM corpus WHERE length(title) > 15) GROUP BY 1"""
 )
 def matched_work_counts(t: Tables) -> DataFrame:
     long = corpus(t).where("char_length(title) > 15").select("work_id").distinct()
-    return work_counts(flag_matched(long, roles.doi_matches(t)), ["matched"])
+    return work_counts(flag_matched(long, roles.matches_a(t)), ["matched"])
 
 
 @query(
@@ -172,15 +172,16 @@ def match_title_list(t: Tables) -> DataFrame:
     return match_article_titles(roles.pubs(t), roles.articles(t), roles.disciplines(t))
 
 
-@query(
-    prelude("articles", "disciplines", "identifiers", "author_names", "address_names", "addresses")
-    + """SELECT DISTINCT a.article_id, a.title, a.publication_year, d.specialty, d.discipline, n.first_name, n.last_name, ad.institution, i.identifier
+NATIONAL_ROLES = ("articles", "disciplines", "identifiers", "author_names", "address_names", "addresses")
+NATIONAL = """SELECT DISTINCT a.article_id, a.title, a.publication_year, d.specialty, d.discipline, n.first_name, n.last_name, ad.institution, i.identifier
     FROM articles a JOIN identifiers i ON i.article_id = a.article_id LEFT JOIN disciplines d ON a.discipline_code = d.discipline_code
     JOIN author_names n ON n.article_id = a.article_id
     JOIN (SELECT article_id, author_seq, min(address_no) AS address_no FROM address_names GROUP BY ALL) f ON f.article_id = a.article_id AND f.author_seq = n.author_seq
     JOIN addresses ad ON ad.article_id = a.article_id AND ad."order" = f.address_no
     WHERE a.publication_year >= 1997 AND ad.country = 'NATION_3' AND a.document_code = 1 AND i.identifier <> '' AND i.type IN ('doi', 'xref_doi', 'parent_book_doi')"""
-)
+
+
+@query(prelude(*NATIONAL_ROLES) + NATIONAL)
 def national_index_articles(t: Tables) -> DataFrame:
     return national_articles(
         roles.articles(t),

@@ -10,9 +10,9 @@ from pubmeter.plans.matching import flag_matched
 from pubmeter.plans.validation import known_author_sample, result_shares, unknown_author_sample, unmatched_article_sample
 from pubmeter.plans.coverage import works_with_known_author
 from workloads import roles
-from workloads.indexes import corpus
+from workloads.indexes import NATIONAL, NATIONAL_ROLES, missing, national_index_articles
 from workloads.registry import Tables, query
-from workloads.roles import prelude
+from workloads.roles import MATCH_ROLES, prelude
 
 ORDERS = "o_orderkey, o_custkey, o_orderpriority"
 DRAW = "md5(concat_ws('|', '1234', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderpriority))"
@@ -75,15 +75,16 @@ SQL_UNMATCHED = """
 corpus AS (SELECT DISTINCT w.work_id, domain, au.author_id, au.author_name, i.institution_name FROM works w
   JOIN authorships a ON w.work_id = a.work_id JOIN institutions i ON a.institution_id = i.institution_id LEFT JOIN authors au ON a.author_id = au.author_id
   LEFT JOIN primary_topic pt ON w.work_id = pt.work_id LEFT JOIN domains d ON pt.domain_id = d.domain_id
-  WHERE publication_year >= 1997 AND type = 'article' AND doi <> '' AND country = 'NATION_3'),
+  WHERE publication_year >= 1997 AND type = 'article' AND doi <> '' AND country = 'NATION_3'
+  AND length(w.title) > 15 AND w.work_id NOT IN (SELECT work_id FROM matches_a)),
 flagged AS (SELECT work_id, domain, author_id, author_id IS NOT NULL AND author_id IN (SELECT author_id FROM crosswalk) AS author_known FROM corpus),
 known AS (SELECT *, bool_or(author_known) OVER (PARTITION BY work_id) AS some_known FROM flagged)"""
-CORPUS_ROLES = ("works", "work_topics", "topics", "domains", "primary_topic", "authorships", "institutions", "authors", "crosswalk")
+CORPUS_ROLES = (*MATCH_ROLES, "authorships", "institutions", "authors", "crosswalk")
 KNOWN_DRAW = """md5(concat_ws('|', '1234', CAST(work_id AS VARCHAR), domain, coalesce(CAST(author_id AS VARCHAR), ''), CAST(author_known AS VARCHAR), CAST(some_known AS VARCHAR)))"""
 
 
 def known(t: Tables) -> DataFrame:
-    rows = corpus(t).select("work_id", "domain", "author_id", "author_name", "institution_name").distinct()
+    rows = missing(t).select("work_id", "domain", "author_id", "author_name", "institution_name").distinct()
     return works_with_known_author(rows.select("work_id", "domain", "author_id"), roles.crosswalk(t))
 
 
@@ -105,30 +106,31 @@ def unknown_author_check_sample(t: Tables) -> DataFrame:
     return unknown_author_sample(known(t))
 
 
+NATIONAL_COLUMNS = "article_id title publication_year specialty discipline first_name last_name institution identifier".split()
+NATIONAL_DRAW = "md5(concat_ws('|', '1234', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in NATIONAL_COLUMNS) + "))"
+
+
 @query(
-    prelude("pubs", "articles", "disciplines", "identifiers", "matches_b").rstrip()
-    + """,
-    one AS (SELECT a.article_id, d.discipline, a.article_id IN (SELECT b.article_id FROM matches_b b WHERE b.doi IN (SELECT p.doi FROM pubs p)) AS matched
-      FROM articles a LEFT JOIN disciplines d ON a.discipline_code = d.discipline_code),
+    prelude("pubs", *NATIONAL_ROLES, "matches_b").rstrip()
+    + f""",
+    national AS ({NATIONAL}),
+    drawn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY {NATIONAL_DRAW}) AS rn FROM national) WHERE rn = 1),
+    one AS (SELECT article_id, discipline, article_id IN (SELECT b.article_id FROM matches_b b WHERE b.doi IN (SELECT p.doi FROM pubs p)) AS matched FROM drawn),
     open AS (SELECT * FROM one WHERE NOT matched),
     counts AS (SELECT discipline AS s, count(*) AS n FROM open WHERE discipline IS NOT NULL GROUP BY 1),
     exact AS (SELECT s, n, n / sum(n) OVER () * 100 AS e FROM counts), r AS (SELECT *, round_even(e, 0) AS q FROM exact),
     k AS (SELECT CAST(100 - sum(q) AS BIGINT) AS missing FROM r),
     quota AS (SELECT s, CAST(q AS BIGINT) + CASE WHEN row_number() OVER (ORDER BY (e - q) * sign(missing) DESC, s) <= abs(missing) THEN CAST(sign(missing) AS BIGINT) ELSE 0 END AS quota FROM r, k),
     chosen AS (SELECT article_id FROM (SELECT *, row_number() OVER (PARTITION BY discipline ORDER BY md5(concat_ws('|', '1234', CAST(article_id AS VARCHAR), discipline, CAST(matched AS VARCHAR)))) AS rn
-      FROM open) JOIN quota ON s = discipline WHERE rn <= quota),
-    rows AS (SELECT DISTINCT l_orderkey AS article_id, 'F' || l_suppkey AS first_name FROM lineitem)
-    SELECT article_id, first_name FROM (SELECT rows.article_id, first_name, row_number() OVER (PARTITION BY rows.article_id ORDER BY md5(concat_ws('|', '1234', CAST(rows.article_id AS VARCHAR), first_name))) AS rn
-    FROM rows JOIN chosen ON rows.article_id = chosen.article_id) WHERE rn = 1"""
+      FROM open) JOIN quota ON s = discipline WHERE rn <= quota)
+    SELECT article_id, first_name FROM drawn JOIN chosen USING (article_id)"""
 )
 def unmatched_article_check_sample(t: Tables) -> DataFrame:
-    one = roles.articles(t).select("article_id", "discipline_code").join(
-        roles.disciplines(t).select("discipline_code", "discipline"), "discipline_code", "left"
-    )
+    """Articles without a match, drawn from one random row per national article, then taken back to their full rows."""
+    full = national_index_articles(t).select(*NATIONAL_COLUMNS)
     listed = roles.matches_b(t).join(roles.pubs(t).select("doi").distinct(), "doi", "left_semi")
-    flagged = flag_matched(one.select("article_id", "discipline"), listed, "article_id")
-    full = roles.author_names(t).select("article_id", "first_name").distinct()
-    return unmatched_article_sample(full, flagged)
+    flagged = flag_matched(one_per_key(full, ["article_id"]).select("article_id", "discipline"), listed, "article_id")
+    return unmatched_article_sample(full, flagged).select("article_id", "first_name")
 
 
 @query("SELECT quality, toxic, count(DISTINCT doc_id) AS n, count(DISTINCT doc_id) / (SELECT count(DISTINCT doc_id) FROM labels) AS p FROM labels GROUP BY ALL", doubles="p")
