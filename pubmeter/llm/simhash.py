@@ -182,7 +182,8 @@ def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text"
     found = near_duplicates(docs, id, text, words, distance, node).where(F.col(id).isNotNull())
     stay = cut_lineage(found.where(F.col(id) == F.col("component_id")).groupBy(id).agg(F.count(F.lit(1)).alias("_rows")))
     ids = stay.select(id)
-    kept = docs.join(ids, id, "left_semi").unionByName(docs.where(F.col(id).isNull()))
+    # a merge join at every size, so what moves is in proportion to the input
+    kept = docs.join(ids.hint("merge"), id, "left_semi").unionByName(docs.where(F.col(id).isNull()))
     repeated = stay.where("_rows > 1").select(id)
     if repeated.isEmpty():
         return kept
