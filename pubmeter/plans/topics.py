@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 from pubmeter.operators.clustering import MIN_CLUSTER_SIZE, MIN_SAMPLES, density_cluster
 from pubmeter.operators.embedding import hashed_embedding, principal_components
 from pubmeter.operators.merging import MIN_SIMILARITY, merge_topics, remap_documents
-from pubmeter.operators.tokens import class_tfidf, reduce_outliers, term_counts, top_terms, topic_centroids, topic_info, topic_labels
+from pubmeter.functions.vectors import rescale
+from pubmeter.operators.tokens import class_tfidf, reduce_outliers, rerank_terms, term_counts, top_terms, topic_centroids, topic_info, topic_labels
 from pubmeter.session import cut_lineage
 from pubmeter.sources.files import row_partitions
 
 MAP_COMPONENTS = 10
+# Components of the vectors that are clustered.
+CLUSTER_COMPONENTS = 5
+# Candidate terms of a topic that are ranked anew by their vectors.
+CANDIDATES = 30
 
 
 @dataclass(frozen=True)
@@ -41,24 +46,51 @@ def model_topics(
     outlier_threshold: float = 0.1,
     min_similarity: float = MIN_SIMILARITY,
     stop: Sequence[str] | None = None,
+    components: int | None = CLUSTER_COMPONENTS,
+    rerank: bool = False,
+    labeller: Callable[[DataFrame], DataFrame] | None = None,
 ) -> TopicModel:
     """Cluster each part of the table by itself, then merge the parts' topics.
 
+    Clusters are found among the first ``components`` principal components, rescaled, or among the vectors themselves with
+    None; topics are described by the whole vectors. With ``rerank`` the leading terms are those whose vectors, from the same
+    embedder, lie closest to the topic's. ``labeller`` maps the topic table to (topic, label) for the topics it names.
+
     All parts go through one plan with a ``part`` column. Any failure is raised. ``embedder`` maps (id, text) to
     (id, vec). ``id`` must be unique; ``order`` names the unique column that places rows in parts.
     """
     placed = cut_lineage(row_partitions(texts.select(*{id, text, order or id}), order or id, part_size))
     vectors = embedder(placed) if embedder else hashed_embedding(placed, id, text)
     embedded = cut_lineage(placed.select(id, "part").join(vectors, id))
-    clustered = density_cluster(embedded, eps, id, "vec", "part", min_samples, min_cluster_size)
+    if components:
+        low = cut_lineage(rescale(principal_components(embedded, "vec", components, "low"), "low").select(id, "part", "low"))
+        clustered = density_cluster(low, eps, id, "low", "part", min_samples, min_cluster_size)
+    else:
+        clustered = density_cluster(embedded, eps, id, "vec", "part", min_samples, min_cluster_size)
     doc_topic = cut_lineage(embedded.join(clustered.select(id, "topic"), id))
     found = topic_centroids(doc_topic.where("topic <> -1"), by="part")
     assigned = reduce_outliers(doc_topic, found, outlier_threshold, id, "vec", "part")
     final = cut_lineage(embedded.join(assigned.select(id, "topic"), id))
     mapping, merged = merge_topics(topic_centroids(final, by="part"), min_similarity)
     documents = cut_lineage(remap_documents(final.select(id, "part", "topic"), mapping))
+    centroids = merged.withColumnRenamed("merged", "topic")
     weights, info = describe_topics(documents, placed.select(id, text), id, text, stop)
-    return TopicModel(documents, merged.withColumnRenamed("merged", "topic"), weights, info)
+    if rerank:
+        info = topic_labels(topic_info(documents, reranked_terms(weights, centroids, embedder)))
+    if labeller:
+        info = topic_labels(info.drop("label"), labeller(info))
+    return TopicModel(documents, centroids, weights, info)
+
+
+def reranked_terms(weights: DataFrame, centroids: DataFrame, embedder: Callable[[DataFrame], DataFrame] | None = None, candidates: int = CANDIDATES) -> DataFrame:
+    """``topic, term, similarity, rank``: the heaviest terms of each topic, ranked by closeness to the topic's vector.
+
+    Each distinct term is embedded once, by ``embedder`` over (id, text) or by hashing without weights.
+    """
+    leading = cut_lineage(top_terms(weights, k=candidates))
+    distinct = leading.select(F.col("term").alias("id"), F.col("term").alias("title")).distinct()
+    vectors = embedder(distinct) if embedder else hashed_embedding(distinct, "id", "title", weighted=False)
+    return rerank_terms(leading, vectors.select(F.col("id").alias("term"), "vec"), centroids)
 
 
 def describe_topics(

@@ -24,7 +24,7 @@ from pubmeter.operators.tokens import (
     topic_labels,
     vocabulary,
 )
-from pubmeter.plans.topics import describe_topics, document_info, model_topics
+from pubmeter.plans.topics import describe_topics, document_info, model_topics, reranked_terms
 from pubmeter.session import cut_lineage
 from workloads import roles
 from workloads.registry import Tables, query
@@ -165,6 +165,25 @@ def terms_reranked_by_vector(t: Tables) -> DataFrame:
     return rerank_terms(named, named.select("term", "vec"), topic_centroids(named))
 
 
+@query(
+    source_sql(weights_sql(0.001, 0.8), top_sql(30)).rstrip().rstrip(",")
+    + """, spelled AS (SELECT term, [CAST(length(term) AS DOUBLE), length(term) - length(replace(term, 'e', '')), length(term) - length(replace(term, 'n', '')), 1] AS vec FROM (SELECT DISTINCT term FROM top)),
+    centre AS (SELECT topic, [topic + 1.0, 2, 1, topic % 3] AS cv FROM (SELECT DISTINCT topic FROM top)),
+    scored AS (SELECT topic, term, round(list_cosine_similarity(vec, cv), 9) AS similarity FROM top JOIN spelled USING (term) JOIN centre USING (topic)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY similarity DESC, term) AS rank FROM scored)
+    SELECT topic, term, similarity, rank FROM ranked WHERE rank <= 10""",
+    doubles="similarity",
+)
+def topic_terms_reranked(t: Tables) -> DataFrame:
+    """Each topic's leading terms by closeness of their vectors, here counts of letters, to a vector of the topic."""
+    texts = by_source(t)
+    weights = class_tfidf(source_counts(t))
+    centre = texts.select("topic").distinct().select("topic", F.array((F.col("topic") + 1).cast("double"), F.lit(2.0), F.lit(1.0), (F.col("topic") % 3).cast("double")).alias("vec"))
+    count = lambda letter: F.length("id") - F.length(F.replace("id", F.lit(letter), F.lit("")))
+    spell = lambda terms: terms.select("id", F.array(F.length("id").cast("double"), count("e").cast("double"), count("n").cast("double"), F.lit(1.0)).alias("vec"))
+    return reranked_terms(weights, centre, spell).select("topic", "term", "similarity", "rank")
+
+
 SQL["parts"] = """SELECT part, topic, list(m ORDER BY pos) AS vec FROM (SELECT part, topic, pos, avg(x) AS m FROM
   (SELECT id % 3 + 1 AS part, topic, unnest(vec) AS x, generate_subscripts(vec, 1) AS pos FROM vectors) GROUP BY ALL) GROUP BY part, topic"""
 
@@ -240,25 +259,30 @@ def hashed_text_vectors(t: Tables) -> DataFrame:
 
 
 def _length_encoder():
-    """An encoder of three text measures: letters, words, mean word length."""
+    """An encoder of three text measures: characters, words, characters in words."""
     import numpy as np
 
     def encode(texts: list[str]) -> np.ndarray:
         words = [t.split() for t in texts]
-        return np.array([[len(t), len(w), sum(map(len, w)) / max(1, len(w))] for t, w in zip(texts, words)], dtype=np.float32)
+        return np.array([[len(t), len(w), sum(map(len, w))] for t, w in zip(texts, words)], dtype=np.float32)
 
     return encode
 
 
-@query("SELECT doc_id, length(text) AS chars FROM documents")
+@query(
+    r"""SELECT doc_id, length(text) AS chars, len(regexp_extract_all(text, '\S+')) AS words,
+    CAST(coalesce(list_sum([length(w) for w in regexp_extract_all(text, '\S+')]), 0) AS BIGINT) AS in_words FROM documents"""
+)
 def encoder_vectors(t: Tables) -> DataFrame:
     """Vectors from a batch encoder that each task loads once."""
-    return embed(t.documents, "doc_id", "text", _length_encoder).select("doc_id", F.col("vec")[0].cast("bigint").alias("chars"))
+    return embed(t.documents, "doc_id", "text", _length_encoder).select(
+        "doc_id", F.col("vec")[0].cast("bigint").alias("chars"), F.col("vec")[1].cast("bigint").alias("words"), F.col("vec")[2].cast("bigint").alias("in_words")
+    )
 
 
 @query()
 def modelled_topics(t: Tables) -> DataFrame:
     """Partition, embed, cluster, reassign, merge and describe in one run; clustering is iterative."""
     texts = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("title"))
-    model = model_topics(texts, 0.35, part_size=2_500, min_samples=3, min_cluster_size=5, stop=STOP)
+    model = model_topics(texts, 0.03, part_size=2_500, min_samples=3, min_cluster_size=5, stop=STOP)
     return model.info.select("topic", "count", "label")

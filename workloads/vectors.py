@@ -23,21 +23,20 @@ def cosine_to_centroid(t: Tables) -> DataFrame:
     return v.join(means, "topic").select("id", cosine(F.col("vec"), F.col("c")).alias("similarity"))
 
 
-@query(prelude("vectors", "centroids") + "SELECT topic, round(vec[1], 6) AS first, round(vec[64], 6) AS last, round(list_sum(vec), 6) AS total FROM centroids", doubles="first last total")
+@query(prelude("vectors", "centroids") + "SELECT topic, generate_subscripts(vec, 1) - 1 AS pos, unnest(vec) AS value FROM centroids", doubles="value")
 def centroid_vectors(t: Tables) -> DataFrame:
     means = topic_centroids(roles.vectors(t))
-    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
-    return means.select("topic", F.col("vec")[0].alias("first"), F.col("vec")[63].alias("last"), total.alias("total"))
+    return means.select("topic", F.posexplode("vec").alias("pos", "value"))
 
 
 @query(
     prelude("vectors")
-    + """SELECT id, round(vec[1] / s, 6) AS first, round(vec[2] / s, 6) AS second FROM vectors, (SELECT stddev_pop(vec[1]) * 10000 AS s FROM vectors)""",
-    doubles="first second",
+    + """SELECT id, generate_subscripts(vec, 1) - 1 AS pos, 10000 * unnest(vec) / s AS value FROM vectors, (SELECT stddev_pop(vec[1]) * 10000 AS s FROM vectors)""",
+    doubles="value",
 )
 def rescaled_vectors(t: Tables) -> DataFrame:
     scaled = rescale(roles.vectors(t), "vec")
-    return scaled.select("id", F.col("vec")[0].alias("first"), F.col("vec")[1].alias("second"))
+    return scaled.select("id", F.posexplode("vec").alias("pos", "value")).withColumn("value", 10_000 * F.col("value"))
 
 
 NEAR = """near AS (SELECT id, neighbour, distance, rank FROM (SELECT a.id, b.id AS neighbour, round(1 - list_cosine_similarity(a.vec, b.vec), 9) AS distance,
@@ -74,6 +73,18 @@ def principal_component_scores(t: Tables) -> DataFrame:
     return scores.select("id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 
+@query(
+    prelude("vectors").rstrip()
+    + """, long AS (SELECT id, generate_subscripts(vec, 1) AS pos, unnest(vec) AS x FROM vectors), centre AS (SELECT pos, avg(x) AS m FROM long GROUP BY pos)
+    SELECT id, sum((x - m) * (x - m)) AS square FROM long JOIN centre USING (pos) GROUP BY id""",
+    doubles="square",
+)
+def principal_component_lengths(t: Tables) -> DataFrame:
+    """All components together keep each centred vector's length."""
+    scores = principal_components(roles.vectors(t), "vec", 64)
+    return scores.select("id", F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x).alias("square"))
+
+
 @query()
 def topic_coordinates(t: Tables) -> DataFrame:
     """Two coordinates per topic, through a few principal components."""
