@@ -112,11 +112,12 @@ def domains(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    from pubmeter.llm.mixing import TARGETS, fit, rates
+    from pubmeter.llm.mixing import TARGETS, fit, measure, rates
 
     docs = table(spark, folder, "documents")
-    model = fit(docs, domains(spark, folder), TARGETS)
-    found = rates(docs, model)
+    measured = measure(docs)
+    model = fit(docs, domains(spark, folder), TARGETS, measured=measured)
+    found = rates(docs, model, measured=measured)
     probability = [F.round(F.col("posterior")[k], 6).alias(f"p_{d}") for k, d in enumerate(model.domains)]
     return found.select("doc_id", "tokens", *probability, F.round("rate", 6).alias("rate"), "copies")
 
