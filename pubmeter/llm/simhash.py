@@ -24,7 +24,7 @@ SEED = 42
 NODE = 1 << 14
 # Shingles of one text that are hashed at once; node pairs, and pairs of fingerprints, that are looked at together.
 BLOCK = 1 << 16
-PAIRS = 1 << 18
+PAIRS = 1 << 16
 LEAF = 16
 
 

@@ -8,11 +8,13 @@ to the tokenizer's merge model; every other piece goes through the whole tokeniz
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+import numpy as np
 from tokenizers import Tokenizer
 
 # Pieces and words that a worker keeps at most; later ones are encoded each time they come.
-KEPT = 400_000
+KEPT = 250_000
 LATIN = "a-zß-öø-ÿ"
 PUNCTUATION = r"[.,;:!?|*#$%&<>\"()\[\]/=+_-]*"
 LOWER_PIECE = re.compile(rf"([{LATIN}]+)({PUNCTUATION})")
@@ -32,18 +34,18 @@ def byte_letters() -> list[str]:
 
 
 class Words(dict):
-    """Token ids of a pre-token, straight from the merge model."""
+    """What is kept of a pre-token's token ids, which come straight from the merge model."""
 
-    def __init__(self, tokenizer: Tokenizer) -> None:
+    def __init__(self, tokenizer: Tokenizer, keep: Callable[[list[int]], bytes | int]) -> None:
         super().__init__()
-        self.model, self.letters = tokenizer.model, byte_letters()
+        self.model, self.letters, self.keep = tokenizer.model, byte_letters(), keep
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> bytes | int:
         letters = self.letters
-        ids = [t.id for t in self.model.tokenize("".join([letters[b] for b in word.encode()]))]
+        out = self.keep([t.id for t in self.model.tokenize("".join([letters[b] for b in word.encode()]))])
         if len(self) < KEPT:
-            self[word] = ids
-        return ids
+            self[word] = out
+        return out
 
 
 class WordPieces(dict):
@@ -51,20 +53,18 @@ class WordPieces(dict):
 
     def __init__(self, path: str, dtype: str) -> None:
         super().__init__()
-        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
-        self.words = Words(self.tokenizer)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.keep = lambda ids: np.array(ids, dtype).tobytes()
+        self.words = Words(self.tokenizer, self.keep)
 
     def __missing__(self, piece: str) -> bytes:
-        import numpy as np
-
         plain = LOWER_PIECE.fullmatch(piece.lower()) if piece.isascii() or max(piece) <= "ÿ" else None
         if plain:
-            ids = self.words[plain[1]]
+            out = self.words[plain[1]]
             if plain[2]:
-                ids = ids + self.words[plain[2]]
+                out += self.words[plain[2]]
         else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        out = np.array(ids, self.dtype).tobytes()
+            out = self.keep(self.tokenizer.encode(piece, add_special_tokens=False).ids)
         if len(self) < KEPT:
             self[piece] = out
         return out
@@ -82,12 +82,12 @@ class UnitLengths(dict):
 
     def __init__(self, tokenizer: Tokenizer) -> None:
         super().__init__()
-        self.tokenizer, self.words = tokenizer, Words(tokenizer)
+        self.tokenizer, self.words = tokenizer, Words(tokenizer, len)
 
     def __missing__(self, unit: str) -> int:
         plain = PIECE.fullmatch(unit)
         if plain:
-            n = len(self.words[plain[1]]) + (len(self.words[plain[2]]) if plain[2] else 0)
+            n = self.words[plain[1]] + (self.words[plain[2]] if plain[2] else 0)
         else:
             n = len(self.tokenizer.encode(unit, add_special_tokens=False).ids)
         if len(self) < KEPT:

@@ -65,7 +65,7 @@ def plain(word: str) -> str:
 class Weights(dict):
     """Raw word -> weight of the strongest lexicon entry for it, 0 where there is none; second-person words are nan."""
 
-    def __init__(self, lexicon: dict[str, float], kept: int = 300_000) -> None:
+    def __init__(self, lexicon: dict[str, float], kept: int = 100_000) -> None:
         super().__init__()
         self.lexicon, self.kept = lexicon, kept
 
