@@ -179,7 +179,12 @@ def _links(prints: DataFrame, distance: int, node: int) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, distance: int = DISTANCE, node: int = NODE) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, that of the smallest id. Rows without an id stay."""
-    found = near_duplicates(docs, id, text, words, distance, node).where(F.col(id).isNotNull())
+    return keep_smallest(docs, near_duplicates(docs, id, text, words, distance, node), id)
+
+
+def keep_smallest(docs: DataFrame, groups: DataFrame, id: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each group of ``groups`` (``id``, ``component_id``), that of the smallest id. Rows without an id stay."""
+    found = groups.where(F.col(id).isNotNull())
     stay = cut_lineage(found.where(F.col(id) == F.col("component_id")).groupBy(id).agg(F.count(F.lit(1)).alias("_rows")))
     ids = stay.select(id)
     # a merge join at every size, so what moves is in proportion to the input
