@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from pubmeter.session import cut_lineage
 # Sites from which on a line is boilerplate, and words from which on a line counts.
 SITES = 5
 WORDS = 5
+# Share of all sites from which on a line of fewer words is boilerplate, where these count.
+SHORT = 0.9
 # Sketch size: 2**LG_K registers, relative error 1.04 / 2**(LG_K / 2).
 LG_K = 11
 # Lines whose estimate is this close to the threshold, in relative errors but at least one site, are counted exactly.
@@ -47,12 +51,13 @@ def without_lines(text: Column, dropped: Column) -> Column:
     return F.array_join(F.flatten(stretches), "\n")
 
 
-def drop_boilerplate(docs: DataFrame, id: str = "doc_id", text: str = "text", site: str = "source", sites: int = SITES, words: int = WORDS, lg_k: int = LG_K) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, id: str = "doc_id", text: str = "text", site: str = "source", sites: int = SITES, words: int = WORDS, lg_k: int = LG_K, short: float | None = None) -> DataFrame:
     """``docs`` with its columns and ``n_lines_removed``, the text without cross-site boilerplate lines.
 
     A line (between line feeds) of at least ``words`` words that stands at ``sites`` or more distinct sites is boilerplate: it
     stays where it comes first (smallest id, then position) and goes everywhere else, together with its line feed. Other
-    lines stay as they are, and so does every row, even one whose text becomes empty.
+    lines stay as they are, and so does every row, even one whose text becomes empty. With ``short``, a line of fewer words,
+    but at least one, counts too: it is boilerplate at ``sites`` or more sites that are at least this share of all sites.
 
     A missing text stays missing, a missing site is no site, repeated rows are rows of their own. An empty table stays empty.
     Lines are known by 128 bits of hash. Only line hashes and positions are shuffled by line; a line that a third of all rows
@@ -62,9 +67,17 @@ def drop_boilerplate(docs: DataFrame, id: str = "doc_id", text: str = "text", si
     rows = keyed(docs, id, F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
     value = F.col("row").getField(text)
     exploded = rows.select("key", F.col("row").getField(site).alias("site"), F.posexplode(F.split(value, "\n")).alias("pos", "line"))
-    long_enough = exploded.where(F.col("line").rlike(rf"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{{words - 1}}}[^\x20\x09-\x0D]") if words > 1 else F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    lines = cut_lineage(long_enough.select("key", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")))
-    found = boilerplate(lines, sites, lg_k).withColumnsRenamed({"key": "first_key", "pos": "first_pos"})
+    filled = F.col("line").rlike(r"[^\x20\x09-\x0D]")
+    long_enough = F.col("line").rlike(rf"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{{words - 1}}}[^\x20\x09-\x0D]") if words > 1 else filled
+    hashed = ["key", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")]
+    if short is None:
+        lines = cut_lineage(exploded.where(long_enough).select(*hashed))
+        found = boilerplate(lines, sites, lg_k)
+    else:
+        lines = cut_lineage(exploded.where(filled).select(*hashed, long_enough.alias("long")))
+        wide = max(sites, math.ceil(short * docs.agg(F.count_distinct(F.col(f"`{site}`"))).first()[0]))
+        found = boilerplate(lines.where("long"), sites, lg_k).unionByName(boilerplate(lines.where("NOT long"), wide, lg_k))
+    found = found.withColumnsRenamed({"key": "first_key", "pos": "first_pos"})
     flagged = lines.join(found, ["h1", "h2"]).where("key <> first_key OR pos <> first_pos")
     dropped = cut_lineage(flagged.groupBy("key").agg(F.sort_array(F.collect_list("pos")).alias("dropped")))
     # texts and positions meet in a merge join at every size, so the amount that moves is in proportion to the input
