@@ -128,3 +128,52 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
     found = identify(table(spark, folder, "pages"), fit(table(spark, folder, "documents")))
     return found.withColumn("probability", F.round("probability", 6))
+
+
+@query
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    from pubmeter.llm.spelling import count_words, group_variants, letter_runs, without_letter
+
+    docs = table(spark, folder, "documents")
+    runs = docs.select("doc_id", F.explode(letter_runs(F.col("text"))).alias("run"))
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
+    words = runs.select(F.when(h % 31 == 0, without_letter(F.col("run"), h % F.length("run"))).otherwise(F.col("run")).alias("word"))
+    return group_variants(count_words(words))
+
+
+@query
+def op12_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    from pubmeter.llm.negatives import mine
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+SQL["op12_negatives"] = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score QUALIFY rank <= 5
+"""
+
+
+@query
+def op13_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    from pubmeter.llm.setsketch import near_duplicates
+
+    found = near_duplicates(table(spark, folder, "documents"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+SQL["op13_minhash"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+g AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(2, len(words) - 1)), lambda i: array_to_string(words[i:i + 2], ' '))) AS shingles FROM w WHERE len(words) > 0),
+t AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM g),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach(a, b) AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
+low AS (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a)
+SELECT w.doc_id, CAST(coalesce(len(shingles), 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(least, w.doc_id)) AS component_id, w.doc_id = least(w.doc_id, coalesce(least, w.doc_id)) AS kept
+FROM w LEFT JOIN g USING (doc_id) LEFT JOIN low USING (doc_id)
+"""

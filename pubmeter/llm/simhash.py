@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pubmeter.llm.common import components, in_small_batches, texts
+from pubmeter.llm.common import components, in_small_batches, keyed, texts
 from pubmeter.session import cut_lineage
 
 BITS = 64
@@ -133,24 +133,32 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     budget, by a join on the prefix, and each pair of nodes is walked in one task, which returns a spanning forest of the
     links and not the links. Connected components of the forests give the groups.
 
-    A missing text counts as empty, and all texts without words share fingerprint zero. Rows that repeat an id share its
-    component; a missing id stays missing and never names a component. Empty tables and other columns are no special case.
+    A missing text counts as empty, and all texts without words share fingerprint zero. Rows that repeat an id share no
+    component for that alone; a missing id stays missing and never names a component. Empty tables and other columns are no
+    special case.
     """
-    in_small_batches(docs.sparkSession)
-    source = texts(docs, id, text).toDF("id", "text")
+    rows = texts(docs, id, text).toDF("id", "text").withColumn("key", F.lit(0).cast("long"))
+    return _grouped(rows, words, distance, node).select(F.col("id").alias(id), "print", "component_id")
+
+
+def _grouped(rows: DataFrame, words: int, distance: int, node: int) -> DataFrame:
+    """``key, id, print, component, component_id`` of the rows ``key, id, text``; ``component`` is a fingerprint of the group."""
+    in_small_batches(rows.sparkSession)
+    source = rows.select("key", "id", F.coalesce("text", F.lit("")).alias("text"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["id", "print"])
+            prints = np.array([fingerprint(t, words) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], ["key", "id", "print"])
 
-    marks = cut_lineage(source.mapInArrow(mark, T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("print", T.LongType())])))
+    marked = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", source.schema["id"].dataType), T.StructField("print", T.LongType())])
+    marks = cut_lineage(source.mapInArrow(mark, marked))
     prints = cut_lineage(marks.groupBy("print").agg(F.min("id").alias("first")))
     groups = components(_links(prints.select("print"), distance, node))
     joined = prints.join(groups.withColumnRenamed("id", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
     smallest = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = cut_lineage(joined.select("print", "component").join(smallest, "component").select("print", "component_id"))
-    return marks.join(named, "print").select(F.col("id").alias(id), "print", "component_id")
+    named = cut_lineage(joined.select("print", "component").join(smallest, "component").select("print", "component", "component_id"))
+    return marks.join(named, "print").select("key", "id", "print", "component", "component_id")
 
 
 def _links(prints: DataFrame, distance: int, node: int) -> DataFrame:
@@ -178,19 +186,15 @@ def _links(prints: DataFrame, distance: int, node: int) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, distance: int = DISTANCE, node: int = NODE) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates, that of the smallest id. Rows without an id stay."""
-    return keep_smallest(docs, near_duplicates(docs, id, text, words, distance, node), id)
+    """``docs`` with one row of each group of near-duplicates, that of the smallest id.
 
-
-def keep_smallest(docs: DataFrame, groups: DataFrame, id: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each group of ``groups`` (``id``, ``component_id``), that of the smallest id. Rows without an id stay."""
-    found = groups.where(F.col(id).isNotNull())
-    stay = cut_lineage(found.where(F.col(id) == F.col("component_id")).groupBy(id).agg(F.count(F.lit(1)).alias("_rows")))
-    ids = stay.select(id)
+    Rows are told apart by a number of their own, so rows that repeat an id are judged each by its text; of those that share
+    both id and group one stays. Rows without an id stay.
+    """
+    names = docs.columns
+    rows = keyed(docs, id, F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
+    found = _grouped(rows.select("key", F.col("row").getField(id).alias("id"), F.col("row").getField(text).alias("text")), words, distance, node)
+    first = found.where("id = component_id").groupBy("component").agg(F.min("key").alias("key"))
+    stay = cut_lineage(first.select("key").unionByName(found.where("id IS NULL").select("key")))
     # a merge join at every size, so what moves is in proportion to the input
-    kept = docs.join(ids.hint("merge"), id, "left_semi").unionByName(docs.where(F.col(id).isNull()))
-    repeated = stay.where("_rows > 1").select(id)
-    if repeated.isEmpty():
-        return kept
-    # an id that several rows carry keeps one of them
-    return kept.join(repeated, id, "left_anti").unionByName(docs.join(repeated, id, "left_semi").dropDuplicates([id]))
+    return rows.join(stay.hint("merge"), "key", "left_semi").select(*(F.col("row").getField(c).alias(c) for c in names))

@@ -79,6 +79,15 @@ def test_near_duplicates(spark, odd, node):
     assert Counter(ids) == Counter({*smallest.values(), None})
 
 
+def test_rows_that_repeat_an_id_are_judged_by_their_texts(spark):
+    a, b = "a long text about the winter in the northern hills and its many storms", "quite another text that tells of boats on the wide and slow river"
+    rows = [(0, b), (1, a), (1, b), (4, a + "  "), (4, "unlike all of the others in every single one of its words"), (5, a), (5, a), (None, b)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, key string").repartition(3)
+    kept = drop_near_duplicates(docs)
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([rows[0], rows[1], rows[4], rows[7]])
+    assert kept.columns == docs.columns
+
+
 def test_near_duplicates_of_nothing(none):
     assert near_duplicates(none).count() == 0
     assert drop_near_duplicates(none).columns == none.columns
