@@ -18,7 +18,7 @@ from pubmeter.llm.mixing import TARGETS, draw
 from pubmeter.llm.mixing import fit as fit_mixture
 from pubmeter.llm.packing import pack
 from pubmeter.llm.registered import domains, table, vocabulary
-from pubmeter.llm.similar import drop_similar
+from pubmeter.llm.simhash import drop_near_duplicates
 from pubmeter.llm.toxicity import drop_toxic
 from pubmeter.llm.toxicity import fit as fit_toxicity
 from pubmeter.session import cut_lineage
@@ -37,8 +37,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts whose five-word shingles are similar (Jaccard 0.8 or more) the document with the smallest id stays."""
-    return drop_similar(docs)
+    """Of each group of texts whose fingerprints of three-word shingles lie within three bits the document with the smallest id stays."""
+    return drop_near_duplicates(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
