@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pubmeter.operators.ordering import row_index
 from pubmeter.session import cut_lineage
 
 # Code points and occurrences from which on a word counts.
@@ -15,6 +22,10 @@ RATIO = 10
 # With one edit, two disjoint bigrams are pivots; they are taken from the three rarest, of which two are always disjoint.
 PREFIX = 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# Counters of bigrams for the order of rarity: a table of a fixed size. Bigrams that share one count as equally frequent.
+SLOTS = 1 << 16
+# Pieces of what lies on one side of a surviving pivot; the edit is in one of them, all others are equal.
+PIECES = 3
 # More than any sum of counts.
 FAR = 1 << 60
 
@@ -38,57 +49,104 @@ def count_words(words: DataFrame, least_length: int = LEAST_LENGTH, least_count:
     return counted.where(F.col("n") >= least_count)
 
 
-def pivots(grams: Column) -> Column:
-    """The places of two disjoint bigrams of the least total count: a struct ``cost, a, b`` with ``a < b``.
+def prefix(word: str, counts: np.ndarray) -> list[tuple[int, int]]:
+    """Place and count of the three rarest occurrences of bigrams of ``word``, by place; of one bigram the first are the rarest."""
+    grams = ((int(counts[zlib.crc32(word[i : i + 2].encode()) % SLOTS]), word[i : i + 2], i) for i in range(len(word) - 1))
+    return sorted((place, count) for count, _, place in heapq.nsmallest(PREFIX, grams))
+
 
-    ``grams`` is an array of ``place, count``, by rising place. One pass of dynamic programming: for each bigram the
-    cheapest pair that ends there is its own count and that of the cheapest bigram at least two places before.
+def widened(word: str, grams: list[tuple[int, int]]) -> list[int]:
+    """The places of a prefix and the place after each, where the same bigram stands there too.
+
+    An edit before an occurrence moves it by one place, so where bigrams repeat the last one of a prefix may be followed by
+    the one that the other word's prefix ends with.
     """
-    none = F.struct(F.lit(FAR).alias("cost"), F.lit(-1).alias("place"))
-    start = F.struct(none.alias("before"), none.alias("last"), F.struct(F.lit(2 * FAR).alias("cost"), F.lit(-1).alias("a"), F.lit(-1).alias("b")).alias("pair"))
+    places = {place for place, _ in grams}
+    return sorted(places | {p + 1 for p in places if word[p + 1 : p + 3] == word[p : p + 2]})
 
-    def step(state: Column, gram: Column) -> Column:
-        # the last bigram overlaps with this one if it starts one place before; every earlier one is disjoint
-        free = F.when(state["last"]["place"] < gram["place"] - 1, F.least(state["before"], state["last"])).otherwise(state["before"])
-        pair = F.struct((free["cost"] + gram["count"]).alias("cost"), free["place"].alias("a"), gram["place"].alias("b"))
-        last = F.struct(gram["count"].alias("cost"), gram["place"].alias("place"))
-        return F.struct(F.least(state["before"], state["last"]).alias("before"), last.alias("last"), F.least(state["pair"], pair).alias("pair"))
 
-    return F.aggregate(grams, start, step)["pair"]
+def pivots(grams: list[tuple[int, int]]) -> tuple[int, int]:
+    """The places of two disjoint bigrams of the least total count; ``grams`` are places and counts by rising place.
+
+    One pass of dynamic programming: for each bigram the cheapest pair that ends there is its own count and that of the
+    cheapest bigram at least two places before.
+    """
+    before, last, best = (FAR, -1), (FAR, -2), (2 * FAR, -1, -1)
+    for place, count in grams:
+        # the last bigram overlaps with this one if it starts one place before; every earlier one is disjoint
+        free = min(before, last) if last[1] < place - 1 else before
+        best = min(best, (free[0] + count, free[1], place))
+        before, last = min(before, last), (count, place)
+    return best[1:]
 
 
 def near_words(words: DataFrame) -> DataFrame:
-    """``word, n, other, other_n``: all pairs of different words that differ by one inserted, deleted or replaced code point.
-
-    Both orders of a pair are there. ``words`` has distinct words of at least four code points. Bigrams are ordered by the
-    number of words that hold them. A word's prefix are its occurrences of bigrams up to its third rarest occurrence, and
-    its pivots the two disjoint ones of the prefix with the least total count. One edit leaves a pivot whole, so of two
-    near words the one with the rarer prefix has a pivot in the prefix of the other. The edit lies on one side of it: either
-    everything up to the pivot's end is equal, or everything from its start. That fixes the pivot's place in the other word for
-    each of its three possible lengths, so pivots and prefixes meet by equality of (side, that part, length); what meets is
-    verified by the edit distance. A bigram that very many words share is spread over their beginnings or ends and lengths.
+    """``a, b`` with ``a < b``: the numbers of all pairs of words that differ by one inserted, deleted or replaced code point.
+
+    ``words`` is ``id, word``: distinct words of at least four code points, and their numbers. Bigrams are ordered by how many
+    words hold one of the same counter. A word's prefix are its three rarest occurrences of bigrams, and its pivots the two
+    disjoint ones of the prefix with the least total count. One edit leaves a pivot whole, so of two
+    near words the one with the rarer prefix has a pivot in the prefix of the other. The edit lies on one side of it. For each of the
+    three possible lengths of the other word that fixes the pivot's place there, and it fixes where the other word's side is cut into
+    pieces, one of which holds the edit. So pivots and prefixes meet by equality of (side, length, place, everything but
+    that piece), by 64 bits of hash, and the two short pieces are verified by their edit distance. What meets is close to what is near, however
+    many words share a bigram.
     """
     size = F.length("word")
-    places = words.select("word", "n", size.alias("size"), F.explode(F.sequence(F.lit(1), size - 1)).alias("place"))
-    grams = places.withColumn("gram", F.expr("substring(word, place, 2)"))
-    counts = grams.groupBy("gram").agg(F.count_distinct("word").alias("count"))
-    ranked = grams.join(counts, "gram").groupBy("word", "n", "size").agg(F.sort_array(F.collect_list(F.struct("count", "gram", "place"))).alias("grams"))
-    last = F.element_at("grams", PREFIX)
-    within = F.filter("grams", lambda g: F.struct(g["count"], g["gram"]) <= F.struct(last["count"], last["gram"]))
-    prefix = F.array_sort(F.transform(within, lambda g: F.struct(g["place"].alias("place"), g["count"].alias("count"))))
-    marked = cut_lineage(ranked.select("word", "n", "size", prefix.alias("prefix")).withColumn("pivots", pivots(F.col("prefix"))))
-
-    def parts(place: Column) -> list[Column]:
-        return [F.xxhash64(F.lit("from"), F.substring("word", place, F.col("size"))), F.xxhash64(F.lit("up to"), F.substring("word", F.lit(1), place + 1))]
-
-    held = marked.select(F.col("word").alias("other"), F.col("n").alias("other_n"), "size", F.explode(F.flatten(F.transform("prefix", lambda g: F.array(*parts(g["place"]))))).alias("part"))
-    chosen = F.array(*parts(F.col("pivots")["a"]), *parts(F.col("pivots")["b"]))
-    asked = marked.select("word", "n", F.explode(F.array(*(F.col("size") + k for k in (-1, 0, 1)))).alias("size"), chosen.alias("parts"))
-    asked = asked.select("word", "n", "size", F.explode("parts").alias("part"))
-    found = asked.join(held.distinct(), ["part", "size"]).where((F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1))
-    found = found.select("word", "n", "other", "other_n")
-    turned = found.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n"))
-    return found.unionByName(turned).distinct()
+    grams = F.transform(F.sequence(F.lit(1), size - 1), lambda place: F.substring("word", place, F.lit(2)))
+    slots = F.transform(grams, lambda gram: F.pmod(F.crc32(gram.cast("binary")), F.lit(SLOTS)).cast("int"))
+    # at most SLOTS rows, whatever the input
+    used = words.select(F.explode(F.array_distinct(slots)).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[used["slot"].to_numpy()] = used["n"].to_numpy()
+    shared = words.sparkSession.sparkContext.broadcast(counts)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [prefix(word, shared.value) for word in batch.column(1).to_pylist()]
+            chosen = np.array([pivots(f) for f in found], np.int32).reshape(-1, 2)
+            places = pa.array([widened(w, f) for w, f in zip(batch.column(1).to_pylist(), found)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), places, pa.array(chosen[:, 0]), pa.array(chosen[:, 1])], ["id", "word", "places", "first", "second"])
+
+    marked = cut_lineage(words.select("id", "word").mapInArrow(mark, "id long, word string, places array<int>, first int, second int"))
+
+    def part(side: str, length: Column, place: Column, piece: int) -> tuple[Column, Column, Column, Column]:
+        """Key and piece, if one side of the bigram at ``place`` of a word of ``length`` is cut, and the bounds of the piece in this word."""
+        wide = length - place - 2 if side == "after" else place
+        cut = lambda j: F.floor(wide * j / PIECES).cast("int")
+        head = cut(piece) + (place + 2 if side == "after" else 0)
+        tail = wide - cut(piece + 1) + (0 if side == "after" else length - place)
+        end = size - tail
+        key = F.xxhash64(F.lit(side), length, place, F.substring("word", F.lit(1), head), F.substring("word", end + 1, tail))
+        found = F.struct(key.alias("key"), F.substring("word", head + 1, end - head).alias("piece"))
+        return F.when((wide >= 0) & (head <= end), found), head, end, wide
+
+    def held(place: Column) -> Column:
+        return F.array(*(part(side, size, place, j)[0] for side in ("after", "before") for j in range(PIECES)))
+
+    def asked() -> list[Column]:
+        first, second, out = F.col("first"), F.col("second"), []
+        for more in (-1, 0, 1):
+            for j in range(PIECES):
+                # the other word's bigram has moved by the difference of lengths if the edit lies before it
+                found, head, _, _ = part("after", size + more, first, j)
+                # behind the second pivot that one sees the edit
+                out.append(F.when(head < second + 2, found))
+                out.append(part("after", size + more, second, j)[0])
+                out.append(part("before", size + more, first + more, j)[0])
+                found, head, end, _ = part("before", size + more, second + more, j)
+                # what leaves the first pivot whole, that one sees
+                out.append(F.when((head <= first + 1) & (end >= first + 1), found))
+        return out
+
+    def rows(parts: Column, id: str, piece: str) -> DataFrame:
+        listed = marked.select(F.col("id").alias(id), F.explode(F.array_distinct(F.filter(parts, lambda p: p.isNotNull()))).alias("p"))
+        return listed.select(F.col("p.key").alias("key"), id, F.col("p.piece").alias(piece))
+
+    left = rows(F.array(*asked()), "asks", "mine")
+    right = rows(F.flatten(F.transform("places", held)), "holds", "other")
+    met = left.join(right, "key").where((F.col("asks") != F.col("holds")) & (F.levenshtein("mine", "other", 1) == 1))
+    return met.select(F.least("asks", "holds").alias("a"), F.greatest("asks", "holds").alias("b")).distinct()
 
 
 def group_variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
@@ -101,12 +159,18 @@ def group_variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
 
     Words need at least four code points; rows without a word or with a shorter one have no near words, and stay.
     """
-    kept = cut_lineage(words.select("word", F.col("n").cast("long").alias("n")))
-    near = near_words(kept.where(F.length("word") > PREFIX))
-    best = near.groupBy("word", "n").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best"))
-    chosen = best.withColumn("chosen", -F.col("best")["less"] >= ratio * F.col("n"))
+    # numbered by falling count and then by code points, so a word's best near word is the one of the smallest number
+    counted = words.select("word", F.col("n").cast("long").alias("n"))
+    numbered = row_index(counted.withColumn("order", F.struct((-F.col("n")).alias("less"), "word")), "order", "id")
+    kept = cut_lineage(numbered.select("id", "word", "n"))
+    near = cut_lineage(near_words(kept.where(F.length("word") > PREFIX).select("id", "word")))
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    best = both.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n_near"), F.min("b").alias("best"))
+    named = kept.select(F.col("id").alias("best"), F.col("word").alias("form"), F.col("n").alias("form_n"))
+    joined = kept.join(best, "id", "left").join(named, "best", "left")
+    chosen = F.col("form_n") >= ratio * F.col("n")
     forms = cut_lineage(
-        chosen.select("word", "n_near", F.when(F.col("chosen"), F.col("best")["other"]).alias("form"), F.when(F.col("chosen"), -F.col("best")["less"]).alias("form_n"))
+        joined.select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(chosen, F.col("form")).alias("form"), F.when(chosen, F.col("form_n")).alias("form_n"))
     )
     roots = forms.where("form IS NOT NULL").select("word", F.col("form").alias("root"))
     while True:
@@ -115,5 +179,4 @@ def group_variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
         roots = moved.select("word", "root")
         if moved.where("moved").isEmpty():
             break
-    joined = kept.join(forms, "word", "left").join(roots, "word", "left")
-    return joined.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "form_n")
+    return forms.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pubmeter.llm.registered import QUERIES
-from pubmeter.llm.spelling import count_words, group_variants, letter_runs, near_words, pivots
+from pubmeter.llm.spelling import count_words, group_variants, letter_runs, near_words, pivots, prefix
 
 
 def one_edit(a, b):
@@ -101,21 +101,37 @@ def test_query_over_supplied_texts(spark, folder):
     assert found(QUERIES["op11_spelling"](spark, folder)) == slow_groups(slow_words(rows))
 
 
-@given(st.lists(st.integers(1, 9), min_size=3, max_size=12))
-@settings(max_examples=25, deadline=None)
-def test_pivots_are_the_cheapest_disjoint_pair(spark, counts):
-    grams = F.array(*(F.struct(F.lit(k).alias("place"), F.lit(c).cast("long").alias("count")) for k, c in enumerate(counts)))
-    cost, a, b = spark.range(1).select(pivots(grams).alias("p")).first()["p"]
-    wanted = min(x + y for (i, x), (j, y) in combinations(enumerate(counts), 2) if j - i >= 2)
-    assert (cost, counts[a] + counts[b]) == (wanted, wanted) and b - a >= 2
+@given(st.dictionaries(st.integers(0, 20), st.integers(1, 9), min_size=4, max_size=12))
+@settings(max_examples=300, deadline=None)
+def test_pivots_are_the_cheapest_disjoint_pair(counts):
+    a, b = pivots(sorted(counts.items()))
+    wanted = min(x + y for (i, x), (j, y) in combinations(sorted(counts.items()), 2) if j - i >= 2)
+    assert counts[a] + counts[b] == wanted and b - a >= 2
+
+
+@given(st.text(st.sampled_from("abcé"), min_size=4, max_size=15), st.integers(0, 2**32 - 1))
+@settings(max_examples=300, deadline=None)
+def test_prefix(word, seed):
+    counts = np.random.default_rng(seed).integers(1, 9, 1 << 16)
+    found = prefix(word, counts)
+    rank = {i: (int(counts[zlib.crc32(word[i : i + 2].encode()) % (1 << 16)]), word[i : i + 2], i) for i in range(len(word) - 1)}
+    assert [p for p, _ in found] == sorted(sorted(rank, key=rank.get)[:3])
 
 
 def test_every_near_pair_of_a_dense_vocabulary(spark):
     words = sorted({f"{a}{b}{c}{d}" for a in "ab" for b in "ab" for c in ("a", "b", "ab", "") for d in ("aa", "ab", "ba", "aab", "abb")} - {""})
     words = [w for w in words if len(w) >= 4]
-    df = spark.createDataFrame([(w, 1) for w in words], "word string, n long")
-    got = {(r["word"], r["other"]) for r in near_words(df).collect()}
-    assert got == {(a, b) for a in words for b in words if one_edit(a, b)}
+    df = spark.createDataFrame(list(enumerate(words)), "id long, word string")
+    got = {(words[r["a"]], words[r["b"]]) for r in near_words(df).collect()}
+    assert got == {(a, b) for a, b in combinations(words, 2) if one_edit(a, b)}
+
+
+def test_near_pairs_of_random_words(spark):
+    rng = np.random.default_rng(8)
+    words = sorted({"".join(rng.choice(list("aé漢"), int(rng.integers(4, 9)))) for _ in range(900)})
+    df = spark.createDataFrame(list(enumerate(words)), "id long, word string")
+    got = {(words[r["a"]], words[r["b"]]) for r in near_words(df).collect()}
+    assert got == {(a, b) for a, b in combinations(words, 2) if one_edit(a, b)}
 
 
 def test_empty_and_odd_words(spark, odd, none):
