@@ -26,6 +26,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SLOTS = 1 << 16
 # Pieces of what lies on one side of a surviving pivot; the edit is in one of them, all others are equal.
 PIECES = 3
+# Words that a task marks and cuts.
+WORDS_PER_TASK = 20_000
 # More than any sum of counts.
 FAR = 1 << 60
 
@@ -92,8 +94,7 @@ def near_words(words: DataFrame) -> DataFrame:
     that piece), by 64 bits of hash, and the two short pieces are verified by their edit distance. What meets is close to what is near, however
     many words share a bigram.
     """
-    size = F.length("word")
-    grams = F.transform(F.sequence(F.lit(1), size - 1), lambda place: F.substring("word", place, F.lit(2)))
+    grams = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda place: F.substring("word", place, F.lit(2)))
     slots = F.transform(grams, lambda gram: F.pmod(F.crc32(gram.cast("binary")), F.lit(SLOTS)).cast("int"))
     # at most SLOTS rows, whatever the input
     used = words.select(F.explode(F.array_distinct(slots)).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n")).toArrow()
@@ -108,47 +109,41 @@ def near_words(words: DataFrame) -> DataFrame:
             places = pa.array([widened(w, f) for w, f in zip(batch.column(1).to_pylist(), found)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), places, pa.array(chosen[:, 0]), pa.array(chosen[:, 1])], ["id", "word", "places", "first", "second"])
 
-    marked = cut_lineage(words.select("id", "word").mapInArrow(mark, "id long, word string, places array<int>, first int, second int"))
-
-    def part(side: str, length: Column, place: Column, piece: int) -> tuple[Column, Column, Column, Column]:
-        """Key and piece, if one side of the bigram at ``place`` of a word of ``length`` is cut, and the bounds of the piece in this word."""
-        wide = length - place - 2 if side == "after" else place
-        cut = lambda j: F.floor(wide * j / PIECES).cast("int")
-        head = cut(piece) + (place + 2 if side == "after" else 0)
-        tail = wide - cut(piece + 1) + (0 if side == "after" else length - place)
-        end = size - tail
-        key = F.xxhash64(F.lit(side), length, place, F.substring("word", F.lit(1), head), F.substring("word", end + 1, tail))
-        found = F.struct(key.alias("key"), F.substring("word", head + 1, end - head).alias("piece"))
-        return F.when((wide >= 0) & (head <= end), found), head, end, wide
-
-    def held(place: Column) -> Column:
-        return F.array(*(part(side, size, place, j)[0] for side in ("after", "before") for j in range(PIECES)))
-
-    def asked() -> list[Column]:
-        first, second, out = F.col("first"), F.col("second"), []
-        for more in (-1, 0, 1):
-            for j in range(PIECES):
-                # the other word's bigram has moved by the difference of lengths if the edit lies before it
-                found, head, _, _ = part("after", size + more, first, j)
-                # behind the second pivot that one sees the edit
-                out.append(F.when(head < second + 2, found))
-                out.append(part("after", size + more, second, j)[0])
-                out.append(part("before", size + more, first + more, j)[0])
-                found, head, end, _ = part("before", size + more, second + more, j)
-                # what leaves the first pivot whole, that one sees
-                out.append(F.when((head <= first + 1) & (end >= first + 1), found))
-        return out
-
-    def rows(parts: Column, id: str, piece: str) -> DataFrame:
-        listed = marked.select(F.col("id").alias(id), F.explode(F.array_distinct(F.filter(parts, lambda p: p.isNotNull()))).alias("p"))
-        return listed.select(F.col("p.key").alias("key"), id, F.col("p.piece").alias(piece))
-
-    left = rows(F.array(*asked()), "asks", "mine")
-    right = rows(F.flatten(F.transform("places", held)), "holds", "other")
-    met = left.join(right, "key").where((F.col("asks") != F.col("holds")) & (F.levenshtein("mine", "other", 1) == 1))
+    parts = 1 + words.count() // WORDS_PER_TASK
+    marked = cut_lineage(words.select("id", "word").repartition(parts).mapInArrow(mark, "id long, word string, places array<int>, first int, second int"))
+
+    both = F.sequence(F.lit(0), F.lit(2 * PIECES - 1))
+    held = marked.select("id", "word", F.explode("places").alias("place"), F.lit(0).alias("more"))
+    held = _cut(held.select("*", F.explode(both).alias("k"))).select("key", F.col("id").alias("holds"), F.col("rest").alias("other"))
+    pair = F.explode(F.array(*(F.struct(F.col(c).alias("place"), F.lit(c).alias("which")) for c in ("first", "second")))).alias("p")
+    asked = marked.select("id", "word", "first", "second", pair).select("*", F.explode(F.array(*map(F.lit, (-1, 0, 1)))).alias("more"))
+    asked = asked.select("id", "word", "first", "second", "p.place", "p.which", "more", F.explode(both).alias("k"))
+    asked = _cut(asked).select("key", F.col("id").alias("asks"), F.col("rest").alias("mine"))
+    met = asked.join(held, "key").where((F.col("asks") != F.col("holds")) & (F.levenshtein("mine", "other", 1) == 1))
     return met.select(F.least("asks", "holds").alias("a"), F.greatest("asks", "holds").alias("b")).distinct()
 
 
+def _cut(rows: DataFrame) -> DataFrame:
+    """``key`` and ``rest`` for each bigram (``place``) and each piece (``k``) of one side of it.
+
+    The word that the key belongs to is longer than ``word`` by ``more``, and its bigram stands ``more`` places later if the edit
+    lies before it. The rest is what ``word`` has in the place of the piece. Of pivots, an edit behind the second one is left to that
+    one, and the second one looks before it only for edits of the first.
+    """
+    asked = "which" in rows.columns
+    whole = rows.withColumn("size", F.length("word")).withColumn("after", F.col("k") < PIECES).withColumn("piece", F.col("k") % PIECES)
+    sized = whole.withColumn("length", F.col("size") + F.col("more")).withColumn("at", F.expr("if(after, place, place + more)"))
+    wide = sized.withColumn("wide", F.expr("if(after, length - at - 2, at)"))
+    bounds = wide.withColumn("low", F.expr(f"wide * piece div {PIECES}")).withColumn("high", F.expr(f"wide * (piece + 1) div {PIECES}"))
+    ends = bounds.withColumn("head", F.expr("int(low + if(after, at + 2, 0))")).withColumn("end", F.expr("int(size - (wide - high) - if(after, 0, length - at))"))
+    # of a side without letters there is one piece, and others have no empty ones
+    kept = ends.where("wide >= 0 AND head <= end AND (high > low OR wide = 0 AND piece = 0)")
+    if asked:
+        kept = kept.where("CASE WHEN after AND which = 'first' THEN head < second + 2 WHEN NOT after AND which = 'second' THEN head <= first + 1 AND end >= first + 1 ELSE true END")
+    key = F.xxhash64("after", "length", "at", F.expr("substring(word, 1, head)"), F.expr("substring(word, end + 1)"))
+    return kept.select("id", key.alias("key"), F.expr("substring(word, head + 1, end - head)").alias("rest"))
+
+
 def group_variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     """``word, form, root, n, n_near, form_n`` of each row of ``words`` (``word, n``), whose words are distinct.
 
@@ -160,7 +155,7 @@ def group_variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     Words need at least four code points; rows without a word or with a shorter one have no near words, and stay.
     """
     # numbered by falling count and then by code points, so a word's best near word is the one of the smallest number
-    counted = words.select("word", F.col("n").cast("long").alias("n"))
+    counted = cut_lineage(words.select("word", F.col("n").cast("long").alias("n")))
     numbered = row_index(counted.withColumn("order", F.struct((-F.col("n")).alias("less"), "word")), "order", "id")
     kept = cut_lineage(numbered.select("id", "word", "n"))
     near = cut_lineage(near_words(kept.where(F.length("word") > PREFIX).select("id", "word")))
