@@ -29,8 +29,6 @@ LIMIT = (1 << 16) - 2
 SEED = 42
 # Standard errors by which an estimate may fall short before a pair is not looked at.
 ERRORS = 5
-# Rounds in which a bucket's members meet one of them; what is left apart after that meets by rare shingles.
-ROUNDS = 2
 # Counters of shingles for the order of rarity: a table of a fixed 2 MB.
 SLOTS = 1 << 19
 # Shingles that are hashed, or put into registers, at once.
@@ -113,7 +111,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     An empty table gives no rows; other columns are not read.
 
     Rows of equal sets (by 128 bits of hash) are one set from here on. Bands of registers put sets into buckets. No bucket is ever
-    paired with itself: in each of a few rounds its members meet one of them, the estimate sifts these pairs, whole sets decide,
+    paired with itself: its members meet the most central of them, the estimate sifts these pairs, whole sets decide,
     and linked sets become one component, so what moves is in proportion to the members. Members of buckets that still
     hold several components then meet across components by their rarest shingles, so many that sets which link must share one
     (prefix filter), and whole sets decide again. This last step misses no link at all.
@@ -155,31 +153,27 @@ def _components(held: DataFrame, source: DataFrame, words: int, percent: int) ->
     """``set, component`` for the sets that link with another."""
     bands = F.array(*(F.xxhash64(F.lit(b), F.expr(f"substring(registers, {2 * ROWS * b + 1}, {2 * ROWS})")) for b in range(BANDS)))
     placed = cut_lineage(held.select("set", "n", F.explode(bands).alias("bucket")))
-    shared = placed.groupBy("bucket").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low < high").select("bucket")
-    members = cut_lineage(placed.join(shared, "bucket").select("bucket", "set", "n", F.col("set").alias("component")))
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = cut_lineage(placed.join(sizes, "bucket").select("bucket", "set", "n", "size"))
     hashed = cut_lineage(_hashed(source.join(members.select("set").distinct(), "set"), words))
-    links = None
-    for turn in range(ROUNDS):
-        order = F.struct(F.xxhash64("set", F.lit(turn)).alias("order"), "set", "component", "n")
-        chosen = members.groupBy("bucket").agg(F.min(order).alias("pivot")).select("bucket", *(F.col("pivot")[c].alias(f"pivot_{c}") for c in ("set", "component", "n")))
-        meets = members.join(chosen, "bucket").where((F.col("component") != F.col("pivot_component")) & _sizes_allow("n", "pivot_n", percent))
-        pairs = meets.select(F.col("pivot_set").alias("a"), F.col("set").alias("b")).distinct()
-        likely = cut_lineage(_likely(pairs, held, percent))
-        found = cut_lineage(_verified(likely, hashed, percent))
-        links = found if links is None else cut_lineage(links.unionByName(found))
-        members, roots = _unsettled(members, links)
-    rest = members.select("set", "n", "component").distinct()
+    # a set that meets many others in its buckets stands in the middle of its group: the most central member of a bucket meets all others
+    central = members.groupBy("set").agg(F.sum("size").alias("met"))
+    ranked = members.join(central, "set")
+    chosen = ranked.groupBy("bucket").agg(F.max(F.struct("met", "set", "n")).alias("pivot")).select("bucket", F.col("pivot.set").alias("a"), F.col("pivot.n").alias("m"))
+    pairs = members.join(chosen, "bucket").where((F.col("set") != F.col("a")) & _sizes_allow("n", "m", percent)).select("a", F.col("set").alias("b")).distinct()
+    links = cut_lineage(_verified(cut_lineage(_likely(pairs, held, percent)), hashed, percent))
+    rest = _unsettled(members, links).select("set", "n", "component").distinct()
     found = _verified(cut_lineage(_rare_pairs(cut_lineage(rest), hashed, percent)), hashed, percent)
     return components(links.unionByName(found)).select(F.col("id").alias("set"), "component")
 
 
-def _unsettled(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _unsettled(members: DataFrame, links: DataFrame) -> DataFrame:
     """The members, with their components by ``links``, of the buckets that still hold several."""
     roots = components(links).select(F.col("id").alias("set"), "component")
-    now = members.drop("component").join(roots, "set", "left").withColumn("component", F.coalesce("component", "set"))
+    now = members.join(roots, "set", "left").withColumn("component", F.coalesce("component", "set"))
     now = cut_lineage(now.select("bucket", "set", "n", "component"))
     several = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    return cut_lineage(now.join(several, "bucket")), roots
+    return cut_lineage(now.join(several, "bucket"))
 
 
 def _sizes_allow(a: str, b: str, percent: int) -> Column:
