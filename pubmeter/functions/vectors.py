@@ -29,9 +29,12 @@ def unit(a: Column) -> Column:
     )
 
 
-def rescale(df: DataFrame, vec: str, factor: float = 10_000.0) -> DataFrame:
-    """Every component over ``factor`` times the population deviation of the first one."""
-    spread = df.agg(F.stddev_pop(F.col(vec)[0]).alias("s")).scalar() * factor
-    return df.withColumn("_scale", spread).withColumn(
-        vec, F.transform(vec, lambda x: F.try_divide(x.cast("double"), F.col("_scale")))
-    ).drop("_scale")
+def rescale(df: DataFrame, vec: str, factor: float = 10_000.0, by: str | None = None) -> DataFrame:
+    """Every component over ``factor`` times the population deviation of the first one, over all rows or those of each ``by``."""
+    first = F.stddev_pop(F.col(vec)[0]) * factor
+    if by:
+        spread = df.groupBy(F.col(by).alias("_by")).agg(first.alias("_scale"))
+        scaled = df.join(spread, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+    else:
+        scaled = df.withColumn("_scale", df.agg(first.alias("s")).scalar())
+    return scaled.withColumn(vec, F.transform(vec, lambda x: F.try_divide(x.cast("double"), F.col("_scale")))).drop("_scale")

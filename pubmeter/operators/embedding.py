@@ -6,13 +6,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import IDF, HashingTF, NGram, Normalizer, PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pubmeter.functions.text import tokens
+from pubmeter.session import cut_lineage
 
+# Groups whose sums a task holds before it hands them on.
+GROUPS_HELD = 32
 Encoder = Callable[[list[str]], np.ndarray]
 
 
@@ -55,3 +59,72 @@ def principal_components(df: DataFrame, vec: str, k: int, output: str | None = N
     signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(k)])
     scores = F.zip_with(vector_to_array("_p"), F.array(*[F.lit(float(s)) for s in signs]), lambda a, b: a * b)
     return model.transform(centred).withColumn(output or vec, scores).drop("_v", "_c", "_p")
+
+
+def principal_components_by(df: DataFrame, vec: str, k: int, by: str, output: str | None = None) -> DataFrame:
+    """Scores on the first ``k`` principal components of the vectors of each ``by``, centred and fitted by itself.
+
+    Map tasks sum vectors and products of components per group, one row per component; these sums are added by group and
+    component, and a group's small covariance matrix is decomposed where its rows meet. What meets there depends on the vector
+    length and not on the rows. The sign of each component is set so that its largest loading is positive. Vectors of a group
+    are equally long, with at least ``k`` components; rows without a vector keep a missing one.
+    """
+    source = df.where(F.col(vec).isNotNull()).select(F.col(by).alias("by"), F.transform(vec, lambda x: x.cast("double")).alias("vec"))
+    by_type = dict(source.dtypes)["by"]
+    names = ["by", "place", "n", "total", "products"]
+    sums_schema = f"by {by_type}, place int, n bigint, total double, products array<double>"
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            groups = batch.column(0).to_pylist()
+            vectors = batch.column(1).to_numpy(zero_copy_only=False)
+            for group in dict.fromkeys(groups):
+                block = np.stack([v for v, g in zip(vectors, groups) if g == group])
+                n, total, products = held.get(group, (0, 0.0, 0.0))
+                held[group] = (n + len(block), total + block.sum(axis=0), products + block.T @ block)
+            if len(held) > GROUPS_HELD:
+                yield rows(held)
+                held = {}
+        if held:
+            yield rows(held)
+
+    def rows(held: dict) -> pa.RecordBatch:
+        columns: list[list] = [[], [], [], [], []]
+        for group, (n, total, products) in held.items():
+            for place in range(len(total)):
+                for to, x in zip(columns, (group, place, n, float(total[place]), products[place])):
+                    to.append(x)
+        types = [batch_type(by_type), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+    def merge(table: pa.Table) -> pa.Table:
+        products = np.sum(np.stack(table["products"].to_numpy()), axis=0)
+        row = [table["by"][:1].combine_chunks(), table["place"][:1].combine_chunks(), pa.array([sum(table["n"].to_pylist())]), pa.array([float(np.sum(table["total"].to_numpy()))])]
+        return pa.Table.from_arrays([*row, pa.array([products], pa.list_(pa.float64()))], names)
+
+    def fit(table: pa.Table) -> pa.Table:
+        order = np.argsort(table["place"].to_numpy())
+        n = table["n"][0].as_py()
+        mean = table["total"].to_numpy()[order] / n
+        covariance = np.stack(table["products"].to_numpy())[order] / n - np.outer(mean, mean)
+        _, axes = np.linalg.eigh(covariance)
+        loadings = axes[:, ::-1][:, :k].T
+        loadings *= np.sign(loadings[np.arange(len(loadings)), np.abs(loadings).argmax(axis=1)])[:, None]
+        columns = [table["by"][:1].combine_chunks(), pa.array([mean], pa.list_(pa.float64())), pa.array([list(loadings)], pa.list_(pa.list_(pa.float64())))]
+        return pa.Table.from_arrays(columns, ["by", "mean", "loadings"])
+
+    partial = cut_lineage(source.mapInArrow(add, sums_schema))
+    summed = partial.groupBy("by", "place").applyInArrow(merge, sums_schema)
+    fitted = cut_lineage(summed.groupBy("by").applyInArrow(fit, f"by {by_type}, mean array<double>, loadings array<array<double>>"))
+    # one row per group, which the optimizer broadcasts where it is small enough
+    joined = df.join(fitted.withColumnsRenamed({"by": "_by", "mean": "_mean", "loadings": "_loadings"}), F.col(by).eqNullSafe(F.col("_by")), "left")
+    centred = F.zip_with(F.transform(vec, lambda x: x.cast("double")), "_mean", lambda x, m: x - m)
+    score = lambda axis: F.aggregate(F.zip_with("_centred", axis, lambda x, w: x * w), F.lit(0.0), lambda total, x: total + x)
+    scored = joined.withColumn("_centred", centred).withColumn(output or vec, F.when(F.col(vec).isNotNull(), F.transform("_loadings", score)))
+    return scored.drop("_by", "_mean", "_loadings", "_centred")
+
+
+def batch_type(name: str) -> pa.DataType:
+    """The Arrow type of a column of whole numbers or text."""
+    return {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[name]

@@ -1,7 +1,7 @@
 """Language of a text by its letter triples: profiles are learned with counts and applied with one join.
 
-A text's triples are counted inside the task that reads it, so a text meets each of its different triples once. Log
-probabilities are whole numbers of millionths: their sums are exact in any order.
+For scoring, a profile has one row per triple with the values of all languages, and a text's sums are formed place by place.
+Log probabilities are whole numbers of millionths: their sums are exact in any order.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pubmeter.functions.text import each
 from pubmeter.session import cut_lineage
 
 SCALE = 1_000_000
+# Bytes of a profile that every executor may hold; a larger one is joined by shuffling counted triples.
+HELD_BYTES = 64 << 20
 
 
 def letter_triples(text: Column) -> Column:
@@ -48,13 +50,26 @@ def language_profile(labelled: DataFrame, text: str, language: str) -> DataFrame
     return long.select("language", "triple", logp.alias("logp"))
 
 
-def identify_language(df: DataFrame, id: str, text: str, profile: DataFrame) -> DataFrame:
+def identify_language(df: DataFrame, id: str, text: str, profile: DataFrame, held_bytes: int = HELD_BYTES) -> DataFrame:
     """``id, language, score``: the language with the highest log probability, ties in alphabetical order.
 
-    A text without any known triple gets no language.
+    A text without any known triple gets no language. While the profile is small enough to be held by every executor, a text's triples
+    are looked up and added up in the task that reads it, and one row of sums per text is all that moves. Beyond
+    that size triples are counted per text first, and each different one of a text is moved once.
     """
-    counted = each(df, letter_triples(F.col(text)), "triple", F.col(id).alias("_id")).groupBy("_id", "triple").agg(F.count(F.lit(1)).alias("_c"))
-    scored = counted.join(profile, "triple").groupBy("_id", "language").agg(F.sum(F.col("_c") * F.col("logp")).alias("_s"))
-    best = scored.groupBy("_id").agg(F.min(F.struct((-F.col("_s")).alias("loss"), "language")).alias("_best"))
+    # one row per language, the columns of all sums
+    languages = [r[0] for r in profile.select("language").distinct().orderBy("language").collect()]
+    if not languages:
+        return df.select(id, F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("score"))
+    values = F.transform(F.sort_array(F.collect_list(F.struct("language", "logp"))), lambda v: v["logp"])
+    dense = cut_lineage(profile.groupBy("triple").agg(values.alias("v")))
+    triples = each(df, letter_triples(F.col(text)), "triple", F.col(id).alias("_id"))
+    if dense.count() * (8 * len(languages) + 32) <= held_bytes:
+        met, times = triples.join(F.broadcast(dense), "triple"), F.lit(1).cast("bigint")
+    else:
+        met, times = triples.groupBy("_id", "triple").agg(F.count(F.lit(1)).alias("_c")).join(dense, "triple"), F.col("_c")
+    sums = met.groupBy("_id").agg(*(F.sum(times * F.col("v")[k]).alias(f"_s{k}") for k in range(len(languages))))
+    options = F.array(*(F.struct((-F.col(f"_s{k}")).alias("loss"), F.lit(language).alias("language")) for k, language in enumerate(languages)))
+    best = sums.select("_id", F.array_min(options).alias("_best"))
     named = best.select(F.col("_id").alias(id), F.col("_best.language").alias("language"), (-F.col("_best.loss") / SCALE).alias("score"))
     return df.select(id).join(named, id, "left")

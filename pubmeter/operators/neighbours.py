@@ -3,7 +3,8 @@
 Both sides are cut into hash blocks of about ``BLOCK`` rows and Spark sends each pair of blocks to one task,
 where a matrix product compares them. A task returns the best ``k`` rows per vector, or the edges of a
 spanning forest: never all pairs. Memory per task depends on the block only. The work is quadratic within
-a group ``by``; study corpora are cut into row partitions first, which makes it linear in their number.
+a group ``by``; study corpora are cut into row partitions first, which makes it linear in their number, and
+``pubmeter.operators.buckets`` compares within buckets of hyperplanes only.
 """
 
 from __future__ import annotations
@@ -35,8 +36,19 @@ def nearest(
 
     Ties go to the smaller id.
     """
-    id_type, other_type = dict(left.dtypes)[id], dict(right.dtypes)[id]
-    a, b = _block_pairs(left, right, id, vec, by, block, half=False)
+    one, other = _counted(_keyed(left, id, vec, by), _keyed(right, id, vec, by), block)
+    found = best_in_cells(one, other, k, metric, skip_same_id)
+    ranked = first_rows(found, ["_by", "id"], [F.asc("distance"), F.asc("neighbour")], k, "rank")
+    return ranked.withColumnRenamed("_by", by) if by else ranked.drop("_by")
+
+
+def best_in_cells(one: DataFrame, other: DataFrame, k: int, metric: str, skip_same_id: bool) -> DataFrame:
+    """``_by, id, neighbour, distance``: of each pair of blocks of a group the ``k`` nearest rows of each left row.
+
+    Both sides are ``_by, id, vec`` with the numbers ``_nl`` and ``_nr`` of blocks of their group on either side.
+    """
+    types = dict(one.dtypes)
+    a, b = _cells(one, other, half=False)
 
     def best(key: tuple, one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
         if one.empty or other.empty:
@@ -59,11 +71,8 @@ def nearest(
             }
         )
 
-    by_type = dict(left.dtypes)[by] if by else "int"
-    schema = f"_by {by_type}, id {id_type}, neighbour {other_type}, distance double"
-    found = a.cogroup(b).applyInPandas(best, schema)
-    ranked = first_rows(found, ["_by", "id"], [F.asc("distance"), F.asc("neighbour")], k, "rank")
-    return ranked.withColumnRenamed("_by", by) if by else ranked.drop("_by")
+    schema = f"_by {types['_by']}, id {types['id']}, neighbour {dict(other.dtypes)['id']}, distance double"
+    return a.cogroup(b).applyInPandas(best, schema)
 
 
 def similarity_forest(
@@ -80,7 +89,7 @@ def similarity_forest(
     Each pair of blocks contributes a spanning forest, so it returns fewer edges than it has rows.
     """
     id_type = dict(df.dtypes)[id]
-    one, other = _block_pairs(df, df, id, vec, by, block, half=True)
+    one, other = _cells(*_counted(_keyed(df, id, vec, by), _keyed(df, id, vec, by), block), half=True)
 
     def forest(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -92,6 +101,26 @@ def similarity_forest(
     return edges.where("a <> b")
 
 
+def pairs_within(df: DataFrame, radius: float, id: str = "id", vec: str = "vec", metric: str = "cosine", block: int = BLOCK) -> DataFrame:
+    """``a, b, distance``: all pairs of rows with ``a < b`` that lie within ``radius``. Ids are unique."""
+    one, other = _cells(*_counted(_keyed(df, id, vec, None), _keyed(df, id, vec, None), block), half=True)
+    id_type = dict(df.dtypes)[id]
+
+    def close(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"a": [], "b": [], "distance": []})
+        d = _distances(left["vec"], right["vec"], metric)
+        i, j = np.nonzero(d <= radius)
+        found = pd.DataFrame({"a": left["id"].to_numpy()[i], "b": right["id"].to_numpy()[j], "distance": d[i, j]})
+        if key[1] == key[2]:
+            return found[found["a"] < found["b"]]
+        turned = found["a"] > found["b"]
+        found.loc[turned, ["a", "b"]] = found.loc[turned, ["b", "a"]].to_numpy()
+        return found
+
+    return one.cogroup(other).applyInPandas(close, f"a {id_type}, b {id_type}, distance double")
+
+
 def spanning_forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and column numbers of the edges of a spanning forest of a two-sided graph, breadth first."""
     rows_left, cols_left = linked.any(axis=1), linked.any(axis=0)
@@ -119,21 +148,45 @@ def spanning_forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
-def _block_pairs(left: DataFrame, right: DataFrame, id: str, vec: str, by: str | None, block: int, half: bool):
+def _counted(one: DataFrame, other: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the numbers of blocks of their group on the left and on the right."""
+    counts = _block_counts(one, "_nl", block).join(_block_counts(other, "_nr", block), "_by")
+    # one row per group, which the optimizer broadcasts where it is small enough
+    return one.join(counts, "_by"), other.join(counts, "_by")
+
+
+def lightest_bridges(df: DataFrame, metric: str, block: int = BLOCK) -> DataFrame:
+    """``component, w, a, b, to``: for each component of ``_by`` its lightest pairs of rows with another one, one for each pair of blocks.
+
+    ``df`` is ``_by, id, vec, component, core``; the weight of a pair is the largest of its distance and both cores.
+    """
+    copy = lambda: df.select(*(F.col(c).alias(c) for c in ("_by", "id", "vec", "component", "core")))
+    one, other = _cells(*_counted(copy(), copy(), block), half=False, extra=("component", "core"))
+    id_type, component_type = dict(df.dtypes)["id"], dict(df.dtypes)["component"]
+
+    def lightest(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names = ["component", "w", "a", "b", "to"]
+        if left.empty or right.empty:
+            return pd.DataFrame({n: [] for n in names})
+        left, right = left.sort_values("id"), right.sort_values("id")
+        w = np.maximum(_distances(left["vec"], right["vec"], metric), np.maximum(left["core"].to_numpy()[:, None], right["core"].to_numpy()[None, :]))
+        w[left["component"].to_numpy()[:, None] == right["component"].to_numpy()[None, :]] = np.inf
+        j = w.argmin(axis=1)
+        columns = (left["component"].to_numpy(), w[np.arange(len(left)), j], left["id"].to_numpy(), right["id"].to_numpy()[j], right["component"].to_numpy()[j])
+        found = pd.DataFrame(dict(zip(names, columns)))
+        return found[np.isfinite(found["w"])].sort_values(["w", "a", "b"]).drop_duplicates("component")
+
+    return one.cogroup(other).applyInPandas(lightest, f"component {component_type}, w double, a {id_type}, b {id_type}, to {component_type}")
+
+
+def _cells(one: DataFrame, other: DataFrame, half: bool, extra: tuple[str, ...] = ()):
     """Both sides grouped by (group, left block, right block); with ``half`` only pairs of ordered blocks."""
-    one, other = _keyed(left, id, vec, by), _keyed(right, id, vec, by)
-    blocks_left, blocks_right = _block_counts(one, "_nl", block), _block_counts(other, "_nr", block)
-    counts = blocks_left.join(blocks_right, "_by")
-    last = F.col("_nr") - 1
     first = F.col("_lb") if half else F.lit(0)
-    # one row per group, which the optimizer broadcasts where it is small enough
-    a = one.join(counts, "_by")
-    a = a.withColumn("_lb", _block_of("_nl")).withColumn("_rb", F.explode(F.sequence(first, last)))
-    b = other.join(counts, "_by")
-    b = b.withColumn("_rb", _block_of("_nr"))
+    a = one.withColumn("_lb", _block_of("_nl")).withColumn("_rb", F.explode(F.sequence(first, F.col("_nr") - 1)))
+    b = other.withColumn("_rb", _block_of("_nr"))
     b = b.withColumn("_lb", F.explode(F.sequence(F.lit(0), F.col("_rb") if half else F.col("_nl") - 1)))
     cell = ["_by", "_lb", "_rb"]
-    return a.select(*cell, "id", "vec").groupBy(*cell), b.select(*cell, "id", "vec").groupBy(*cell)
+    return a.select(*cell, "id", "vec", *extra).groupBy(*cell), b.select(*cell, "id", "vec", *extra).groupBy(*cell)
 
 
 def _keyed(df: DataFrame, id: str, vec: str, by: str | None) -> DataFrame:

@@ -19,20 +19,26 @@ ROWS_PER_RANGE = 1_000_000
 MAP_SIDE_LIMIT = 1000
 
 
-def running_total(df: DataFrame, order: str, amount: Column, name: str) -> DataFrame:
-    """Sum of ``amount`` over all rows whose ``order`` is smaller; ``order`` is unique.
+def running_total(df: DataFrame, order: str, amount: Column, name: str, by: str | None = None) -> DataFrame:
+    """Sum of ``amount`` over all rows, of the same ``by`` if given, whose ``order`` is smaller; ``order`` is unique among them.
 
-    ``df`` is read to count it, to sample its keys and to write it by ranges of them.
+    ``df`` is read to count it, to sample its keys and to write it by ranges of them. A group of any size spans as many
+    ranges as it needs.
     """
     ranges = max(1, -(-df.count() // ROWS_PER_RANGE))
-    ranged = cut_lineage(df.withColumn("_amount", amount).repartitionByRange(ranges, order).withColumn("_range", F.spark_partition_id()))
-    totals = ranged.groupBy("_range").agg(F.sum("_amount").alias("_total"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = totals.select("_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_shift"))
-    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    group = [by] if by else []
+    ranged = cut_lineage(df.withColumn("_amount", amount).repartitionByRange(ranges, *group, order).withColumn("_range", F.spark_partition_id()))
+    totals = ranged.groupBy(*group, "_range").agg(F.sum("_amount").alias("_total"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.select(*([F.col(by).alias("_shift_by")] if by else []), F.col("_range").alias("_shift_range"), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_shift"))
+    inside = Window.partitionBy(*group, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     local = F.coalesce(F.sum("_amount").over(inside), F.lit(0))
-    # one row per range, so a millionth of the rows
-    return ranged.join(shifts, "_range").withColumn(name, F.col("_shift") + local).drop("_range", "_amount", "_shift")
+    placed = ranged.withColumn("_local", local)
+    # one row per range and group within it, so a millionth of the rows where groups are large
+    same = F.col("_range") == F.col("_shift_range")
+    met = placed.join(shifts, same & F.col(by).eqNullSafe(F.col("_shift_by")) if by else same)
+    total = (F.col("_shift") + F.col("_local")).alias(name)
+    return met.select(*(F.col(c) for c in df.columns if c != name), total)
 
 
 def row_index(df: DataFrame, order: str, name: str = "row_index") -> DataFrame:
@@ -40,15 +46,39 @@ def row_index(df: DataFrame, order: str, name: str = "row_index") -> DataFrame:
     return running_total(df, order, F.lit(1), name)
 
 
-def average_rank(df: DataFrame, value: str, name: str = "rank", weight: Column | None = None) -> DataFrame:
-    """One row per distinct value: the value, its count ``n`` and its average rank among all rows.
+def average_rank(df: DataFrame, value: str, name: str = "rank", weight: Column | None = None, by: str | None = None) -> DataFrame:
+    """One row per distinct value (of each ``by``): the value, its count ``n`` and its average rank among all rows.
 
     With ``weight`` a row stands for that many equal ones.
     """
+    group = [by] if by else []
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counts = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(value).agg(n.alias("n")))
-    ranked = running_total(counts, value, F.col("n"), "_before")
-    return ranked.select(value, "n", (F.col("_before") + (F.col("n") + 1) / 2).alias(name))
+    counts = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(n.alias("n")))
+    ranked = running_total(counts, value, F.col("n"), "_before", by)
+    return ranked.select(*group, value, "n", (F.col("_before") + (F.col("n") + 1) / 2).alias(name))
+
+
+def quantiles(df: DataFrame, value: str, probabilities: Sequence[float], by: str | None = None, name: str = "quantiles") -> DataFrame:
+    """One row (per ``by``): the number ``n`` of known values and the array of their exact quantiles.
+
+    The quantile p lies at the place (n - 1) p of the ordered values, counted from 0, and between two values is interpolated.
+    Equal values are one row, and the two order statistics of a quantile are picked from the running counts, so nothing is
+    sorted in one task. A group without known values has no row.
+    """
+    group = [by] if by else []
+    counts = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("_value")).agg(F.count(F.lit(1)).alias("_n")))
+    sizes = counts.groupBy(*([F.col(by).alias("_size_by")] if by else [])).agg(F.sum("_n").alias("n"))
+    placed = running_total(counts, "_value", F.col("_n"), "_before", by)
+    met = placed.join(sizes, F.col(by).eqNullSafe(F.col("_size_by")) if by else F.lit(True))
+    wanted = F.transform(
+        F.array(*(F.lit(float(p)) for p in probabilities)), lambda p, k: F.struct(k.alias("k"), F.floor((F.col("n") - 1) * p).alias("low"), F.ceil((F.col("n") - 1) * p).alias("high"), ((F.col("n") - 1) * p).alias("at"))
+    )
+    holds = lambda place: (place >= F.col("_before")) & (place < F.col("_before") + F.col("_n"))
+    picked = met.select(*group, "n", "_value", "_before", "_n", F.explode(F.filter(wanted, lambda w: holds(w["low"]) | holds(w["high"]))).alias("w"))
+    low, high = (F.max(F.when(holds(F.col("w")[side]), F.col("_value"))) for side in ("low", "high"))
+    share = F.max(F.col("w.at") - F.col("w.low"))
+    each = picked.groupBy(*group, "n", F.col("w.k").alias("_k")).agg((low + share * (high - low)).alias("_q"))
+    return each.groupBy(*group, "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_q"))), lambda x: x["_q"]).alias(name))
 
 
 def sequence_id(df: DataFrame, order: str, name: str = "topic") -> DataFrame:

@@ -7,32 +7,44 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Rows of one sub-key, as a part of a task's even share of all rows.
+SHARE = 0.25
+# At most this many keys are hot: their list is looked through for every row.
+HOT_KEYS = 200
+# Sub-keys of rows without a key, which no sketch counts.
 SALTS = 64
-# A key is hot from this share of all rows on, so there are at most 1 / HOT_SHARE hot keys.
-HOT_SHARE = 0.01
 # Keys that a sketch follows: enough to tell one percent, and a few kilobytes per map task.
 TRACKED = 1_000
 # Sketches of very many map tasks are combined by this many tasks before the last one.
 COMBINERS = 64
 
 
-def hot_hashes(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> Column:
-    """Array of the hashes of the hot keys of ``df``, at most ``1 / share`` elements, from sketches made in the map tasks.
+def hot_hashes(df: DataFrame, keys: Sequence[str], share: float) -> Column:
+    """Array of the hashes of the keys of ``df`` that hold more than ``share`` of its rows."""
+    return hot_salts(df, keys, max(1, int(SHARE / share)))["hashes"]
 
-    Only the balance of a join depends on it, never its result.
+
+def hot_salts(df: DataFrame, keys: Sequence[str], tasks: int | None = None) -> Column:
+    """``hashes, salts``: two arrays, of the hot keys of ``df``, from sketches made in the map tasks.
+
+    A key is hot if it has more rows than a part, ``SHARE``, of a task's even share of all, ``tasks`` being the session's
+    shuffle partitions by default, and gets as many salts as it has such parts. At most ``HOT_KEYS`` keys are listed: keys
+    with less than one in ``HOT_KEYS`` of all rows are not hot. Only the balance of a join depends on it, never its result.
     """
+    tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = max(SHARE / tasks, 1 / HOT_KEYS)
     combiner = F.pmod(F.spark_partition_id(), F.lit(COMBINERS)).alias("_c")
     hashes = df.where(_all_present(keys)).select(F.xxhash64(*keys).alias("_h"), combiner)
-    sketches = hashes.groupBy("_c").agg(
-        F.expr(f"approx_top_k(_h, {int(1 / share)}, {TRACKED})").alias("top"), F.count(F.lit(1)).alias("n")
-    )
-    # at most COMBINERS arrays of 1 / share entries, added up within one row
-    frequent = F.filter("top", lambda t: t["count"] > F.col("n") * share)
+    sketches = hashes.groupBy("_c").agg(F.expr(f"approx_top_k(_h, {HOT_KEYS}, {TRACKED})").alias("top"), F.count(F.lit(1)).alias("n"))
+    # at most COMBINERS arrays of HOT_KEYS entries, added up within one row
+    frequent = F.filter("top", lambda t: t["count"] > F.col("n") * least / 4)
     listed = sketches.select(frequent.alias("top"), "n").agg(F.flatten(F.collect_list("top")).alias("top"), F.sum("n").alias("n"))
     own = lambda item: F.filter("top", lambda t: t["item"] == item)
     rows = lambda item: F.aggregate(own(item), F.lit(0).cast("bigint"), lambda total, t: total + t["count"])
     items = F.array_distinct(F.transform("top", lambda t: t["item"]))
-    return listed.select(F.filter(items, lambda item: rows(item) > F.col("n") * share).alias("hot")).scalar()
+    salts = lambda item: F.ceil(rows(item) * tasks / (F.col("n") * SHARE)).cast("int")
+    hot = listed.select(F.filter(items, lambda item: rows(item) > F.col("n") * least).alias("hashes"), "top", "n")
+    return hot.select(F.struct("hashes", F.transform("hashes", salts).alias("salts")).alias("hot")).scalar()
 
 
 def skew_join(
@@ -42,13 +54,12 @@ def skew_join(
     how: str = "left",
     profile: DataFrame | None = None,
     null_safe: bool = False,
-    salts: int = SALTS,
-    share: float = HOT_SHARE,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Equi-join whose left side may have hot or missing keys.
 
-    Left rows of a hot key are spread over ``salts`` sub-keys and the few right rows of that key are
-    repeated once per sub-key; left rows without a key are spread too. All other keys join as usual.
+    Left rows of a hot key are spread over sub-keys, as many as the key has times a task's share of rows, and the few right
+    rows of that key are repeated once per sub-key; left rows without a key are spread too. All other keys join as usual.
     The hot keys are those of ``profile``: a table that is cheap to read and has the key distribution of
     ``left``, typically the scan that ``left`` was made from. Without it only missing keys are spread and hot
     ones are left to adaptive execution, which splits their partitions while the query runs.
@@ -60,15 +71,14 @@ def skew_join(
     present = _all_present(keys)
     if profile is None and not null_safe and how in ("inner", "left_semi"):
         return left.join(right, keys, how)
-    spread_out = ~present
+    salts = F.when(~present, SALTS).otherwise(1)
     if profile is not None:
-        hot = hot_hashes(profile, keys, share)
-        spread_out = spread_out | F.coalesce(F.array_contains(hot, F.xxhash64(*keys)), F.lit(False))
-    sub_key = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
-    salted = left.withColumn("_salt", F.when(spread_out, sub_key).otherwise(0))
+        hot = hot_salts(profile, keys, tasks)
+        place = F.array_position(hot["hashes"], F.xxhash64(*keys)).cast("int")
+        salts = F.when(~present, SALTS).otherwise(F.coalesce(F.get(hot["salts"], place - 1), F.lit(1)))
+    salted = left.withColumn("_salts", salts).withColumn("_salt", F.when(F.col("_salts") > 1, F.pmod(F.xxhash64(*left.columns), F.col("_salts"))).otherwise(0).cast("int")).drop("_salts")
     held = right if null_safe else right.where(present)
-    all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
-    repeated = held.withColumn("_salt", F.explode(F.when(spread_out, all_salts).otherwise(F.array(F.lit(0)))))
+    repeated = held.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     if not null_safe:
         return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
     renamed = repeated.withColumnsRenamed({k: f"_right_{k}" for k in [*keys, "_salt"]})

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pubmeter.functions.nulls import not_in, zero_if_null
+from pubmeter.functions.text import doi_key
 from pubmeter.operators.counting import distinct_counts, dominant_category
 from pubmeter.operators.membership import group_any, with_flag
+from pubmeter.operators.sampling import one_per_key
 from pubmeter.operators.skew import skew_join
 from pubmeter.session import cut_lineage
 
@@ -25,15 +27,23 @@ def drop_topics(df: DataFrame, topics: Sequence[int] = OUTLIER_TOPICS, topic: st
     return df.where(not_in(F.col(topic), topics))
 
 
-def attach_match(doc_topic: DataFrame, meta: DataFrame, matches: DataFrame) -> DataFrame:
-    """Documents with identifier and match, where they have them."""
+def attach_match(doc_topic: DataFrame, meta: DataFrame, matches: DataFrame, compat: bool = False) -> DataFrame:
+    """Documents with identifier and match, where they have them.
+
+    Identifiers meet by their key, without prefix, quotes and case; of matches with one key one random row counts. With ``compat`` they must be spelled
+    alike, as in the published study, where records searched for under a cleaned identifier cannot be found under their own.
+    """
     with_doi = doc_topic.join(meta.select("id", "doi"), "id", "left")
-    return skew_join(with_doi, matches, "doi", "left", meta.select("doi"))
+    if compat:
+        return skew_join(with_doi, matches, "doi", "left", meta.select("doi"))
+    key = lambda df: df.withColumn("_doi", doi_key(F.col("doi")))
+    single = one_per_key(key(matches).where(F.col("_doi").isNotNull()), ["_doi"]).drop("doi")
+    return skew_join(key(with_doi), single, "_doi", "left", key(meta.select("doi")).select("_doi")).drop("_doi")
 
 
-def coverage_by_topic(doc_topic: DataFrame, meta: DataFrame, matches: DataFrame, matched: str) -> DataFrame:
+def coverage_by_topic(doc_topic: DataFrame, meta: DataFrame, matches: DataFrame, matched: str, compat: bool = False) -> DataFrame:
     """``topic, n_covered, n, p``: documents of each topic whose identifier was matched."""
-    joined = attach_match(doc_topic, meta, matches)
+    joined = attach_match(doc_topic, meta, matches, compat)
     return _share(distinct_counts(joined, ["topic"], "id", {"n_covered": F.col(matched).isNotNull()}), "n_covered")
 
 

@@ -21,6 +21,7 @@ from pubmeter.functions.text import (
 )
 from pubmeter.operators.membership import non_members, with_flag
 from pubmeter.operators.ordering import first_rows
+from pubmeter.operators.sampling import one_per_key
 from pubmeter.operators.skew import skew_join
 
 # Identifier types that count as a DOI, and the document code of an article.
@@ -135,6 +136,11 @@ def match_identifiers(dois: DataFrame, identifiers: DataFrame, articles: DataFra
     return with_discipline(found, articles, disciplines).select("doi", "article_id", "specialty", "discipline").distinct()
 
 
+def listed_matches(meta: DataFrame, identifiers: DataFrame, articles: DataFrame, disciplines: DataFrame) -> DataFrame:
+    """``doi, article_id, specialty, discipline``: the corpus's identifiers, cleaned for the search, found in an index; one row each."""
+    return one_per_key(match_identifiers(search_dois(meta), identifiers, articles, disciplines), ["doi"])
+
+
 def match_article_titles(titles: DataFrame, articles: DataFrame, disciplines: DataFrame) -> DataFrame:
     """``title, year, article_id, specialty, discipline``: listed titles found under the same year."""
     listed = titles.where(is_filled(F.col("title")) & is_filled(F.col("year"))).select("title", "year").distinct()

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pubmeter.functions.nulls import flag_label, if_else, zero_if_null
-from pubmeter.functions.text import after_last_dash
+from pubmeter.functions.text import after_last_dash, doi_key
 from pubmeter.operators.counting import (
     distinct_counts,
     representation_ratio,
@@ -24,7 +24,7 @@ from pubmeter.operators.counting import (
 from pubmeter.operators.membership import members, with_flag
 from pubmeter.operators.ordering import extremes, level_order
 from pubmeter.operators.skew import skew_join
-from pubmeter.operators.statistics import mean_threshold, quadrant, spearman
+from pubmeter.operators.statistics import mean_threshold, quadrant, spearman_by
 from pubmeter.plans.metadata import BINARY, named_gender
 from pubmeter.session import cut_lineage
 
@@ -46,14 +46,17 @@ def analysis_base(
     matches_a: DataFrame,
     matches_b: DataFrame,
     domains: Sequence[str] = DOMAINS,
+    compat: bool = False,
 ) -> DataFrame:
     """``id, topic, Women, Men, domain, language, in_a, in_b`` of every article with a gendered author.
 
     A domain outside the list is missing, an unknown language stays missing, and an article without
-    identifier is not indexed.
+    identifier is not indexed. Identifiers meet by their key, without prefix, quotes and case; with ``compat`` as they are spelled.
     """
+    key = (lambda c: c) if compat else doi_key
+    own = meta.select("id", key(F.col("doi")).alias("doi"))
     people = doc_topic.select("id", "topic").join(fractions.select("id", *BINARY), "id").where(F.col("Women").isNotNull())
-    spoken = people.join(meta.select("id", "doi"), "id", "left").join(language.select("id", "language"), "id", "left")
+    spoken = people.join(own, "id", "left").join(language.select("id", "language"), "id", "left")
     placed = skew_join(spoken, domain.select("topic", "domain"), "topic", "left", doc_topic.select("topic"))
     labelled = placed.withColumns(
         {
@@ -63,7 +66,7 @@ def analysis_base(
     )
     flagged = labelled
     for name, matches in (("in_a", matches_a), ("in_b", matches_b)):
-        flagged = with_flag(flagged, matches.where(F.col("doi").isNotNull()), "doi", name, profile=meta.select("doi"))
+        flagged = with_flag(flagged, matches.select(key(F.col("doi")).alias("doi")).where(F.col("doi").isNotNull()), "doi", name, profile=own.select("doi"))
         flagged = flagged.withColumn(name, flag_label(F.col(name), INDEXED, NOT_INDEXED))
     return flagged.drop("doi")
 
@@ -170,13 +173,10 @@ def quadrant_classes(topics: DataFrame, group_share: DataFrame, other_share: Dat
 
 
 def topic_correlations(features: DataFrame, measures: Sequence[str], against: str = "p_en") -> DataFrame:
-    """``ind, n, r, s, t, p_value``: rank correlation of each measure with another."""
-    features = cut_lineage(features.select(against, *measures))
-    out = None
-    for m in measures:
-        row = spearman(features, m, against).select(F.lit(m).alias("ind"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """``ind, n, r, s, t, p_value``: rank correlation of each measure with another, all measures in one pass."""
+    rows = F.explode(F.array(*(F.struct(F.lit(m).alias("ind"), F.col(m).cast("double").alias("value")) for m in measures))).alias("m")
+    long = features.select(F.col(against).alias("against"), rows).select("m.ind", "m.value", "against")
+    return spearman_by(long, "ind", "value", "against")
 
 
 def extreme_topics(topics: DataFrame, measure: str, n: int = EXTREMES) -> DataFrame:

@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pubmeter.operators.clustering import MIN_CLUSTER_SIZE, MIN_SAMPLES, density_cluster
-from pubmeter.operators.embedding import hashed_embedding, principal_components
+from pubmeter.operators.clustering import MIN_CLUSTER_SIZE, MIN_SAMPLES, density_cluster, density_leaves
+from pubmeter.operators.embedding import hashed_embedding, principal_components, principal_components_by
 from pubmeter.operators.merging import MIN_SIMILARITY, merge_topics, remap_documents
 from pubmeter.functions.vectors import rescale
 from pubmeter.operators.tokens import class_tfidf, reduce_outliers, rerank_terms, term_counts, top_terms, topic_centroids, topic_info, topic_labels
@@ -35,7 +35,7 @@ class TopicModel:
 
 def model_topics(
     texts: DataFrame,
-    eps: float,
+    eps: float | None,
     id: str = "id",
     text: str = "title",
     order: str | None = None,
@@ -52,8 +52,8 @@ def model_topics(
 ) -> TopicModel:
     """Cluster each part of the table by itself, then merge the parts' topics.
 
-    Clusters are found among the first ``components`` principal components, rescaled, or among the vectors themselves with
-    None; topics are described by the whole vectors. With ``rerank`` the leading terms are those whose vectors, from the same
+    Clusters are found among the first ``components`` principal components of the part's vectors, rescaled, or among the vectors
+    themselves with None. They are those of the density level ``eps``, or with None the leaves of a tree of levels. Topics are described by the whole vectors. With ``rerank`` the leading terms are those whose vectors, from the same
     embedder, lie closest to the topic's. ``labeller`` maps the topic table to (topic, label) for the topics it names.
 
     All parts go through one plan with a ``part`` column. Any failure is raised. ``embedder`` maps (id, text) to
@@ -63,10 +63,14 @@ def model_topics(
     vectors = embedder(placed) if embedder else hashed_embedding(placed, id, text)
     embedded = cut_lineage(placed.select(id, "part").join(vectors, id))
     if components:
-        low = cut_lineage(rescale(principal_components(embedded, "vec", components, "low"), "low").select(id, "part", "low"))
-        clustered = density_cluster(low, eps, id, "low", "part", min_samples, min_cluster_size)
+        scores = principal_components_by(embedded, "vec", components, "part", "low")
+        placed_vectors, column = cut_lineage(rescale(scores, "low", by="part").select(id, "part", "low")), "low"
     else:
-        clustered = density_cluster(embedded, eps, id, "vec", "part", min_samples, min_cluster_size)
+        placed_vectors, column = embedded, "vec"
+    if eps is None:
+        clustered = density_leaves(placed_vectors, id, column, "part", min_samples, min_cluster_size)
+    else:
+        clustered = density_cluster(placed_vectors, eps, id, column, "part", min_samples, min_cluster_size)
     doc_topic = cut_lineage(embedded.join(clustered.select(id, "topic"), id))
     found = topic_centroids(doc_topic.where("topic <> -1"), by="part")
     assigned = reduce_outliers(doc_topic, found, outlier_threshold, id, "vec", "part")

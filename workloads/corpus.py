@@ -9,6 +9,7 @@ from pubmeter.operators.counting import fractional_shares, frequency
 from pubmeter.plans import coverage, metadata, reports
 from workloads import roles
 from workloads.registry import Tables, query
+from workloads.statistics import STUDENT
 from workloads.roles import BASE_ROLES, INDEX_ROLES, MATCH_ROLES, prelude
 
 CLEAN = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({0}, '[\p{{P}}\p{{S}}]', ' ', 'g'),
@@ -137,9 +138,9 @@ def label_corpus(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
 TOPIC_A = """
 topic_a AS (SELECT topic, n_covered, n, n_covered / n AS p FROM (SELECT topic, count(DISTINCT CASE WHEN a.work_id IS NOT NULL THEN d.id END) AS n_covered, count(DISTINCT d.id) AS n
   FROM doc_topic d LEFT JOIN meta m ON d.id = m.id LEFT JOIN matches_a a ON m.doi = a.doi GROUP BY topic))"""
-TOPIC_B = """
+TOPIC_B = f"""
 topic_b AS (SELECT topic, n_covered, n, n_covered / n AS p FROM (SELECT topic, count(DISTINCT CASE WHEN b.article_id IS NOT NULL THEN d.id END) AS n_covered, count(DISTINCT d.id) AS n
-  FROM doc_topic d LEFT JOIN meta m ON d.id = m.id LEFT JOIN matches_b b ON m.doi = b.doi GROUP BY topic))"""
+  FROM doc_topic d LEFT JOIN meta m ON d.id = m.id LEFT JOIN matches_b b ON {roles.doi_key_sql("m.doi")} = {roles.doi_key_sql("b.doi")} GROUP BY topic))"""
 TOPIC_L = """
 topic_l AS (SELECT topic, n_en, n, n_en / n AS p FROM (SELECT topic, count(DISTINCT CASE WHEN language = 'en' THEN d.id END) + max(CASE WHEN language IS NULL THEN 1 ELSE 0 END) AS n_en,
   count(DISTINCT d.id) AS n FROM doc_topic d LEFT JOIN language l ON d.id = l.id GROUP BY topic))"""
@@ -236,6 +237,17 @@ def indexation_language_correlation(t: Tables) -> DataFrame:
     return reports.topic_correlations(features(t), ["p_a", "p_b"]).select("ind", "n", "r")
 
 
+@query(
+    with_topics(TOPIC_A, TOPIC_B, TOPIC_L, INFO).rstrip()
+    + f", tested AS (SELECT ind, n, r, r * sqrt((n - 2) / (1 - r * r)) AS t FROM ({_corr('p_a')} UNION ALL {_corr('p_b')})), {STUDENT.format('ind')}"
+    + " SELECT ind, t, p AS p_value FROM tested JOIN tail USING (ind)",
+    doubles="t p_value",
+)
+def indexation_language_tests(t: Tables) -> DataFrame:
+    """The tests of both rank correlations; shares of topics are tied."""
+    return reports.topic_correlations(features(t), ["p_a", "p_b"]).select("ind", "t", "p_value")
+
+
 def _quadrants(part: str, what: str) -> str:
     return f"""SELECT c.topic, coalesce(w."Women", 0) AS "Women", coalesce(o.p, 0) AS p,
     CASE WHEN coalesce(w."Women", 0) >= mw AND coalesce(o.p, 0) >= mp THEN '1. High women authorship - High {what}'

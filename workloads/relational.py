@@ -20,7 +20,6 @@ from pubmeter.operators.membership import group_any, members, non_members, with_
 from pubmeter.operators.ordering import average_rank, extremes, first_per_key, level_order, sequence_id, top_with_ties
 from pubmeter.operators.skew import skew_join
 from pubmeter.plans.matching import first_addresses, primary_topics, with_domain
-from pubmeter.functions.text import doi_key, safe_int, strip_quotes
 from workloads import roles
 from workloads.registry import Tables, query
 from workloads.roles import prelude
@@ -46,7 +45,8 @@ def inner_join(t: Tables) -> DataFrame:
 def outer_join_filtered(t: Tables) -> DataFrame:
     """An outer join whose optional side is then required is written as the inner join it is."""
     listed = roles.pubs(t).where(F.col("doi") != "").select("doi", "title").distinct()
-    joined = skew_join(roles.works(t).select("title", "work_id"), listed, "title", "inner")
+    held = roles.works(t).select("title", "work_id")
+    joined = skew_join(held, listed, "title", "inner", held.select("title"))
     return joined.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("work_id").alias("works"))
 
 
@@ -57,7 +57,7 @@ def outer_join_filtered(t: Tables) -> DataFrame:
 def case_insensitive_join(t: Tables) -> DataFrame:
     listed = roles.pubs(t).where(F.col("doi") != "").select("doi", F.lower("doi").alias("k")).distinct()
     held = roles.works(t).select(F.lower("doi").alias("k"), "work_id")
-    return skew_join(held, listed, "k", "inner").select("doi", "work_id").distinct()
+    return skew_join(held, listed, "k", "inner", held.select("k")).select("doi", "work_id").distinct()
 
 
 @query(
@@ -69,7 +69,7 @@ def cleaned_key_join(t: Tables) -> DataFrame:
     """Quotes are taken off into a key column before the join."""
     listed = roles.quoted_dois(t).withColumn("identifier", strip_quotes(F.col("doi"))).where(F.col("identifier") != "")
     held = roles.identifiers(t).select("identifier", "article_id")
-    return skew_join(held, listed, "identifier", "inner").select("doi", "article_id")
+    return skew_join(held, listed, "identifier", "inner", held.select("identifier")).select("doi", "article_id")
 
 
 @query(
@@ -80,7 +80,7 @@ def cleaned_key_join(t: Tables) -> DataFrame:
 def composite_key_join(t: Tables) -> DataFrame:
     listed = roles.pubs(t).select("title", "year").distinct().withColumn("publication_year", safe_int(F.col("year")))
     held = roles.works(t).select("title", F.col("publication_year").cast("bigint").alias("publication_year"), "work_id")
-    return skew_join(held, listed, ["title", "publication_year"], "inner").select("title", "year", "work_id")
+    return skew_join(held, listed, ["title", "publication_year"], "inner", held.select("title", "publication_year")).select("title", "year", "work_id")
 
 
 @query(prelude("work_topics", "topics", "primary_topic") + "SELECT * FROM primary_topic")
@@ -187,7 +187,7 @@ def anti_join(t: Tables) -> DataFrame:
 
 
 @query(
-    prelude("meta", "identifiers", "matches_b")
+    prelude("meta", "identifiers", "articles", "disciplines", "matches_b")
     + "SELECT id, doi, doi IS NOT NULL AND EXISTS (SELECT 1 FROM matches_b b WHERE b.doi = m.doi) AS matched FROM meta m"
 )
 def membership_flag(t: Tables) -> DataFrame:
@@ -209,7 +209,7 @@ def normalised_doi_join(t: Tables) -> DataFrame:
     """Both sides normalised, so that prefixed or quoted spellings match too."""
     listed = roles.pubs(t).select(doi_key(F.col("doi")).alias("k")).where(F.col("k").isNotNull()).distinct()
     held = roles.identifiers(t).select(doi_key(F.col("identifier")).alias("k"), "article_id")
-    return skew_join(held, listed, "k", "inner").agg(F.count_distinct("article_id").alias("n"))
+    return skew_join(held, listed, "k", "inner", held.select("k")).agg(F.count_distinct("article_id").alias("n"))
 
 
 # --- aggregates ---------------------------------------------------------------------------------------

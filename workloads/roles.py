@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pubmeter.operators.sampling import one_per_key
 from pubmeter.plans.coverage import domain_of_topic
-from pubmeter.plans.matching import match_by_doi
+from pubmeter.plans.matching import listed_matches, match_by_doi
 from pubmeter.plans.metadata import gender_fractions
 from pubmeter.plans.reports import analysis_base
 from workloads.registry import Tables
@@ -25,7 +25,7 @@ SQL: dict[str, str] = {}
 
 def prelude(*names: str) -> str:
     """``WITH`` clause of the named roles."""
-    return "WITH " + ", ".join(f"{name} AS ({SQL[name]})" for name in names) + " "
+    return "WITH " + ", ".join(f"{name} AS ({SQL[name]})" for name in dict.fromkeys(names)) + " "
 
 
 def mod(column: str, n: int) -> Column:
@@ -316,17 +316,29 @@ def matches_a(t: Tables) -> DataFrame:
     return one_per_key(doi_matches(t), ["doi"])
 
 
-SQL["matches_b"] = """
-SELECT DISTINCT identifier AS doi, article_id FROM identifiers WHERE identifier <> '' AND type IN ('doi', 'xref_doi', 'parent_book_doi')"""
+def doi_key_sql(c: str) -> str:
+    """Join key of an identifier in SQL: no quotes, blanks, prefix or upper case."""
+    bare = f"""trim(regexp_replace(replace(replace({c}, '"', ''), chr(39), ''), '\\s+', ' ', 'g'))"""
+    return f"nullif(lower(trim(regexp_replace(regexp_replace({bare}, '^doi:', ''), '^DOI:', ''))), '')"
+
+
+# The corpus's identifiers without blanks and prefix, searched for among the index's by their spelling without quotes.
+SQL["matches_b"] = r"""
+SELECT doi, article_id, specialty, discipline FROM (SELECT *, row_number() OVER (PARTITION BY doi ORDER BY
+  md5(concat_ws('|', '1234', doi, CAST(article_id AS VARCHAR), coalesce(specialty, ''), coalesce(discipline, '')))) AS rn
+  FROM (SELECT DISTINCT l.doi, i.article_id, d.specialty, d.discipline
+    FROM (SELECT DISTINCT trim(regexp_replace(regexp_replace(trim(regexp_replace(doi, '\s+', ' ', 'g')), '^doi:', ''), '^DOI:', '')) AS doi FROM meta WHERE doi IS NOT NULL) l
+    JOIN identifiers i ON replace(replace(l.doi, '"', ''), '''', '') = i.identifier
+    LEFT JOIN articles a ON i.article_id = a.article_id LEFT JOIN disciplines d ON a.discipline_code = d.discipline_code
+    WHERE replace(replace(l.doi, '"', ''), '''', '') <> '')) WHERE rn = 1"""
 
 
 def matches_b(t: Tables) -> DataFrame:
-    kept = identifiers(t).where((F.col("identifier") != "") & F.col("type").isin("doi", "xref_doi", "parent_book_doi"))
-    return kept.select(F.col("identifier").alias("doi"), "article_id").distinct()
+    return listed_matches(meta(t), identifiers(t), articles(t), disciplines(t))
 
 
 MATCH_ROLES = ("pubs", "works", "work_topics", "topics", "domains", "primary_topic", "doi_matches", "matches_a")
-INDEX_ROLES = ("identifiers", "matches_b")
+INDEX_ROLES = ("meta", "identifiers", "articles", "disciplines", "matches_b")
 
 SQL["topic_domain"] = """
 SELECT topic, CASE WHEN max(n) / sum(n) < 0.55 THEN 'Multidisciplinary' ELSE arg_max(domain, n) END AS domain FROM (
@@ -348,11 +360,11 @@ def topic_segment(t: Tables) -> DataFrame:
     return doc_topic(t).select("topic").distinct().withColumn("domain", name)
 
 
-SQL["base"] = """
+SQL["base"] = f"""
 SELECT d.id, d.topic, f.Women, f.Men, CASE WHEN s.domain IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE') THEN s.domain END AS domain,
   CASE WHEN l.language = 'en' THEN 'English' WHEN l.language IS NOT NULL THEN 'Other' END AS language,
-  CASE WHEN m.doi IN (SELECT doi FROM matches_a) THEN 'Indexed' ELSE 'Not indexed' END AS in_a,
-  CASE WHEN m.doi IN (SELECT doi FROM matches_b) THEN 'Indexed' ELSE 'Not indexed' END AS in_b
+  CASE WHEN {doi_key_sql("m.doi")} IN (SELECT {doi_key_sql("doi")} FROM matches_a) THEN 'Indexed' ELSE 'Not indexed' END AS in_a,
+  CASE WHEN {doi_key_sql("m.doi")} IN (SELECT {doi_key_sql("doi")} FROM matches_b) THEN 'Indexed' ELSE 'Not indexed' END AS in_b
 FROM doc_topic d JOIN fractions f ON d.id = f.id LEFT JOIN meta m ON d.id = m.id LEFT JOIN language l ON d.id = l.id
 LEFT JOIN topic_segment s ON d.topic = s.topic"""
 

@@ -111,7 +111,7 @@ NATIONAL_DRAW = "md5(concat_ws('|', '1234', " + ", ".join(f"coalesce(CAST({c} AS
 
 
 @query(
-    prelude("pubs", *NATIONAL_ROLES, "matches_b").rstrip()
+    prelude("pubs", "meta", *NATIONAL_ROLES, "matches_b").rstrip()
     + f""",
     national AS ({NATIONAL}),
     drawn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY {NATIONAL_DRAW}) AS rn FROM national) WHERE rn = 1),

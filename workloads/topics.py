@@ -286,3 +286,28 @@ def modelled_topics(t: Tables) -> DataFrame:
     texts = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("title"))
     model = model_topics(texts, 0.03, part_size=2_500, min_samples=3, min_cluster_size=5, stop=STOP)
     return model.info.select("topic", "count", "label")
+
+
+@query(
+    r"""SELECT doc_id, CASE WHEN len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS square FROM documents""",
+    doubles="square",
+)
+def hashed_vector_lengths(t: Tables) -> DataFrame:
+    """Hashed vectors have unit length, or none where a text has no words."""
+    vectors = hashed_embedding(t.documents, "doc_id", "text", 64)
+    return vectors.select("doc_id", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 5).alias("square"))
+
+
+@query("SELECT count(*) AS documents, count(DISTINCT doc_id) AS ids, count(*) AS counted, true AS described, true AS numbered, true AS ordered FROM documents")
+def modelled_topic_checks(t: Tables) -> DataFrame:
+    """Every document has one topic, the topics' counts add up to the documents, each is described, has a vector and a label."""
+    texts = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("title"))
+    model = model_topics(texts, 0.03, part_size=2_500, min_samples=3, min_cluster_size=5, stop=STOP)
+    info = cut_lineage(model.info)
+    real = info.where("topic <> -1").select("topic")
+    held = model.documents.agg(F.count(F.lit(1)).alias("documents"), F.count_distinct("id").alias("ids"))
+    counted = info.agg(F.sum("count").alias("counted"), F.bool_and(F.col("label").startswith(F.concat(F.col("topic").cast("string"), F.lit(" - ")))).alias("described"))
+    vectors = model.centroids.select(F.col("topic").cast("int").alias("topic"))
+    apart = real.join(vectors, "topic", "left_anti").unionByName(real.groupBy("topic").count().where("count > 1").select("topic")).agg((F.count(F.lit(1)) == 0).alias("numbered"))
+    rising = model.weights.agg((F.min("weight") >= 0).alias("ordered"))
+    return held.join(counted).join(apart).join(rising)
