@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,12 +30,14 @@ def isotonic(scores: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array(model.boundaries.toArray()), np.array(model.predictions.toArray())
 
 
-def training_ids_by_text(docs: DataFrame, text: str, label: str, rows: int) -> DataFrame:
-    """``text, label``: at most ``rows`` labelled texts, the first by a hash of text and label.
+def training_texts(docs: DataFrame, text: str, label: str, rows: int) -> DataFrame:
+    """``text, label``: at most ``rows`` different labelled texts of each label, the first by a hash of text and label.
 
-    The hashes alone are sorted; the texts behind the last one taken are then filtered where they lie.
+    The hashes alone are ranked, cut to ``rows`` of a label in the map tasks; the texts up to the last one taken are then filtered
+    where they lie.
     """
     known = docs.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
-    place = F.xxhash64("text", "label")
-    last = known.select(place.alias("place")).distinct().orderBy("place").limit(rows).agg(F.max("place")).first()[0]
-    return known.where(place <= (last if last is not None else 0)).dropDuplicates(["text", "label"])
+    place = F.xxhash64("text", "label").alias("place")
+    ranked = known.select("label", place).distinct().withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("place")))
+    last = ranked.where(F.col("rank") <= rows).groupBy("label").agg(F.max("place").alias("last"))
+    return known.join(last, "label").where(F.xxhash64("text", "label") <= F.col("last")).dropDuplicates(["text", "label"]).select("text", "label")

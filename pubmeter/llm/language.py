@@ -13,12 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pubmeter.llm.common import in_small_batches
-from pubmeter.llm.labelled import training_ids_by_text
+from pubmeter.llm.labelled import training_texts
 from pubmeter.session import cut_lineage
 
-# Labelled texts that the likelihoods are fitted on at most, and texts a language needs among them.
-TRAINING_ROWS = 4_000
-LEAST_TEXTS = 5
+# Labelled texts of each language that its likelihoods are fitted on at most.
+TRAINING_ROWS = 1_000
 BUCKET_BITS = 16
 # Neighbouring letter triples share letters, so their evidence counts for less than its number.
 TEMPER = 0.2
@@ -26,12 +25,54 @@ TEMPER = 0.2
 SUFFIX_WEIGHT, HOST_WEIGHT = 20.0, 5.0
 DECLARED_WEIGHT = 1.0
 BLOCK = 1 << 20
-MARKUP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+HIDDEN = re.compile(r"(?i)<(script|style)\b")
+CLOSING = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style")}
+HTML_TAG = re.compile(r"(?i)<html([^>]*)")
+LANGUAGE = re.compile(r"(?i)\blang\s*=\s*[\"']?([A-Za-z]{2,3})")
 
 
 def page_text(html: str) -> str:
-    """The words of a page: scripts, styles, comments and tags become blanks, entities their characters."""
-    return entities.unescape(MARKUP.sub(" ", html))
+    """The words of a page: scripts, styles, comments and tags become blanks, entities their characters.
+
+    One pass: what is not closed is a tag where a ``>`` follows, and text otherwise; a closing mark that was looked for in vain
+    is not looked for again.
+    """
+    out, at, missing = [], 0, set()
+
+    def after(mark: str, start: int) -> int:
+        if mark in missing:
+            return -1
+        if mark in CLOSING:
+            found = CLOSING[mark].search(html, start)
+            end = found.end() if found else -1
+        else:
+            place = html.find(mark, start)
+            end = place + len(mark) if place >= 0 else -1
+        if end < 0:
+            missing.add(mark)
+        return end
+
+    while True:
+        start = html.find("<", at)
+        if start < 0:
+            out.append(html[at:])
+            return entities.unescape("".join(out))
+        out.append(html[at:start])
+        hidden = HIDDEN.match(html, start)
+        end = after(hidden[1].lower(), hidden.end()) if hidden else after("-->", start + 4) if html.startswith("<!--", start) else -1
+        if end < 0:
+            end = after(">", start + 1)
+        out.append(" " if end >= 0 else "<")
+        at = end if end >= 0 else start + 1
+
+
+def declared_language(html: str) -> str | None:
+    """The language that the first ``html`` tag with a ``lang`` declares, the last one there, in lower case."""
+    for tag in HTML_TAG.finditer(html):
+        found = LANGUAGE.findall(tag[1])
+        if found:
+            return found[-1].lower()
+    return None
 
 
 def triple_buckets(text: str) -> Iterator[np.ndarray]:
@@ -59,30 +100,27 @@ class Triples:
 
 
 def fit(docs: DataFrame, text: str = "text", language: str = "lang", rows: int = TRAINING_ROWS) -> Triples:
-    """Triple likelihoods of each language with at least LEAST_TEXTS of the at most ``rows`` labelled texts, taken by hash.
+    """Triple likelihoods of every labelled language, from at most ``rows`` texts of each, taken by hash.
 
     Missing texts and languages teach nothing.
     """
     in_small_batches(docs.sparkSession)
-    sample = training_ids_by_text(docs, text, language, rows)
+    sample = training_texts(docs, text, language, rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
-        texts: dict[str, int] = {}
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                texts[y] = texts.get(y, 0) + 1
                 own = seen.setdefault(y, np.zeros(1 << BUCKET_BITS, np.int64))
                 for buckets in triple_buckets(t):
                     own += np.bincount(buckets, minlength=len(own))
         for y, own in seen.items():
             at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([y] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(own[at], texts[y]))], ["language", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([y] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(own[at], 1))], ["language", "bucket", "n"])
 
-    # buckets times languages: bounded by the sample
+    # buckets times languages
     found = sample.mapInArrow(count, "language string, bucket long, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    texts = found[found.bucket < 0].set_index("language").n
-    languages = tuple(sorted(texts.index[texts >= LEAST_TEXTS]))
+    languages = tuple(sorted(found.language.unique()))
     counts = np.zeros((len(languages), 1 << BUCKET_BITS))
     for k, y in enumerate(languages):
         own = found[(found.language == y) & (found.bucket >= 0)]
@@ -112,18 +150,19 @@ def identify(pages: DataFrame, model: Triples, id: str = "page_id", url: str = "
     in_small_batches(pages.sparkSession)
     languages = model.languages
     source = pages.select(F.col(id).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    declared = F.lower(F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
-    host = host_of(F.col("url"))
-    facts = source.select("id", "html", host.alias("host"), F.when(declared != "", declared).alias("declared"))
-    if not languages:
-        return facts.select(F.col("id").alias(id), F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("string").alias("text_language"), "declared", "host")
+    facts = source.select("id", "html", host_of(F.col("url")).alias("host"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.log_likelihoods(page_text(x)).tolist() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(scores, pa.list_(pa.float64()))], ["id", "host", "declared", "score"])
+            html = batch.column(1).to_pylist()
+            scores = [model.log_likelihoods(page_text(x)).tolist() for x in html]
+            declared = [declared_language(x) for x in html]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(declared, pa.string()), pa.array(scores, pa.list_(pa.float64()))], ["id", "host", "declared", "score"])
 
-    kind = facts.select("id", "host", "declared").withColumn("score", F.array(F.lit(0.0))).schema
+    kind = facts.select("id", "host").withColumn("declared", F.lit(None).cast("string")).withColumn("score", F.array(F.lit(0.0))).schema
+    if not languages:
+        plain = facts.mapInArrow(score, kind)
+        return plain.select(F.col("id").alias(id), F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("string").alias("text_language"), "declared", "host")
     suffix = F.regexp_extract("host", r"([^.]+)$", 1)
     posterior = _softmax(F.col("score"))
     scored = cut_lineage(facts.mapInArrow(score, kind).withColumn("suffix", suffix).withColumn("q", posterior))

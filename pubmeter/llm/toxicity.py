@@ -19,10 +19,16 @@ from pubmeter.llm.common import in_small_batches, texts
 from pubmeter.llm.labelled import isotonic, remainder, training_ids
 from pubmeter.session import cut_lineage
 
-# Labelled rows that the model is fitted on at most: half of them for the lexicon, three tenths for the trees, two for calibration.
+# Labelled rows that the model is fitted on at most.
 TRAINING_ROWS = 20_000
-# Entries of the lexicon, and how sure an entry must be: log odds, and texts it occurs in.
+# Parts of the labelled rows that lexicons and trees leave out in turn, so that each row is judged by what others taught.
+PARTS = 5
+# Rows' worth of the share of all labels in a step of the calibration.
+SHRINK = 2.0
+# Entries of the lexicon at most (it bounds what travels with the job), and how sure an entry must be: log odds, and texts it occurs in.
 LEXICON = 2_000
+# Characters of a word whose weight a worker keeps.
+LONGEST_KEPT = 64
 MIN_ODDS = 2.0
 MIN_TEXTS = 3
 REJECT = 0.3
@@ -35,7 +41,8 @@ SECOND_PERSON = set("you your yours yourself u ur du dich dir dein deine ihr euc
 NEAR = 5
 LETTERS = re.compile(r"[^\W\d_]+")
 DIGIT_LETTERS = str.maketrans("013457@$!", "oieastasi")
-MIXED = re.compile(r"(?=\S*[A-Za-z])[A-Za-z]+[0134579@$!*.\-][A-Za-z0134579@$!*]*[A-Za-z]+")
+# A sign or digit between letters. What lies between has no letter, so no text is read twice.
+MIXED = re.compile(r"[A-Za-z][0134579@$!*.\-][0134579@$!*]*(?=[A-Za-z])")
 UPPER = bytes(range(65, 91))
 LETTER_BYTES = UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
 MARKS = b"!?"
@@ -72,7 +79,7 @@ class Weights(dict):
     def __missing__(self, word: str) -> float:
         bare = plain(word)
         weight = math.nan if bare in SECOND_PERSON else max((self.lexicon.get(s, 0.0) for s in stems(bare)), default=0.0) if bare else 0.0
-        if len(self) < self.kept:
+        if len(self) < self.kept and len(word) <= LONGEST_KEPT:
             self[word] = weight
         return weight
 
@@ -94,7 +101,7 @@ def features(text: str, weights: Weights) -> list[float]:
     size = max(1, len(raw))
     count = lambda these: len(raw) - len(raw.translate(None, these))
     letters = max(1, count(LETTER_BYTES))
-    mixed = sum(1 for x in MIXED.findall(text) if not x.isalpha())
+    mixed = len(MIXED.findall(text))
     top = np.sort(w[hits])[::-1][:3]
     top = np.append(top, np.zeros(3 - len(top)))
     return [
@@ -103,27 +110,35 @@ def features(text: str, weights: Weights) -> list[float]:
     ]
 
 
-def learn_lexicon(train: DataFrame, size: int = LEXICON) -> dict[str, float]:
+def learn_lexicons(train: DataFrame, size: int = LEXICON) -> list[dict[str, float]]:
     """Words and beginnings of words that toxic texts hold far more often than others, at most ``size``, with their log odds.
 
-    ``train`` has ``text`` and ``label``. Texts are reduced to their distinct stems in the map tasks and counted by stem.
+    ``train`` has ``text``, ``label`` and ``part``. The k-th lexicon leaves out the rows of part k, the last one none. Texts are
+    reduced to their distinct stems in the map tasks and counted by stem and part, once for all lexicons.
     """
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[str, list[int]] = {}
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            seen: dict[tuple[str, int], list[int]] = {}
+            for t, y, part in zip(*(c.to_pylist() for c in batch.columns)):
                 for s in {s for word in {plain(x) for x in set(t.split())} if word for s in stems(word)}:
-                    seen.setdefault(s, [0, 0])[int(y > 0)] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array([v[k] for v in seen.values()], pa.int64()) for k in (1, 0))], ["stem", "yes", "no"])
+                    seen.setdefault((s, part), [0, 0])[int(y > 0)] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in seen], pa.string()), pa.array([k for _, k in seen], pa.int32()), *(pa.array([v[k] for v in seen.values()], pa.int64()) for k in (1, 0))], ["stem", "part", "yes", "no"])
 
-    totals = train.agg(F.coalesce(F.sum("label"), F.lit(0.0)), F.count(F.lit(1))).first()
-    yes, no = totals[0] + 1.0, totals[1] - totals[0] + 1.0
-    counted = train.select("text", "label").mapInArrow(distinct, "stem string, yes long, no long").groupBy("stem").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    odds = F.log((F.col("yes") + 0.5) / yes) - F.log((F.col("no") + 0.5) / no)
-    sure = counted.where(F.col("yes") >= MIN_TEXTS).withColumn("odds", odds).where(F.col("odds") >= MIN_ODDS)
-    best = sure.orderBy(F.desc(F.col("odds") * F.sqrt("yes")), "stem").limit(size).collect()
-    return {f"{w}|": 5.0 for w in INSULTS} | {r["stem"]: float(r["odds"]) for r in best}
+    rows = {r["part"]: (r["yes"], r["n"] - r["yes"]) for r in train.groupBy("part").agg(F.sum("label").alias("yes"), F.count(F.lit(1)).alias("n")).collect()}
+    found = train.select("text", "label", F.col("part").cast("int").alias("part")).mapInArrow(distinct, "stem string, part int, yes long, no long")
+    by_part = [F.sum(F.when(F.col("part") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in range(PARTS) for c in ("yes", "no")]
+    counted = cut_lineage(found.groupBy("stem").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"), *by_part).where(F.col("yes") >= MIN_TEXTS))
+    out = []
+    for k in range(PARTS + 1):
+        less = lambda c: F.col(c) - F.col(f"{c}{k}") if k < PARTS else F.col(c)  # noqa: E731, B023
+        yes, no = (sum(v[i] for part, v in rows.items() if part != k) + 1.0 for i in (0, 1))
+        own = counted.select("stem", less("yes").alias("yes"), less("no").alias("no"))
+        odds = F.log((F.col("yes") + 0.5) / yes) - F.log((F.col("no") + 0.5) / no)
+        sure = own.where(F.col("yes") >= MIN_TEXTS).withColumn("odds", odds).where(F.col("odds") >= MIN_ODDS)
+        best = sure.orderBy(F.desc(F.col("odds") * F.sqrt("yes")), "stem").limit(size).collect()
+        out.append({f"{w}|": 5.0 for w in INSULTS} | {r["stem"]: float(r["odds"]) for r in best})
+    return out
 
 
 @dataclass(frozen=True)
@@ -189,42 +204,59 @@ def _arrays(model) -> list:
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAINING_ROWS) -> Toxicity:
     """A model from at most ``rows`` labelled texts whose remainder (``labelled.remainder``) is not 2.
 
-    Lexicon, trees and calibration learn from different rows. Where a part lacks one of the two classes, what it would add is
-    left out: without trees every text gets the share of label 1.
+    All of them teach every step, but none its own judgement: the features of a row come from a lexicon learned without its part,
+    each half of the rows grows trees for the other half, and the calibration is fitted to what these say. Both halves' trees score a
+    text together. With labels of one class only, every text gets the share of label 1.
     """
     in_small_batches(docs.sparkSession)
     ids = training_ids(labels.where(remainder(id) != 2), id, label, rows)
     # bounded: at most ``rows`` ids
     source = texts(docs, id, text).toDF("id", "text")
-    train = cut_lineage(source.join(F.broadcast(ids), "id"))
-    both = train.groupBy((F.col("fold") >= 5).cast("int").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("yes")).collect()
-    n, yes = sum(r["n"] for r in both), sum(r["yes"] for r in both)
+    train = cut_lineage(source.join(F.broadcast(ids), "id").withColumn("part", (F.col("fold") % PARTS).cast("int")).withColumn("half", (F.col("fold") >= 5).cast("int")))
+    n, yes = train.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     base = float(yes / n) if n else 0.0
-    lexicon = learn_lexicon(train.where("fold < 5"))
+    lexicons = learn_lexicons(train)
+    if yes in (0, n):
+        return Toxicity(lexicons[-1], [], base, None)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = Weights(lexicon)
+        weights = [Weights(lexicon) for lexicon in lexicons[:PARTS]]
         for batch in batches:
-            x = [features(t, weights) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", "label", "fold"])
-
-    dense = cut_lineage(train.where("fold >= 5").select("text", "label", "fold").mapInArrow(extract, "x array<double>, label double, fold long").repartition(4))
-    grown = dense.where("fold < 8").select("label", array_to_vector("x").alias("features"))
-    if grown.select("label").distinct().count() < 2:
-        return Toxicity(lexicon, [], base, None)
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(grown)
-    trees = _arrays(model)
+            x = [features(t, weights[part]) for t, part in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1), batch.column(3)], ["x", "label", "half"])
+
+    dense = cut_lineage(train.select("text", "label", "part", "half").mapInArrow(extract, "x array<double>, label double, half int").repartition(4))
+    grown = []
+    for half in (0, 1):
+        own = dense.where(F.col("half") != half).select("label", array_to_vector("x").alias("features"))
+        mixed = own.select("label").distinct().count() == 2
+        grown.append(_arrays(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(own)) if mixed else [])
+    if not all(grown):
+        # one half has a single class: the trees of all rows serve, and judge themselves
+        every = dense.select("label", array_to_vector("x").alias("features"))
+        grown = [_arrays(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(every))] * 2
 
     def outputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column(0).to_pylist(), np.float64).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(margin(trees, x))], ["label", "score"])
-
-    held = dense.where("fold >= 8")
-    # a few rows cannot calibrate: then the trees' own rows do
-    enough = held.select("label").distinct().count() == 2
-    points = isotonic((held if enough else dense).select("x", "label").mapInArrow(outputs, "label double, score double"))
-    return Toxicity(lexicon, trees, base, points)
+            x, half = np.array(batch.column(0).to_pylist(), np.float64).reshape(-1, FEATURES), batch.column(2).to_numpy()
+            scores = np.where(half == 0, margin(grown[0], x), margin(grown[1], x))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(scores)], ["label", "score"])
+
+    judged = cut_lineage(dense.select("x", "label", "half").mapInArrow(outputs, "label double, score double"))
+    points = shrunk(isotonic(judged), judged, base)
+    trees = [(weight / 2, *arrays) for weight, *arrays in [*grown[0], *grown[1]]]
+    return Toxicity(lexicons[-1], trees, base, points)
+
+
+def shrunk(points: tuple[np.ndarray, np.ndarray], judged: DataFrame, base: float) -> tuple[np.ndarray, np.ndarray]:
+    """The calibration with each step drawn towards ``base`` as if SHRINK rows of it were added to those that support the step."""
+    at, value = points
+    # one score per row of the bounded sample
+    scores = np.sort(judged.select("score").toArrow()["score"].to_numpy())
+    supported = np.interp(scores, at, value)
+    steps, counts = np.unique(np.round(supported, 9), return_counts=True)
+    rows = counts[np.searchsorted(steps, np.round(value, 9)).clip(0, len(steps) - 1)]
+    return at, np.maximum.accumulate((value * rows + base * SHRINK) / (rows + SHRINK))
 
 
 def score_toxicity(docs: DataFrame, model: Toxicity, id: str = "doc_id", text: str = "text", reject: float = REJECT) -> DataFrame:
