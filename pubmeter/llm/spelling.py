@@ -8,9 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pubmeter.llm.common import in_small_batches
 from pubmeter.operators.ordering import row_index
 from pubmeter.session import cut_lineage
 
@@ -94,6 +96,7 @@ def near_words(words: DataFrame) -> DataFrame:
     that piece), by 64 bits of hash, and the two short pieces are verified by their edit distance. What meets is close to what is near, however
     many words share a bigram.
     """
+    in_small_batches(words.sparkSession)
     grams = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda place: F.substring("word", place, F.lit(2)))
     slots = F.transform(grams, lambda gram: F.pmod(F.crc32(gram.cast("binary")), F.lit(SLOTS)).cast("int"))
     # at most SLOTS rows, whatever the input
@@ -112,36 +115,67 @@ def near_words(words: DataFrame) -> DataFrame:
     parts = 1 + words.count() // WORDS_PER_TASK
     marked = cut_lineage(words.select("id", "word").repartition(parts).mapInArrow(mark, "id long, word string, places array<int>, first int, second int"))
 
-    both = F.sequence(F.lit(0), F.lit(2 * PIECES - 1))
-    held = marked.select("id", "word", F.explode("places").alias("place"), F.lit(0).alias("more"))
-    held = _cut(held.select("*", F.explode(both).alias("k"))).select("key", F.col("id").alias("holds"), F.col("rest").alias("other"))
-    pair = F.explode(F.array(*(F.struct(F.col(c).alias("place"), F.lit(c).alias("which")) for c in ("first", "second")))).alias("p")
-    asked = marked.select("id", "word", "first", "second", pair).select("*", F.explode(F.array(*map(F.lit, (-1, 0, 1)))).alias("more"))
-    asked = asked.select("id", "word", "first", "second", "p.place", "p.which", "more", F.explode(both).alias("k"))
-    asked = _cut(asked).select("key", F.col("id").alias("asks"), F.col("rest").alias("mine"))
-    met = asked.join(held, "key").where((F.col("asks") != F.col("holds")) & (F.levenshtein("mine", "other", 1) == 1))
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _rows("asks", "mine", ((i, asked(w, a, b)) for i, w, a, b in zip(*(batch.column(c).to_pylist() for c in ("id", "word", "first", "second")))))
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _rows("holds", "other", ((i, held(w, places)) for i, w, places in zip(*(batch.column(c).to_pylist() for c in ("id", "word", "places")))))
+
+    left, right = marked.mapInArrow(ask, "key long, asks long, mine string"), marked.mapInArrow(hold, "key long, holds long, other string")
+    met = left.join(right, "key").where((F.col("asks") != F.col("holds")) & (F.levenshtein("mine", "other", 1) == 1))
     return met.select(F.least("asks", "holds").alias("a"), F.greatest("asks", "holds").alias("b")).distinct()
 
 
-def _cut(rows: DataFrame) -> DataFrame:
-    """``key`` and ``rest`` for each bigram (``place``) and each piece (``k``) of one side of it.
+def _rows(id: str, rest: str, found: Iterator[tuple[int, list[tuple[int, str]]]]) -> pa.RecordBatch:
+    keys, ids, rests = [], [], []
+    for i, cuts in found:
+        for key, piece in cuts:
+            keys.append(key)
+            ids.append(i)
+            rests.append(piece)
+    return pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(ids, pa.int64()), pa.array(rests, pa.string())], ["key", id, rest])
+
+
+def bounds(size: int, length: int, place: int, after: bool) -> Iterator[tuple[int, int]]:
+    """Where, in a word of ``size``, the pieces begin and end into which one side of the bigram at ``place`` of a word of ``length`` is cut.
+
+    The words agree before the piece and behind it. A side without letters has one piece, and others have no empty ones.
+    """
+    wide = length - place - 2 if after else place
+    for j in range(PIECES):
+        low, high = wide * j // PIECES, wide * (j + 1) // PIECES
+        if wide >= 0 and (high > low or wide == j == 0):
+            head = low + (place + 2 if after else 0)
+            end = size - (wide - high) - (0 if after else length - place)
+            if head <= end:
+                yield head, end
+
+
+def cut(word: str, length: int, place: int, after: bool, head: int, end: int) -> tuple[int, str]:
+    """Hash of all that the other word shares, and the piece of ``word`` in which they may differ."""
+    return xxhash.xxh64_intdigest(f"{length}{'>' if after else '<'}{place} {word[:head]} {word[end:]}"), word[head:end]
+
+
+def held(word: str, places: list[int]) -> list[tuple[int, str]]:
+    size = len(word)
+    return [cut(word, size, place, after, *b) for place in places for after in (True, False) for b in bounds(size, size, place, after)]
+
+
+def asked(word: str, first: int, second: int) -> list[tuple[int, str]]:
+    """Keys of the words that are one edit away. A bigram moves with the length if the edit lies before it.
 
-    The word that the key belongs to is longer than ``word`` by ``more``, and its bigram stands ``more`` places later if the edit
-    lies before it. The rest is what ``word`` has in the place of the piece. Of pivots, an edit behind the second one is left to that
-    one, and the second one looks before it only for edits of the first.
+    An edit behind the second pivot is left to that one, and the second one looks before it only for edits of the first.
     """
-    asked = "which" in rows.columns
-    whole = rows.withColumn("size", F.length("word")).withColumn("after", F.col("k") < PIECES).withColumn("piece", F.col("k") % PIECES)
-    sized = whole.withColumn("length", F.col("size") + F.col("more")).withColumn("at", F.expr("if(after, place, place + more)"))
-    wide = sized.withColumn("wide", F.expr("if(after, length - at - 2, at)"))
-    bounds = wide.withColumn("low", F.expr(f"wide * piece div {PIECES}")).withColumn("high", F.expr(f"wide * (piece + 1) div {PIECES}"))
-    ends = bounds.withColumn("head", F.expr("int(low + if(after, at + 2, 0))")).withColumn("end", F.expr("int(size - (wide - high) - if(after, 0, length - at))"))
-    # of a side without letters there is one piece, and others have no empty ones
-    kept = ends.where("wide >= 0 AND head <= end AND (high > low OR wide = 0 AND piece = 0)")
-    if asked:
-        kept = kept.where("CASE WHEN after AND which = 'first' THEN head < second + 2 WHEN NOT after AND which = 'second' THEN head <= first + 1 AND end >= first + 1 ELSE true END")
-    key = F.xxhash64("after", "length", "at", F.expr("substring(word, 1, head)"), F.expr("substring(word, end + 1)"))
-    return kept.select("id", key.alias("key"), F.expr("substring(word, head + 1, end - head)").alias("rest"))
+    size, out = len(word), []
+    for length in (size - 1, size, size + 1):
+        moved = length - size
+        out += [cut(word, length, first, True, head, end) for head, end in bounds(size, length, first, True) if head < second + 2]
+        out += [cut(word, length, second, True, *b) for b in bounds(size, length, second, True)]
+        out += [cut(word, length, first + moved, False, *b) for b in bounds(size, length, first + moved, False)]
+        out += [cut(word, length, second + moved, False, head, end) for head, end in bounds(size, length, second + moved, False) if head <= first + 1 <= end]
+    return out
 
 
 def group_variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
