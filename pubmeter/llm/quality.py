@@ -30,7 +30,7 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 10
 REPEATED_PERCENT = 20
 WINDOW = 5
-# Bytes whose n-grams are hashed together.
+# Bytes whose n-grams are hashed together; longer texts are read in blocks of as many, with the same n-grams.
 BLOCK = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 POWERS = np.cumprod(np.full(64, 0x100000001B3, np.uint64))
@@ -92,46 +92,93 @@ def ngram_buckets(data: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     yield own[:-1][inside], _bucket(pair[inside], 3)
 
 
-def _parts(raw: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """Long texts in parts of at most BLOCK bytes, and the text that each part is of."""
-    parts, owner = [], []
-    for k, x in enumerate(raw):
-        for c in range(0, max(1, len(x)), BLOCK):
-            parts.append(x[c : c + BLOCK])
-            owner.append(k)
-    return parts, np.array(owner)
-
-
-def _blocks(parts: list[bytes]) -> Iterator[slice]:
-    start, size = 0, 0
-    for k, x in enumerate(parts):
-        if size and size + len(x) > BLOCK:
-            yield slice(start, k)
-            start, size = k, 0
+def _lowered(raw: bytes | np.ndarray) -> np.ndarray:
+    """Bytes as 64-bit numbers, A-Z in lower case."""
+    part = np.frombuffer(raw, np.uint8)
+    return (part | ((part >= 65) & (part <= 90)).astype(np.uint8) << 5).astype(np.uint64)
+
+
+def long_ngrams(raw: bytes) -> Iterator[tuple[int, np.ndarray]]:
+    """``family, bucket`` of all n-grams of one long text, read in blocks: the same ones as of the text as a whole.
+
+    Each n-gram of bytes belongs to the block in which it starts. A word that a block cuts goes on in the next one with the sum
+    of its hash so far, and the last word waits for the pair that it begins.
+    """
+    closed = raw + b"\xff"
+    for family, size in enumerate((3, 4)):
+        for k in range(0, len(closed) - size + 1, BLOCK):
+            wide = _lowered(closed[k : k + BLOCK + size - 1])
+            h = wide[: len(wide) - size + 1].copy()
+            for j in range(1, size):
+                h = (h << np.uint64(8)) | wide[j : len(wide) - size + 1 + j]
+            yield family, _bucket(h, family)
+    carried, length, before = np.zeros(1, np.uint64), 0, np.zeros(0, np.uint64)
+    for k in range(0, len(raw), BLOCK):
+        part = np.frombuffer(raw[k : k + BLOCK], np.uint8)
+        low, space = _lowered(part), IS_SPACE[part]
+        # an open word goes on at the first byte, be it a blank that ends it
+        first = np.flatnonzero(~space & np.append(length == 0, space[:-1]))
+        first = np.append(0, first) if length else first
+        if not len(first):
+            continue
+        start = np.zeros(len(part), np.int64)
+        start[first] = first
+        start = np.maximum.accumulate(start)
+        offset = np.where(start == 0, length, 0) if length else 0
+        value = np.where(space, np.uint64(0), (low + np.uint64(1)) * POWERS[(np.arange(len(part)) - start + offset) & 63])
+        words = np.add.reduceat(value, first)
+        if length:
+            words[:1] += carried
+        size = len(part) - int(first[-1]) + (length if len(first) == 1 and length else 0)
+        ends = bool(space[-1])
+        carried, length = words[-1:], 0 if ends else size
+        done = words if ends else words[:-1]
+        yield 2, _bucket(done, 2)
+        chain = np.concatenate([before, done])
+        yield 3, _bucket(chain[:-1] * np.uint64(31) + chain[1:], 3)
+        before = chain[-1:]
+    if length:
+        yield 2, _bucket(carried, 2)
+        yield 3, _bucket(before * np.uint64(31) + carried[: len(before)], 3)
+
+
+def _blocks(data: list[bytes]) -> Iterator[list[int]]:
+    """Places of texts of at most BLOCK bytes, in groups of about as many."""
+    held, size = [], 0
+    for k, x in enumerate(data):
+        if len(x) > BLOCK:
+            continue
+        if held and size + len(x) > BLOCK:
+            yield held
+            held, size = [], 0
+        held.append(k)
         size += len(x) + 1
-    if start < len(parts):
-        yield slice(start, len(parts))
+    if held:
+        yield held
 
 
 def logits(raw: list[bytes], weights: np.ndarray, bias: float) -> np.ndarray:
     """Linear score of each text: in each family the mean weight of its n-grams."""
-    parts, owner = _parts(raw)
     total, number = np.zeros((FAMILIES, len(raw))), np.zeros((FAMILIES, len(raw)))
-    for block in _blocks(parts):
-        for family, (own, bucket) in enumerate(ngram_buckets(parts[block])):
-            at = owner[block][own]
-            total[family] += np.bincount(at, weights[bucket], len(raw))
-            number[family] += np.bincount(at, minlength=len(raw))
+    for held in _blocks(raw):
+        at = np.array(held)
+        for family, (own, bucket) in enumerate(ngram_buckets([raw[k] for k in held])):
+            total[family] += np.bincount(at[own], weights[bucket], len(raw))
+            number[family] += np.bincount(at[own], minlength=len(raw))
+    for k, x in enumerate(raw):
+        if len(x) > BLOCK:
+            for family, bucket in long_ngrams(x):
+                total[family, k] += weights[bucket].sum()
+                number[family, k] += len(bucket)
     return (total / np.maximum(number, 1)).sum(axis=0) + bias
 
 
 def vector(raw: bytes) -> SparseVector:
     """Shares of the buckets within each family: what ``logits`` weighs."""
-    parts, _ = _parts([raw])
     out = np.zeros(FAMILIES * BUCKETS)
-    for block in _blocks(parts):
-        for own, bucket in ngram_buckets(parts[block]):
-            out += np.bincount(bucket, minlength=len(out))
+    found = long_ngrams(raw) if len(raw) > BLOCK else enumerate(b for _, b in ngram_buckets([raw]))
+    for _, bucket in found:
+        out += np.bincount(bucket, minlength=len(out))
     shares = out.reshape(FAMILIES, BUCKETS)
     shares = (shares / np.maximum(shares.sum(axis=1, keepdims=True), 1)).ravel()
     used = np.flatnonzero(shares)

@@ -89,16 +89,17 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    from pubmeter.llm.lines import drop_boilerplate
+    from pubmeter.llm.lines import SHORT, drop_boilerplate
 
-    found = drop_boilerplate(table(spark, folder, "documents"))
+    found = drop_boilerplate(table(spark, folder, "documents"), short=SHORT)
     return found.select("doc_id", F.col("n_lines_removed").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
 
 
 SQL["op7_line_dedup"] = r"""
 WITH l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-b AS (SELECT line, count(DISTINCT source) AS sites, min(struct_pack(d := doc_id, p := pos)) AS first FROM l
-      WHERE regexp_matches(line, '^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){4}[^\x20\x09-\x0D]') GROUP BY line HAVING count(DISTINCT source) >= 5),
+w AS (SELECT greatest(5, ceil(0.9 * count(DISTINCT source))) AS most FROM documents),
+b AS (SELECT line, count(DISTINCT source) AS sites, min(struct_pack(d := doc_id, p := pos)) AS first FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line
+      HAVING count(DISTINCT source) >= CASE WHEN regexp_matches(line, '^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){4}[^\x20\x09-\x0D]') THEN 5 ELSE (SELECT most FROM w) END),
 k AS (SELECT l.doc_id, l.line, l.pos, b.line IS NOT NULL AND (l.doc_id <> b.first.d OR l.pos <> b.first.p) AS gone FROM l LEFT JOIN b ON l.line = b.line),
 r AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS x FROM k GROUP BY doc_id)
 SELECT doc_id, n_removed, sha256(x) AS text_sha256 FROM r

@@ -174,8 +174,9 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
         for table in _whole_heads(batches):
             key, low, lead, head, n = (table.column(c).to_numpy() for c in ("key", "low", "lead", "head", "n"))
             row, window, own = window_hashes(table.column("bytes").to_pylist(), lead, head, length)
-            order = np.argsort(own, kind="stable")
-            same = own[order][1:] == own[order][:-1]
+            of = head[row]
+            order = np.lexsort((own, of))
+            same = (own[order][1:] == own[order][:-1]) & (of[order][1:] == of[order][:-1])
             twice = np.zeros(len(own), bool)
             twice[order[1:][same]] = True
             twice[order[:-1][same]] = True
@@ -188,19 +189,20 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
         for table in _gathered(batches, LOCAL // length):
             key, low, lead, head, n = (table.column(c).to_numpy() for c in ("key", "low", "lead", "head", "n"))
             row, window, own = window_hashes(table.column("bytes").to_pylist(), lead, head, length)
-            order = np.argsort(own, kind="stable")
-            new = np.append(True, own[order][1:] != own[order][:-1])
+            of = head[row]
+            order = np.lexsort((own, of))
+            new = np.append(True, (own[order][1:] != own[order][:-1]) | (of[order][1:] != of[order][:-1]))
             size = np.diff(np.append(np.flatnonzero(new), len(own)))
             twice = np.zeros(len(own), bool)
             twice[order] = np.repeat(size > 1, size)
             # what repeats here is settled; of each window one row goes on, with the number of its places
-            yield _dealt(_runs(key, low, row, window, twice & (n[row] == 1)), None, None)
+            yield _dealt(_runs(key, low, row, window, twice & (n[row] == 1)), None, None, None)
             first = order[new]
             at = low[row[first]] + window[first]
             known = (size > 1) | (n[row[first]] > 1)
-            yield _dealt(pa.RecordBatch.from_arrays([pa.array(key[row[first]]), pa.array(at), pa.array(at)], ["key", "low", "high"]), own[first], known)
+            yield _dealt(pa.RecordBatch.from_arrays([pa.array(key[row[first]]), pa.array(at), pa.array(at)], ["key", "low", "high"]), of[first], own[first], known)
 
-    kind_of_row = "key long, low long, high long, window long, known boolean"
+    kind_of_row = "key long, low long, high long, head long, window long, known boolean"
     spread = cut_lineage(ends.where(F.col("kinds") > together).mapInArrow(windows, kind_of_row))
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,9 +212,9 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
                 continue
             batch = pa.RecordBatch.from_arrays(batch.columns, batch.schema.names)
             table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
-            own = table.column("window").to_numpy()
+            own, of = table.column("window").to_numpy(), table.column("head").to_numpy()
             known = table.column("known").to_numpy(zero_copy_only=False)
-            equal = own[1:] == own[:-1]
+            equal = (own[1:] == own[:-1]) & (of[1:] == of[:-1])
             met = np.append(False, equal) | np.append(equal, False)
             # the last row waits for its right neighbour, and remembers its left one
             wanted = met & ~known
@@ -222,9 +224,9 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
             held = table.slice(len(own) - 1)
             if left and not known[-1]:
                 yield held.select(["key", "low", "high"])
-                held = pa.RecordBatch.from_arrays([*held.columns[:4], pa.array([True])], held.schema.names)
+                held = pa.RecordBatch.from_arrays([*held.columns[:5], pa.array([True])], held.schema.names)
 
-    sorted_windows = spread.where("window IS NOT NULL").repartition("window").sortWithinPartitions("window")
+    sorted_windows = spread.where("window IS NOT NULL").repartition("head", "window").sortWithinPartitions("head", "window")
     far = spread.where("window IS NULL").select("key", "low", "high").unionByName(sorted_windows.mapInArrow(neighbours, "key long, low long, high long"))
 
     runs = settled.unionByName(near).unionByName(far).groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
@@ -318,10 +320,10 @@ def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
-def _dealt(runs: pa.RecordBatch, window: np.ndarray | None, known: np.ndarray | None) -> pa.RecordBatch:
+def _dealt(runs: pa.RecordBatch, head: np.ndarray | None, window: np.ndarray | None, known: np.ndarray | None) -> pa.RecordBatch:
     n = runs.num_rows
-    extra = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())] if window is None else [pa.array(window), pa.array(known)]
-    return pa.RecordBatch.from_arrays([*runs.columns, *extra], ["key", "low", "high", "window", "known"])
+    extra = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())] if window is None else [pa.array(head), pa.array(window), pa.array(known)]
+    return pa.RecordBatch.from_arrays([*runs.columns, *extra], ["key", "low", "high", "head", "window", "known"])
 
 
 def _runs(key: np.ndarray, low: np.ndarray, row: np.ndarray, window: np.ndarray, wanted: np.ndarray) -> pa.RecordBatch:

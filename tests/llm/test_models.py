@@ -94,6 +94,17 @@ def test_quality_is_alike_in_blocks_and_alone(monkeypatch):
     assert np.allclose(together, [quality.vector(x).dot(weights) + 0.5 for x in data])
 
 
+@pytest.mark.parametrize("block", [5, 37, 64, 1000])
+def test_quality_does_not_depend_on_the_block(monkeypatch, block):
+    rng = np.random.default_rng(4)
+    data = [bytes(rng.choice(list(b"abcABC \n\t"), n)) for n in (3, 36, 37, 38, 100, 700)] + [b"x" * 300, b" " * 90, b"a " * 60, b" " * 37 + b"end", b"word" * 9 + b" " + b"next" * 20]
+    weights = rng.normal(size=quality.FAMILIES * quality.BUCKETS)
+    whole, vectors = quality.logits(data, weights, 0.5), [quality.vector(x) for x in data]
+    monkeypatch.setattr(quality, "BLOCK", block)
+    assert np.allclose(quality.logits(data, weights, 0.5), whole)
+    assert all(np.allclose(quality.vector(x).toArray(), v.toArray()) for x, v in zip(data, vectors))
+
+
 def test_quality_without_labels(odd):
     model = quality.fit(odd, odd.select("doc_id", F.lit(None).cast("int").alias("quality")))
     assert all(r["kept"] is not r["base_failed"] for r in quality.judge(odd, model).collect())
