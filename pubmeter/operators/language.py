@@ -17,23 +17,24 @@ SCALE = 1_000_000
 HELD_BYTES = 64 << 20
 
 
-def letter_triples(text: Column) -> Column:
-    """All triples of neighbouring letters of the lower-cased words, each word padded by one blank."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
-    return F.flatten(F.transform(words, _word_triples))
+def words_of(df: DataFrame, text: str, *keep: Column) -> DataFrame:
+    """``keep`` columns and ``word``, one row per run of letters of the lower-cased text."""
+    return each(df, F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+"), F.lit(0)), "word", *keep)
 
 
-def _word_triples(word: Column) -> Column:
-    padded = F.concat(F.lit(" "), word, F.lit(" "))
-    starts = F.sequence(F.lit(1), F.char_length(padded) - 2)
-    return F.transform(starts, lambda i: F.substring(padded, i, 3))
+def triples_of(words: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` columns and ``triple``: all triples of neighbouring letters of each ``word``, padded by one blank on either side."""
+    padded = words.select(*keep, F.concat(F.lit(" "), "word", F.lit(" ")).alias("_padded"), F.char_length("word").alias("_size"))
+    placed = padded.select(*keep, "_padded", F.explode(F.sequence(F.lit(1), "_size")).alias("_at"))
+    return placed.select(*keep, F.expr("substring(_padded, _at, 3)").alias("triple"))
 
 
 def language_profile(labelled: DataFrame, text: str, language: str) -> DataFrame:
     """``language, triple, logp``: smoothed log probabilities of every triple in every language. Rows without label teach nothing."""
     known = labelled.where(F.col(language).isNotNull())
-    triples = each(known, letter_triples(F.col(text)), "triple", F.col(language).alias("language"))
-    counts = cut_lineage(triples.groupBy("language", "triple").agg(F.count(F.lit(1)).alias("n")))
+    # different words are few beside all words
+    words = words_of(known, text, F.col(language).alias("language")).groupBy("language", "word").agg(F.count(F.lit(1)).alias("_c"))
+    counts = cut_lineage(triples_of(words, "language", "_c").groupBy("language", "triple").agg(F.sum("_c").alias("n")))
     features = counts.select("triple").distinct()
     number = features.agg(F.count(F.lit(1)).alias("n")).scalar()
     totals = counts.groupBy("language").agg(F.sum("n").alias("total"))
@@ -63,7 +64,7 @@ def identify_language(df: DataFrame, id: str, text: str, profile: DataFrame, hel
         return df.select(id, F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("score"))
     values = F.transform(F.sort_array(F.collect_list(F.struct("language", "logp"))), lambda v: v["logp"])
     dense = cut_lineage(profile.groupBy("triple").agg(values.alias("v")))
-    triples = each(df, letter_triples(F.col(text)), "triple", F.col(id).alias("_id"))
+    triples = triples_of(words_of(df, text, F.col(id).alias("_id")), "_id")
     if dense.count() * (8 * len(languages) + 32) <= held_bytes:
         met, times = triples.join(F.broadcast(dense), "triple"), F.lit(1).cast("bigint")
     else:

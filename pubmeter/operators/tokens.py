@@ -31,8 +31,8 @@ reviewer resumen introducción método resultados discusión conclusión agradec
 introduction method results discussion conclusion acknowledgements references corrects erratum corrigendum pp isbn
 press book london cambridge edited advertisement org cacm collabratec interests revista maple resúmenes reseña
 artigo resumo partir palavras trabalho estudo análise conclusões referências catalog online presenta economía
-artículo artikkelen artiklen journal blog http acm vol cet cette article dx 3329 4038 dermatol br 185 我们发现 cadi
-articles week papers note scipost submission journals contiene resúmen instructions publishing reply replies comment
+artículo artikkelen artiklen journal http acm blog vol cet cette article dx 3329 4038 dermatol br 185 我们发现 cadi
+articles week papers note scipost submission journals contiene resúmen instructions publishing reply comment replies
 chez cas étude traitement résultats travail être prise après cover image 1002 ressenya paraules clau resum estudi
 incluyeron número clave palabras zusammenfassung
 """.split()

@@ -161,6 +161,7 @@ def quadrant_classes(topics: DataFrame, group_share: DataFrame, other_share: Dat
     group_share, other_share = cut_lineage(group_share), cut_lineage(other_share)
     mid_w = mean_threshold(group_share, "Women", "n")
     mid_p = mean_threshold(other_share, "p", "n")
+    # fixed values: names of the classes
     labels = (
         f"1. High women authorship - High {what}",
         f"2. High women authorship - Low {what}",
