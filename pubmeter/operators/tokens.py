@@ -14,6 +14,7 @@ from pubmeter.functions.text import each, tokens
 from pubmeter.functions.vectors import cosine
 from pubmeter.operators.neighbours import nearest
 from pubmeter.operators.ordering import first_rows
+from pubmeter.session import cut_lineage
 
 # Languages whose common words are dropped, as named by Spark.
 STOP_LANGUAGES = (
@@ -79,7 +80,8 @@ def class_tfidf(
 
     A is the whole part of the mean number of kept terms per topic and f the total count of the term.
     """
-    kept = counts.join(vocabulary(counts, topic, min_df, max_df), "term")
+    # read three times: for the sizes, their mean and the weights
+    kept = cut_lineage(counts.join(vocabulary(counts, topic, min_df, max_df), "term").select(topic, "term", "n", "f"))
     sizes = kept.groupBy(topic).agg(F.sum("n").alias("_size"))
     average = sizes.agg(F.floor(F.avg("_size")).alias("a")).scalar()
     weight = F.col("n") / F.col("_size") * F.log1p(average / F.col("f"))
