@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pubmeter.llm.common import in_small_batches, texts
+from pubmeter.llm.common import in_small_batches, keyed
 from pubmeter.session import cut_lineage
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -88,37 +88,36 @@ def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", primes:
     stays). A missing text counts as empty. An empty table gives an empty result; other columns are ignored.
     """
     in_small_batches(docs.sparkSession)
-    source = texts(docs, id, text).toDF("id", "text")
-    key = source.schema["id"].dataType
+    # the number of a row tells apart rows that repeat an id
+    source = keyed(docs, id, F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [normal(t) for t in batch.column(1).to_pylist()]
+            data = [normal(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(fingerprints(data, primes), pa.int64()), pa.array([len(x) for x in data], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in data])],
-                ["id", "print", "n", "sha"],
+                [batch.column(0), batch.column(1), pa.array(fingerprints(data, primes), pa.int64()), pa.array([len(x) for x in data], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in data])],
+                ["key", "id", "print", "n", "sha"],
             )
 
-    marked = source.mapInArrow(mark, T.StructType([T.StructField("id", key), T.StructField("print", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sha", T.StringType())]))
-    # rank puts a missing id last; number tells apart rows that repeat an id
-    marks = cut_lineage(marked.withColumn("number", F.monotonically_increasing_id()).withColumn("rank", F.struct(F.col("id").isNull().alias("none"), "id", "number")))
+    long = T.LongType()
+    fields = [("key", long), ("id", source.schema["id"].dataType), ("print", long), ("n", long), ("sha", T.StringType())]
+    marked = source.mapInArrow(mark, T.StructType([T.StructField(n, t) for n, t in fields]))
+    # rank puts a missing id last
+    marks = cut_lineage(marked.withColumn("rank", F.struct(F.col("id").isNull().alias("none"), "id", "key")))
     group = ["print", "n", "round"]
     open_marks, done, turn = marks.withColumn("round", F.lit(0)), None, 0
     while True:
         groups = open_marks.groupBy(*group).agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("size"))
         placed = cut_lineage(open_marks.join(groups, group))
-        members = placed.where("size > 1").select("id", "print", "n", "first", "size").distinct()
-        unequal = _compare(source, members, primes, spread)
-        bad = cut_lineage(unequal)
+        members = placed.where("size > 1").select("key", "print", "n", "first", "size")
+        bad = cut_lineage(_compare(source, members, spread))
         if bad.isEmpty():
             settled = placed
             open_marks = None
         else:
-            same = (F.col("print") == F.col("b_print")) & (F.col("n") == F.col("b_n")) & F.col("rank.id").eqNullSafe(F.col("b_id"))
-            renamed = bad.toDF("b_id", "b_print", "b_n")
             turn += 1
-            open_marks = placed.join(renamed, same, "left_semi").select(*marks.columns, F.lit(turn).alias("round"))
-            settled = placed.join(renamed, same, "left_anti")
+            open_marks = placed.join(bad, "key", "left_semi").select(*marks.columns, F.lit(turn).alias("round"))
+            settled = placed.join(bad, "key", "left_anti")
         done = settled if done is None else done.unionByName(settled)
         if open_marks is None:
             break
@@ -127,34 +126,27 @@ def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", primes:
         done = done.drop("size").join(sizes, group)
     return done.select(
         F.col("id").alias(id), F.col("first.id").alias("keep_id"), F.col("size").alias("group_size"),
-        (F.col("number") == F.col("first.number")).alias("kept"), F.col("sha").alias("text_sha256"),
+        (F.col("key") == F.col("first.key")).alias("kept"), F.col("sha").alias("text_sha256"),
     )
 
 
-def _compare(source: DataFrame, members: DataFrame, primes: tuple[int, int], spread: int) -> DataFrame:
-    """``id, print, n`` of the rows whose text is not that of the first row of their group."""
-    key = source.schema["id"].dataType
+def _compare(source: DataFrame, members: DataFrame, spread: int) -> DataFrame:
+    """``key`` of the rows whose text is not that of the first row of their group."""
     # The first row goes to each of the tasks that share its group.
     tasks = F.floor((F.col("size") - 1) / spread) + 1
-    wanted = members.select(
-        F.col("id").alias("m_id"), F.col("print").alias("m_print"), F.col("n").alias("m_n"), F.col("first.id").eqNullSafe(F.col("id")).alias("is_first"), tasks.alias("tasks"),
-    )
-    read = source.join(wanted, F.col("id").eqNullSafe(F.col("m_id")))
+    wanted = members.select("key", "print", "n", (F.col("first.key") == F.col("key")).alias("is_first"), tasks.alias("tasks"))
+    read = source.select("key", "text").join(wanted, "key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "print", "n", "is_first", "tasks", "chunk", "bytes"]
+        names = ["key", "print", "n", "is_first", "tasks", "chunk", "bytes"]
         for batch in batches:
             rows = batch.to_pydict()
-            data = [normal(t) for t in rows["text"]]
-            own = fingerprints(data, primes)
             out: list[list] = [[] for _ in names]
             size = 0
-            for k, x in enumerate(data):
-                # an id may stand for several texts: only those of this group count
-                if own[k] != rows["m_print"][k] or len(x) != rows["m_n"][k]:
-                    continue
+            for k, whole in enumerate(rows["text"]):
+                x = normal(whole)
                 for c in range(0, max(1, len(x)), COMPARED):
-                    for column, value in zip(out, (rows["id"][k], own[k], len(x), rows["is_first"][k], rows["tasks"][k], c // COMPARED, x[c : c + COMPARED])):
+                    for column, value in zip(out, (*(rows[name][k] for name in names[:5]), c // COMPARED, x[c : c + COMPARED])):
                         column.append(value)
                     size += COMPARED
                     if size > 1 << 25:
@@ -162,26 +154,23 @@ def _compare(source: DataFrame, members: DataFrame, primes: tuple[int, int], spr
                         out, size = [[] for _ in names], 0
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, arrow)], names)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    arrow = [to_arrow_type(key), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
-    kind = T.StructType([T.StructField("id", key), T.StructField("print", T.LongType()), T.StructField("n", T.LongType()), T.StructField("is_first", T.BooleanType()), T.StructField("tasks", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("bytes", T.BinaryType())])
-    chunks = read.select("id", "text", "m_print", "m_n", "is_first", "tasks").mapInArrow(cut, kind)
-    share = F.when(F.col("is_first"), F.sequence(F.lit(0), F.col("tasks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("tasks"))))
+    arrow = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+    kind = "key long, print long, n long, is_first boolean, tasks long, chunk long, bytes binary"
+    chunks = read.select("key", "text", "print", "n", "is_first", "tasks").mapInArrow(cut, kind)
+    share = F.when(F.col("is_first"), F.sequence(F.lit(0), F.col("tasks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("tasks"))))
     dealt = chunks.withColumn("share", F.explode(share))
     streamed = dealt.repartition("print", "n", "share", "chunk").sortWithinPartitions("print", "n", "share", "chunk", F.desc("is_first"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, held = None, None
         for batch in batches:
-            ids, prints, ns, firsts, shares, numbers, data = (batch.column(c) for c in ("id", "print", "n", "is_first", "share", "chunk", "bytes"))
+            prints, ns, shares, numbers, data = (batch.column(c) for c in ("print", "n", "share", "chunk", "bytes"))
             wrong = []
             for k, now in enumerate(zip(prints.to_pylist(), ns.to_pylist(), shares.to_pylist(), numbers.to_pylist())):
                 if now != place:
                     place, held = now, data[k].as_buffer().to_pybytes()
                 elif data[k].as_buffer() != pa.py_buffer(held):
                     wrong.append(k)
-            picked = batch.select(["id", "print", "n"])
-            yield picked.take(pa.array(wrong, pa.int64()))
+            yield batch.select(["key"]).take(pa.array(wrong, pa.int64()))
 
-    return streamed.mapInArrow(compare, T.StructType(kind.fields[:3])).distinct()
+    return streamed.mapInArrow(compare, "key long").distinct()

@@ -113,3 +113,20 @@ def test_collisions_among_many_texts(spark):
     found = deduplicate(docs, primes=(5, 3), spread=3).collect()
     assert {r["doc_id"]: r["keep_id"] for r in found} == {k: k % 23 for k in range(200)}
     assert all(r["group_size"] == len(range(r["keep_id"], 200, 23)) for r in found)
+
+
+def test_many_rows_without_an_id_meet_their_group_once(spark, monkeypatch):
+    """Two thousand missing ids in two hundred groups: as many rows are compared, not one for each group and row."""
+    from pubmeter.llm import exact
+
+    rows = [(None, f"text of the group {i % 200}") for i in range(2_000)]
+    seen, compare = [], exact._compare
+
+    def watched(source, members, spread):
+        seen.append(source.join(members.select("key"), "key").count())
+        return compare(source, members, spread)
+
+    monkeypatch.setattr(exact, "_compare", watched)
+    found = exact.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert seen == [2_000]
+    assert len(found) == 2_000 and sum(r["kept"] for r in found) == 200 and {(r["keep_id"], r["group_size"]) for r in found} == {(None, 10)}
