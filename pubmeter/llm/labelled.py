@@ -40,4 +40,5 @@ def training_texts(docs: DataFrame, text: str, label: str, rows: int) -> DataFra
     place = F.xxhash64("text", "label").alias("place")
     ranked = known.select("label", place).distinct().withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("place")))
     last = ranked.where(F.col("rank") <= rows).groupBy("label").agg(F.max("place").alias("last"))
-    return known.join(last, "label").where(F.xxhash64("text", "label") <= F.col("last")).dropDuplicates(["text", "label"]).select("text", "label")
+    # one number per label, for a model that holds thousands for each
+    return known.join(F.broadcast(last), "label").where(F.xxhash64("text", "label") <= F.col("last")).dropDuplicates(["text", "label"]).select("text", "label")
