@@ -1,14 +1,18 @@
 """Exact nearest neighbours and similarity graphs over blocks of vectors.
 
-Both sides are cut into hash blocks of about ``BLOCK`` rows and Spark sends each pair of blocks to one task,
-where a matrix product compares them. A task returns the best ``k`` rows per vector, or the edges of a
-spanning forest: never all pairs. Memory per task depends on the block only. The work is quadratic within
-a group ``by``; study corpora are cut into row partitions first, which makes it linear in their number, and
+Both sides are cut into hash blocks and Spark sends each pair of blocks to one task, which compares ``BLOCK`` rows of one with as
+many of the other at a time by a matrix product. A task returns the best ``k`` rows per vector, or the edges of a
+spanning forest: never all pairs. A side is cut into at most ``PIECES`` blocks as long as these have no more than ``LARGEST`` times ``BLOCK`` rows,
+so what is shuffled grows with the rows and not with their square; beyond that a row is copied once per block of that size. Memory per task depends
+on the largest block only. The comparisons are quadratic within
+a group ``by``; study corpora are cut into row partitions first, which makes them linear in their number, and
 ``pubmeter.operators.buckets`` compares within buckets of hyperplanes only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,6 +21,9 @@ from pyspark.sql import functions as F
 from pubmeter.operators.ordering import first_rows
 
 BLOCK = 1024
+# Blocks of a side that is not too large for them, and sizes of ``BLOCK`` that a block may have.
+PIECES = 16
+LARGEST = 32
 # Distances are rounded so that the order of a sum cannot change which neighbour is nearer.
 DIGITS = 9
 
@@ -37,12 +44,12 @@ def nearest(
     Ties go to the smaller id.
     """
     one, other = _counted(_keyed(left, id, vec, by), _keyed(right, id, vec, by), block)
-    found = best_in_cells(one, other, k, metric, skip_same_id)
+    found = best_in_cells(one, other, k, metric, skip_same_id, block)
     ranked = first_rows(found, ["_by", "id"], [F.asc("distance"), F.asc("neighbour")], k, "rank")
     return ranked.withColumnRenamed("_by", by) if by else ranked.drop("_by")
 
 
-def best_in_cells(one: DataFrame, other: DataFrame, k: int, metric: str, skip_same_id: bool) -> DataFrame:
+def best_in_cells(one: DataFrame, other: DataFrame, k: int, metric: str, skip_same_id: bool, block: int = BLOCK) -> DataFrame:
     """``_by, id, neighbour, distance``: of each pair of blocks of a group the ``k`` nearest rows of each left row.
 
     Both sides are ``_by, id, vec`` with the numbers ``_nl`` and ``_nr`` of blocks of their group on either side.
@@ -54,20 +61,30 @@ def best_in_cells(one: DataFrame, other: DataFrame, k: int, metric: str, skip_sa
         if one.empty or other.empty:
             return pd.DataFrame({"_by": [], "id": [], "neighbour": [], "distance": []})
         other = other.sort_values("id", kind="stable")
-        d = _distances(one["vec"], other["vec"], metric)
-        if skip_same_id:
-            d[one["id"].to_numpy()[:, None] == other["id"].to_numpy()[None, :]] = np.inf
-        pick = _smallest(d, min(k, d.shape[1]))
-        rows = np.repeat(np.arange(len(one)), pick.shape[1])
-        cols = pick.ravel()
-        keep = np.isfinite(d[rows, cols])
-        rows, cols = rows[keep], cols[keep]
+        left, right = np.stack(one["vec"].to_numpy()), np.stack(other["vec"].to_numpy())
+        rows, cols, distances = [], [], []
+        for part in _slices(len(left), block):
+            held = (np.array([], dtype=int), np.array([], dtype=int), np.array([]))
+            edge = np.full(part.stop - part.start, np.inf)
+            for piece in _slices(len(right), block):
+                d = _exact_distances(left[part], right[piece], metric)
+                if skip_same_id:
+                    _drop_same(d, one["id"].iloc[part], other["id"].iloc[piece])
+                found = _closer(d, edge, k)
+                if found[0].size:
+                    # equal distances keep their order, and smaller ids come first
+                    held = _first_of_rows(*(np.concatenate([old, new]) for old, new in zip(held, (found[0], found[1] + piece.start, found[2]))), k)
+                    count = np.bincount(held[0], minlength=len(edge))
+                    last = np.cumsum(count) - 1
+                    edge = np.where(count == k, held[2][np.maximum(last, 0)], np.inf)
+            for to, values in zip((rows, cols, distances), (held[0] + part.start, held[1], held[2])):
+                to.append(values)
         return pd.DataFrame(
             {
                 "_by": key[0],
-                "id": one["id"].to_numpy()[rows],
-                "neighbour": other["id"].to_numpy()[cols],
-                "distance": d[rows, cols],
+                "id": one["id"].to_numpy()[np.concatenate(rows)],
+                "neighbour": other["id"].to_numpy()[np.concatenate(cols)],
+                "distance": np.concatenate(distances),
             }
         )
 
@@ -86,7 +103,7 @@ def similarity_forest(
 ) -> DataFrame:
     """Edges ``a, b`` with the same connected components as the graph of all pairs within ``radius``.
 
-    Each pair of blocks contributes a spanning forest, so it returns fewer edges than it has rows.
+    Each pair of blocks contributes a spanning forest, grown from slice to slice, so it returns fewer edges than it has rows.
     """
     id_type = dict(df.dtypes)[id]
     one, other = _cells(*_counted(_keyed(df, id, vec, by), _keyed(df, id, vec, by), block), half=True)
@@ -94,7 +111,18 @@ def similarity_forest(
     def forest(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"a": [], "b": []})
-        i, j = spanning_forest(_distances(left["vec"], right["vec"], metric) <= radius)
+        a, b = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
+        # the component of every row of both sides, as far as it is known
+        label = np.arange(len(a) + len(b))
+        edges: list[tuple[int, int]] = []
+        for part in _slices(len(a), block):
+            for piece in _slices(len(b), block):
+                columns = slice(len(a) + piece.start, len(a) + piece.stop)
+                linked = (_distances(a[part], b[piece], metric) <= radius) & (label[part][:, None] != label[columns][None, :])
+                if linked.any():
+                    joined = [(part.start + i, piece.start + j) for i, j in zip(*(x.tolist() for x in spanning_forest(linked)))]
+                    edges += _joining(label, joined, len(a))
+        i, j = np.array(edges, dtype=int).reshape(-1, 2).T
         return pd.DataFrame({"a": left["id"].to_numpy()[i], "b": right["id"].to_numpy()[j]})
 
     edges = one.cogroup(other).applyInPandas(forest, f"a {id_type}, b {id_type}")
@@ -109,9 +137,15 @@ def pairs_within(df: DataFrame, radius: float, id: str = "id", vec: str = "vec",
     def close(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"a": [], "b": [], "distance": []})
-        d = _distances(left["vec"], right["vec"], metric)
-        i, j = np.nonzero(d <= radius)
-        found = pd.DataFrame({"a": left["id"].to_numpy()[i], "b": right["id"].to_numpy()[j], "distance": d[i, j]})
+        a, b = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
+        parts = []
+        for part in _slices(len(a), block):
+            for piece in _slices(len(b), block):
+                d = _distances(a[part], b[piece], metric)
+                i, j = np.nonzero(d <= radius)
+                parts.append((i + part.start, j + piece.start, d[i, j]))
+        i, j, d = (np.concatenate(x) for x in zip(*parts))
+        found = pd.DataFrame({"a": left["id"].to_numpy()[i], "b": right["id"].to_numpy()[j], "distance": d})
         if key[1] == key[2]:
             return found[found["a"] < found["b"]]
         turned = found["a"] > found["b"]
@@ -148,9 +182,74 @@ def spanning_forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
+def _slices(rows: int, block: int) -> Iterator[slice]:
+    return (slice(start, min(start + block, rows)) for start in range(0, rows, block))
+
+
+def _drop_same(d: np.ndarray, left: pd.Series, right: pd.Series) -> None:
+    """Distances between rows of one id become infinite."""
+    shared = np.flatnonzero(left.isin(right).to_numpy())
+    if shared.size:
+        d[shared] = np.where(left.to_numpy()[shared][:, None] == right.to_numpy()[None, :], np.inf, d[shared])
+
+
+def _closer(d: np.ndarray, edge: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and rounded distances below the ``edge`` of their row, or the ``k`` smallest of each row where there is none yet."""
+    if np.isinf(edge).any():
+        d = np.round(d, DIGITS)
+        pick = _smallest(d, min(k, d.shape[1]))
+        rows, cols = np.repeat(np.arange(len(d)), pick.shape[1]), pick.ravel()
+    else:
+        # an edge is a rounded distance, so what does not lie below it does not when rounded
+        rows, cols = np.nonzero(d < edge[:, None])
+    found = np.round(d[rows, cols], DIGITS)
+    keep = np.isfinite(found) & (found < edge[rows])
+    return rows[keep], cols[keep], found[keep]
+
+
+def _first_of_rows(rows: np.ndarray, cols: np.ndarray, distances: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` entries of each row with the smallest distance, ties to the smaller column, in that order."""
+    order = np.lexsort((cols, distances, rows))
+    rows, cols, distances = rows[order], cols[order], distances[order]
+    starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+    place = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
+    keep = place < k
+    return rows[keep], cols[keep], distances[keep]
+
+
+def _joining(label: np.ndarray, edges: list[tuple[int, int]], shift: int) -> list[tuple[int, int]]:
+    """Those of the edges that join two components, one after another; ``label`` is brought up to date. Columns follow ``shift`` rows."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while x in root:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    kept = []
+    for i, j in edges:
+        one, other = find(int(label[i])), find(int(label[shift + j]))
+        if one != other:
+            root[max(one, other)] = min(one, other)
+            kept.append((i, j))
+    moved = np.fromiter(root, dtype=label.dtype, count=len(root))
+    to = np.arange(len(label))
+    to[moved] = [find(int(x)) for x in moved]
+    label[:] = to[label]
+    return kept
+
+
 def _counted(one: DataFrame, other: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides with the numbers of blocks of their group on the left and on the right."""
-    counts = _block_counts(one, "_nl", block).join(_block_counts(other, "_nr", block), "_by")
+    """Both sides with the numbers of blocks of their group on the left and on the right.
+
+    The pairs of blocks of a group are limited to ``PIECES`` times ``PIECES``, unless blocks get too large.
+    """
+    rows = _row_counts(one, "_l").join(_row_counts(other, "_r"), "_by")
+    least = lambda c, size: F.ceil(F.col(c) / size)
+    most = lambda c: F.greatest(F.lit(PIECES), F.floor(PIECES * PIECES / least(c, block)))
+    pieces = lambda c, facing: F.greatest(F.least(least(c, block), most(facing)), least(c, LARGEST * block)).cast("int")
+    counts = rows.select("_by", pieces("_l", "_r").alias("_nl"), pieces("_r", "_l").alias("_nr"))
     # one row per group, which the optimizer broadcasts where it is small enough
     return one.join(counts, "_by"), other.join(counts, "_by")
 
@@ -169,10 +268,18 @@ def lightest_bridges(df: DataFrame, metric: str, block: int = BLOCK) -> DataFram
         if left.empty or right.empty:
             return pd.DataFrame({n: [] for n in names})
         left, right = left.sort_values("id"), right.sort_values("id")
-        w = np.maximum(_distances(left["vec"], right["vec"], metric), np.maximum(left["core"].to_numpy()[:, None], right["core"].to_numpy()[None, :]))
-        w[left["component"].to_numpy()[:, None] == right["component"].to_numpy()[None, :]] = np.inf
-        j = w.argmin(axis=1)
-        columns = (left["component"].to_numpy(), w[np.arange(len(left)), j], left["id"].to_numpy(), right["id"].to_numpy()[j], right["component"].to_numpy()[j])
+        a, b = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
+        core, far, own, others = left["core"].to_numpy(), right["core"].to_numpy(), left["component"].to_numpy(), right["component"].to_numpy()
+        weight, j = np.full(len(a), np.inf), np.zeros(len(a), dtype=int)
+        for part in _slices(len(a), block):
+            for piece in _slices(len(b), block):
+                w = np.maximum(_distances(a[part], b[piece], metric), np.maximum(core[part][:, None], far[piece][None, :]))
+                w[own[part][:, None] == others[piece][None, :]] = np.inf
+                nearest_of = w.argmin(axis=1)
+                least = w[np.arange(len(w)), nearest_of]
+                better = least < weight[part]
+                weight[part], j[part] = np.where(better, least, weight[part]), np.where(better, nearest_of + piece.start, j[part])
+        columns = (own, weight, left["id"].to_numpy(), right["id"].to_numpy()[j], others[j])
         found = pd.DataFrame(dict(zip(names, columns)))
         return found[np.isfinite(found["w"])].sort_values(["w", "a", "b"]).drop_duplicates("component")
 
@@ -193,22 +300,27 @@ def _keyed(df: DataFrame, id: str, vec: str, by: str | None) -> DataFrame:
     return df.select((F.col(by) if by else F.lit(0)).alias("_by"), F.col(id).alias("id"), F.col(vec).alias("vec"))
 
 
-def _block_counts(df: DataFrame, name: str, block: int) -> DataFrame:
-    return df.groupBy("_by").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+def _row_counts(df: DataFrame, name: str) -> DataFrame:
+    return df.groupBy("_by").agg(F.count(F.lit(1)).alias(name))
 
 
 def _block_of(count: str) -> Column:
     return F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
 
 
-def _distances(left: pd.Series, right: pd.Series, metric: str) -> np.ndarray:
-    a, b = np.stack(left.to_numpy()).astype(np.float64), np.stack(right.to_numpy()).astype(np.float64)
+def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    return np.round(_exact_distances(a, b, metric), DIGITS)
+
+
+def _exact_distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Distances before they are rounded."""
+    a, b = a.astype(np.float64), b.astype(np.float64)
     if metric == "euclidean":
         squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-        return np.round(np.sqrt(np.maximum(squares, 0.0)), DIGITS)
+        return np.sqrt(np.maximum(squares, 0.0))
     if metric != "cosine":
         raise ValueError(f"unknown metric {metric}")
-    return np.round(1.0 - _unit_rows(a) @ _unit_rows(b).T, DIGITS)
+    return 1.0 - _unit_rows(a) @ _unit_rows(b).T
 
 
 def _unit_rows(m: np.ndarray) -> np.ndarray:
