@@ -91,7 +91,7 @@ def write_row_partitions(df: DataFrame, path: str, order: str, size: int = 500_0
 
 def row_partitions(df: DataFrame, order: str, size: int = 500_000) -> DataFrame:
     """``df`` with its 1-based partition number in ``part``."""
-    indexed = row_index(df, order, "_row")
+    indexed = row_index(df, order, "_row", wide=True)
     return indexed.withColumn("part", F.expr(f"cast(_row div {int(size)} + 1 as int)")).drop("_row")
 
 
