@@ -81,8 +81,9 @@ def inferred_share(inference: DataFrame) -> DataFrame:
 def gender_fractions(pubs: DataFrame, inference: DataFrame) -> DataFrame:
     """``title, Women, Men``: share of each title's authors with an inferred category."""
     people = pubs.select("title", "author_id").distinct()
-    known = inference.select("author_id", named_gender(F.col("gender")).alias("gender")).where(F.col("gender").isin(*BINARY))
-    return fractional_shares(skew_join(people, known, "author_id", "inner", pubs.select("author_id")), "title", "author_id", "gender", BINARY)
+    known = inference.select("author_id", named_gender(F.col("gender")).alias("gender")).where(F.col("gender").isin(*BINARY)).distinct()
+    # neither side has copies, so their join has none
+    return fractional_shares(skew_join(people, known, "author_id", "inner", pubs.select("author_id")), "title", "author_id", "gender", BINARY, copies=False)
 
 
 def without_fraction(pubs: DataFrame, fractions: DataFrame) -> DataFrame:
